@@ -53,7 +53,7 @@ def valid_file_name(name):
 
 def suffix(name):
     """The last extension with its dot; a leading dot starts no extension."""
-    return F.regexp_extract(col(name), r"[^.](\.[^.]+)\z", 1)
+    return F.regexp_extract(col(name), r"(?s)^.+(\.[^.]+)\z", 1)
 
 
 def stem(name):

@@ -232,19 +232,102 @@ def merge_clusters(
     too few source boxes. `members` counts the boxes behind a row and
     `first_det` is the first of them.
     """
+    info = _image_info(sizes, target_class_id, target_class_name)
+    is_other = F.col("class_id") != source_class_id
+    return _merge(dets, is_other, info, margin, min_size, limit)
+
+
+def merge_configured(dets, sizes, params, names, limit: int = GROUP_LIMIT) -> DataFrame:
+    """The merge with classes given by name.
+
+    `names` is the vocabulary in order. Nothing is merged if the merge is off or
+    the source class is unknown; an unknown target class gets the next free id.
+    """
+    names = list(names)
+    on = params.enabled and params.source_class_name in names
+    target = params.target_class_name
+    return merge_clusters(
+        dets,
+        sizes,
+        source_class_id=names.index(params.source_class_name) if on else -1,
+        target_class_id=names.index(target) if target in names else len(names),
+        target_class_name=target,
+        margin=params.margin,
+        min_size=params.min_size if on else 0,
+        limit=limit,
+    )
+
+
+def next_class_id(dets: DataFrame, source_name: str) -> DataFrame:
+    """Per image the class id a viewer gives to merged boxes.
+
+    It starts one above the first source box's id; going through the boxes in
+    order, an id above it raises it to one above that id. A repeated id changes
+    nothing, so only the first box of each class is looked at.
+    """
+    first = dets.groupBy("image_id", "class_id").agg(
+        F.min("det_idx").alias("at"),
+        F.min(F.when(F.col("class_name") == source_name, F.col("det_idx"))).alias("source_at"),
+    )
+    images = first.groupBy("image_id").agg(
+        F.array_sort(F.collect_list(F.struct("at", "class_id"))).alias("ids"),
+        F.min_by("class_id", "source_at").alias("start"),
+        F.min("source_at").alias("seen"),
+    )
+    folded = F.aggregate(
+        "ids",
+        F.col("start") + 1,
+        lambda acc, r: F.when(r["class_id"] > acc, r["class_id"] + 1).otherwise(acc),
+    )
+    return images.where("seen is not null").select("image_id", folded.alias("target_id"))
+
+
+def merge_by_name(
+    dets,
+    sizes,
+    source_name,
+    target_name,
+    margin=0.01,
+    min_size=3,
+    limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """The merge as a viewer does it: by class name, with ids found in the image."""
+    ids = next_class_id(dets, source_name)
+    if isinstance(sizes, DataFrame):
+        info = sizes.select("image_id", "width", "height").join(ids, "image_id", "left")
+    else:
+        info = (
+            dets.select("image_id")
+            .distinct()
+            .join(ids, "image_id", "left")
+            .withColumns({"width": F.lit(sizes[0]), "height": F.lit(sizes[1])})
+        )
+    info = info.withColumn("target_name", F.lit(target_name))
+    is_other = ~F.col("class_name").eqNullSafe(source_name)
+    return _merge(dets, is_other, info, margin, min_size, limit)
+
+
+def _image_info(sizes, target_id, target_name):
+    given = {
+        "target_id": F.lit(target_id).cast("int"),
+        "target_name": F.lit(target_name).cast("string"),
+    }
+    if isinstance(sizes, DataFrame):
+        return sizes.select("image_id", "width", "height").withColumns(given)
+    return {"width": F.lit(sizes[0]), "height": F.lit(sizes[1]), **given}
+
+
+def _merge(dets, is_other, info, margin, min_size, limit):
     if "class_name" not in dets.columns:
         dets = dets.withColumn("class_name", F.lit(None).cast("string"))
     dets = dets.select(
         "image_id", "det_idx", *CORNERS, "confidence", "class_id", "class_name"
-    ).withColumn("is_other", F.col("class_id") != source_class_id)
-    target = (F.lit(target_class_id).cast("int"), F.lit(target_class_name).cast("string"))
+    ).withColumn("is_other", is_other)
     small, large = split_hot(dets, ["image_id"], limit)
-    out = _merge_small(small, sizes, target, margin, min_size)
+    out = _merge_small(small, info, margin, min_size)
     if large is not None:
-        labelled = _label_large(large, sizes, margin, min_size, limit)
-        ranked = rank_large(
-            _collapse(labelled, target), ["image_id"], _sort_key(), "out_pos"
-        )
+        labelled = _label_large(large, info, margin, min_size, limit)
+        ranked = rank_large(_collapse(labelled), ["image_id"], _sort_key(), "out_pos")
         out = out.unionByName(ranked.select(*out.columns))
     return out
 
@@ -259,9 +342,8 @@ def _sort_key():
     ]
 
 
-def _collapse(labelled, target):
+def _collapse(labelled):
     """One row per group: merged groups are keyed by component, others by box."""
-    class_id, class_name = target
     merged = F.col("merged")
     return (
         labelled.withColumn("_unit", F.when(merged, F.col("comp")).otherwise(F.col("det_idx")))
@@ -274,35 +356,37 @@ def _collapse(labelled, target):
             F.avg("confidence").alias("confidence"),
             F.min("class_id").alias("class_id"),
             F.min("class_name").alias("class_name"),
+            F.min("target_id").alias("target_id"),
+            F.min("target_name").alias("target_name"),
             F.count("*").cast("int").alias("members"),
             F.min("det_idx").alias("first_det"),
         )
         .withColumns(
             {
-                "class_id": F.when(merged, class_id).otherwise(F.col("class_id")),
-                "class_name": F.when(merged, class_name).otherwise(F.col("class_name")),
+                "class_id": F.when(merged, F.col("target_id")).otherwise(F.col("class_id")),
+                "class_name": F.when(merged, F.col("target_name")).otherwise(
+                    F.col("class_name")
+                ),
             }
         )
     )
 
 
-def _with_sizes(df, sizes, small):
-    if isinstance(sizes, DataFrame):
-        sizes = sizes.select("image_id", "width", "height")
-        if small:
-            return df.join(sizes, "image_id")
-        return salted_join(df, sizes, ["image_id"], "det_idx")
-    width, height = sizes
-    return df.withColumns({"width": F.lit(width), "height": F.lit(height)})
+def _with_info(df, info, small):
+    if not isinstance(info, DataFrame):
+        return df.withColumns(info)
+    if small:
+        return df.join(info, "image_id")
+    return salted_join(df, info, ["image_id"], "det_idx")
 
 
-def _merge_small(dets, sizes, target, margin, min_size):
+def _merge_small(dets, info, margin, min_size):
     """Merge images that fit one array each; the only shuffle is by image."""
     row = F.struct(
         "det_idx", *CORNERS, "confidence", "class_id", "class_name", "is_other"
     )
     packed = dets.groupBy("image_id").agg(F.array_sort(F.collect_list(row)).alias("b"))
-    packed = _with_sizes(packed, sizes, small=True)
+    packed = _with_info(packed, info, small=True)
     grow = margin_pixels(margin, "width", "height")
     packed = packed.withColumn("s", F.filter("b", lambda b: ~b["is_other"]))
     packed = packed.withColumns(
@@ -350,7 +434,13 @@ def _merge_small(dets, sizes, target, margin, min_size):
         total = F.aggregate(boxes, F.lit(0.0), lambda acc, b: acc + b["confidence"])
         first = F.get(boxes, F.lit(0))
         return unit(
-            first["det_idx"], first, corners, total / F.size(boxes), F.size(boxes), *target
+            first["det_idx"],
+            first,
+            corners,
+            total / F.size(boxes),
+            F.size(boxes),
+            F.col("target_id"),
+            F.col("target_name"),
         )
 
     def first_of_group(i):
@@ -377,18 +467,14 @@ def _merge_small(dets, sizes, target, margin, min_size):
     )
 
 
-def _label_large(dets, sizes, margin, min_size, limit):
+def _label_large(dets, info, margin, min_size, limit):
     """Label boxes of images larger than one task."""
-    dets = durable(dets)
-    sources = dets.where(~F.col("is_other"))
-    image = (
-        dets.groupBy("image_id")
-        .agg(F.count_if(~F.col("is_other")).alias("n"))
-        .select("image_id", (F.lit(min_size >= 2) & (F.col("n") >= min_size)).alias("active"))
+    dets = durable(_with_info(dets, info, small=False))
+    image = dets.groupBy("image_id").agg(
+        (F.lit(min_size >= 2) & (F.count_if(~F.col("is_other")) >= min_size)).alias("active")
     )
     grow = margin_pixels(margin, "width", "height")
-    grown = _with_sizes(sources, sizes, small=False)
-    grown = grown.select(
+    grown = dets.where(~F.col("is_other")).select(
         "image_id",
         "det_idx",
         *[c.alias(n) for n, c in zip(CORNERS, inflate(*CORNERS, grow))],

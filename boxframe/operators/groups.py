@@ -51,13 +51,17 @@ def split_hot(df: DataFrame, keys: list[str], limit: int, counted=None):
     return df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str):
-    """Inner join where one key may hold much of `big` and one row of `small`."""
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str, how="inner"):
+    """Join (inner or left) where one key may hold much of `big`.
+
+    `small` has few rows per key; they are copied once per salt, and the rows of
+    `big` are dealt over the salts by a hash of the `spread` column.
+    """
     salt = F.pmod(F.hash(spread), F.lit(SALTS))
     copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     return (
         big.withColumn("_salt", salt)
-        .join(small.withColumn("_salt", copies), keys + ["_salt"])
+        .join(small.withColumn("_salt", copies), keys + ["_salt"], how)
         .drop("_salt")
     )
 
