@@ -158,23 +158,33 @@ def random_angle(chance_apply, chance_angle, limit=180.0, p=0.8):
 
 
 def visible_boxes(labels, min_visibility=0.3):
-    """Clip boxes to the image and drop those whose visible share is too small."""
-    left, right = clip01(F.col("cx") - F.col("w") / 2), clip01(F.col("cx") + F.col("w") / 2)
-    top, bottom = clip01(F.col("cy") - F.col("h") / 2), clip01(F.col("cy") + F.col("h") / 2)
-    share = (right - left) * (bottom - top) / (F.col("w") * F.col("h"))
-    clipped = labels.withColumns({"_share": share, "_l": left, "_r": right, "_t": top, "_b": bottom})
+    """Clip boxes to the image and drop those whose visible share is too small.
+
+    The box is handled as a one-element array, so the condition is tested on its
+    values instead of being spelled out again from all earlier transforms.
+    """
+    cx, cy, w, h = (F.col(c) for c in ("cx", "cy", "w", "h"))
+    box = F.struct(
+        clip01(cx - w / 2).alias("l"),
+        clip01(cx + w / 2).alias("r"),
+        clip01(cy - h / 2).alias("t"),
+        clip01(cy + h / 2).alias("b"),
+        (w * h).alias("area"),
+    )
+
+    def seen(v):
+        share = (v["r"] - v["l"]) * (v["b"] - v["t"]) / v["area"]
+        return (share >= min_visibility) & (v["r"] > v["l"]) & (v["b"] > v["t"])
+
     return (
-        clipped.where(F.col("_share") >= min_visibility)
+        labels.withColumn("_v", F.explode(F.filter(F.array(box), seen)))
         .withColumns(
             {
-                "cx": (F.col("_l") + F.col("_r")) / 2,
-                "cy": (F.col("_t") + F.col("_b")) / 2,
-                "w": F.col("_r") - F.col("_l"),
-                "h": F.col("_b") - F.col("_t"),
+                "cx": (F.col("_v.l") + F.col("_v.r")) / 2,
+                "cy": (F.col("_v.t") + F.col("_v.b")) / 2,
+                "w": F.col("_v.r") - F.col("_v.l"),
+                "h": F.col("_v.b") - F.col("_v.t"),
             }
         )
-        .where((F.col("w") > 0) & (F.col("h") > 0))
-        .drop("_share", "_l", "_r", "_t", "_b")
+        .drop("_v")
     )
-
-

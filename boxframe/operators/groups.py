@@ -15,21 +15,28 @@ BROADCAST_KEYS = 100_000
 SALTS = 16
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write the rows to the cluster's checkpoint folder and read them back.
+def shared_folder(spark) -> str:
+    """The folder named in spark.checkpoint.dir, for lineage cuts and results.
 
-    The folder is the one named in spark.checkpoint.dir. Where that is unset, a
-    temporary folder is taken, but only when Spark runs in this one process.
+    Where that is unset a temporary folder is taken, but only when Spark runs in
+    this one process.
     """
-    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if not folder:
+        folder = context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="boxframe-")
+    return folder.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and read them back."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="boxframe-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

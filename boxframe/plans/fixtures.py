@@ -107,7 +107,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, source=table(spark, sf_dir, source))
 
 
-def with_views(names: str, query: str) -> str:
-    """SQL text that defines the named views in front of `query`."""
+def sql_over(names: str, body: str) -> str:
+    """SQL text with the named views in front; `body` goes on from there."""
     parts = ", ".join(f"{n} as ({VIEWS[n][1].strip()})" for n in names.split())
-    return f"with recursive {parts}, {query}" if parts else query
+    return f"with recursive {parts} {body}"

@@ -94,16 +94,19 @@ def follow_detections(stream, make_scorer, names, merge, path, checkpoint, conf=
         due = fr.every_nth(log.where("ok"), infer_every).select(
             "source", "read_idx", "frame_number"
         )
-        image = F.struct("source", "frame_number").alias("image_id")
+        image = F.concat_ws("/", "source", "frame_number").alias("image_id")
         images = rows.join(due, ["source", "read_idx"]).select(
             image, "height", "width", "nChannels", "data"
         )
         dets = detect(images, make_scorer, conf, vocabulary(spark, names))
         sizes = images.select("image_id", "width", "height")
         merged = merge_configured(dets, sizes, merge, names)
-        merged.select("image_id.*", *merged.columns[1:]).write.mode("overwrite").parquet(
-            _folder(f"{path}/detections", batch)
-        )
+        kind = rows.schema["source"].dataType
+        merged.select(
+            F.regexp_extract("image_id", r"(?s)^(.*)/\d+$", 1).cast(kind).alias("source"),
+            F.regexp_extract("image_id", r"(\d+)$", 1).cast("bigint").alias("frame_number"),
+            *merged.columns[1:],
+        ).write.mode("overwrite").parquet(_folder(f"{path}/detections", batch))
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
