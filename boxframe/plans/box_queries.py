@@ -429,13 +429,21 @@ def sized(spark, sf):
     )
 
 
+SHAPE = ("cx", "cy", "w", "h")
+
+
+def micro(column):
+    """Millionths, shifted so that no value of these tables lies on an edge."""
+    return F.floor(F.col(column) * 1e6 + 0.37).alias(column)
+
+
 def _rounded(df):
-    return df.select(
-        "image_id", "det_idx", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "w", "h")]
-    )
+    return df.select("image_id", "det_idx", *[micro(c) for c in SHAPE])
 
 
-ROUNDED = "image_id, det_idx, round(cx, 6) as cx, round(cy, 6) as cy, round(w, 6) as w, round(h, 6) as h"
+ROUNDED = "image_id, det_idx, " + ", ".join(
+    f"cast(floor({c} * 1e6 + 0.37e0) as bigint) as {c}" for c in SHAPE
+)
 
 
 @query(
@@ -456,8 +464,8 @@ def letterboxed(spark, sf):
     sql_over(
         "boxes",
         SIZED
-        + """ select image_id, det_idx, round(case when c1 < 0.5e0 then 1 - cx else cx end, 6) as cx,
-        round(case when c2 < 0.5e0 then 1 - cy else cy end, 6) as cy, round(w, 6) as w, round(h, 6) as h from sized""",
+        + f""", o as (select image_id, det_idx, case when c1 < 0.5e0 then 1 - cx else cx end as cx,
+        case when c2 < 0.5e0 then 1 - cy else cy end as cy, w, h from sized) select {ROUNDED} from o""",
     )
 )
 def flipped(spark, sf):

@@ -7,6 +7,7 @@ from ..functions import text
 from ..operators import store
 from ..operators.naming import unique_names
 from ..sources.files import coco_labels
+from .box_queries import SHAPE, micro
 from .fixtures import sql_over, table, view
 from .registry import query
 
@@ -291,7 +292,7 @@ def training_boxes(spark, sf):
     flipped = geo.flip_boxes(turned, geo.chance(3, *key), geo.chance(4, *key))
     return geo.visible_boxes(flipped).select(
         "split", "stem", "line_no", "class_id",
-        *[F.round(c, 6).alias(c) for c in ("cx", "cy", "w", "h")],
+        *[micro(c) for c in SHAPE],
     )
 
 

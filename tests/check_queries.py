@@ -46,8 +46,7 @@ def compare(spark, con, sf_dir, name, make, sql):
     ok = a == b
     note = f"{name}: {'ok' if ok else 'DIFFERENT'} {len(a)}/{len(b)} rows, spark {spark_s:.1f}s, sql {sql_s:.1f}s"
     if not ok:
-        only_a = [x for x in a if x not in set(b)][:2]
-        only_b = [x for x in b if x not in set(a)][:2]
+        only_a, only_b = sorted(set(a) - set(b))[:2], sorted(set(b) - set(a))[:2]
         note += f"\n   {columns}\n   spark {only_a}\n   sql   {only_b}"
     return note, ok
 
