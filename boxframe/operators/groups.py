@@ -40,6 +40,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def computed_once(df: DataFrame, columns: dict) -> DataFrame:
+    """Add columns whose expressions are costly and used more than once.
+
+    They pass through a one-element array, so later filters are tested on the
+    values and the expressions are not copied into them.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    made = df.withColumn("_made", F.explode(F.array(row)))
+    return made.select(*kept, *[F.col(f"_made.{n}").alias(n) for n in columns])
+
+
 def split_hot(df: DataFrame, keys: list[str], limit: int, counted=None):
     """Split into rows of groups up to `limit` rows and rows of larger groups.
 

@@ -19,7 +19,7 @@ from ..functions.text import (
     wanted_split,
 )
 from ..schema import LABEL_BOXES, SPLITS
-from .groups import number_rows
+from .groups import computed_once, durable, number_rows
 from .naming import unique_names
 
 LABEL_KEY = ["split", "stem"]
@@ -51,28 +51,29 @@ def parse_label_lines(lines: DataFrame) -> DataFrame:
     `lines` has split, stem, line_no, line.
     """
     text = F.regexp_replace("line", r"^\s+|\s+$", "")
-    parts = F.split(text, r"\s+")
+    cut = computed_once(lines, {"_p": F.split(text, r"\s+")})
 
     def number(i, pattern, kind):
         part = F.get(F.col("_p"), F.lit(i))
         digits = F.when(part.rlike(pattern), F.regexp_replace(part, "_", ""))
         return digits.try_cast(kind)
 
-    parsed = lines.withColumns({"_t": text, "_p": parts}).withColumns(
+    parsed = computed_once(
+        cut,
         {
             "class_id": number(0, INT_PATTERN, "int"),
             "cx": number(1, FLOAT_PATTERN, "double"),
             "cy": number(2, FLOAT_PATTERN, "double"),
             "w": number(3, FLOAT_PATTERN, "double"),
             "h": number(4, FLOAT_PATTERN, "double"),
-        }
+        },
     )
     fault = (
-        F.when(F.col("_t") == "", "blank")
+        F.when(F.array_join("_p", "") == "", "blank")
         .when(F.size("_p") != 5, "arity")
         .otherwise(box_fault("class_id", "cx", "cy", "w", "h"))
     )
-    return parsed.withColumn("fault", fault).drop("_t", "_p")
+    return parsed.withColumn("fault", fault).drop("_p")
 
 
 def valid_labels(parsed):
@@ -233,14 +234,15 @@ def check_requests(requests):
     text = F.coalesce("boxes", F.lit("[]"))
     kind = F.schema_of_variant(F.try_parse_json(text))
     raw = F.from_json(text, "array<map<string,string>>")
-    parsed = requests.withColumns(
+    parsed = computed_once(
+        requests,
         {
             "_kind": kind,
             "_raw": raw,
             "label_boxes": F.from_json(text, LABEL_BOXES),
             "filename": F.when(F.coalesce("filename", F.lit("")) == "", default_name("ts"))
             .otherwise(F.col("filename")),
-        }
+        },
     )
 
     def bad(i):
@@ -275,7 +277,7 @@ def check_requests(requests):
         .when(~F.col("decodable"), "not decodable")
         .when(~valid_file_name("filename"), "filename")
     )
-    return parsed.withColumn("fault", fault).drop("_kind", "_raw")
+    return computed_once(parsed, {"fault": fault}).drop("_kind", "_raw")
 
 
 def save_annotations(images, requests):
@@ -284,7 +286,7 @@ def save_annotations(images, requests):
     Names become .png names and are made unique over all splits in order of
     arrival, so nothing already saved is overwritten.
     """
-    checked = check_requests(requests)
+    checked = durable(check_requests(requests))
     good = checked.where("fault is null").withColumn("filename", png_name("filename"))
     named = unique_names(images, good.select("req_id", "filename"))
     saved = good.drop("filename").join(named, "req_id").withColumn("stem", stem("final_name"))
