@@ -9,7 +9,7 @@ from ..functions.geometry import to_label_boxes
 from ..schema import TARGET_CLASS
 from .classes import name_classes, vocabulary
 from .cluster import CORNERS, merge_clusters, merge_configured
-from .groups import SLICE_ROWS
+from .groups import SLICE_ROWS, durable
 
 DETECTED = "det_idx int, x1 double, y1 double, x2 double, y2 double, confidence double, class_id int"
 
@@ -115,7 +115,8 @@ def write_predictions(dets, images, path, **options):
 def predict(images, make_scorer, conf, names, merge):
     """Scored images with dense groups merged as `merge` says."""
     classes = vocabulary(images.sparkSession, names)
-    dets = detect(images, make_scorer, conf, classes)
+    # Scoring is the costly step: its rows are written once and read from there.
+    dets = durable(detect(images, make_scorer, conf, classes))
     return merge_configured(
         dets, images.select("image_id", "width", "height"), merge, names
     )

@@ -30,7 +30,7 @@ def unique_names(images: DataFrame, requests: DataFrame) -> DataFrame:
     request may take a number another would get, are order-dependent and run
     through in order of arrival.
     """
-    asked = _family(requests.select("req_id", "filename"))
+    asked = durable(_family(requests.select("req_id", "filename")))
     mixed = (
         asked.groupBy("family")
         .agg(F.bool_or(F.col("filename") != F.col("family")).alias("m"))

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .groups import computed_once
+
 LEVELS = 256
 
 # The first bytes of common image files, in hexadecimal.
@@ -86,13 +88,27 @@ def tile_tables(pixels: DataFrame, tiles: int = 8, clip: float = 2.0) -> DataFra
             1,
         ).otherwise(0),
     )
-    tile = tile.withColumn("h", spread)
-    running = F.aggregate(
-        "h",
-        F.array().cast("array<bigint>"),
-        lambda acc, c: F.concat(
-            acc, F.array(c + F.coalesce(F.get(acc, F.size(acc) - 1), zero))
-        ),
+    tile = computed_once(tile, {"h": spread})
+    # Running sums by blocks of 16 levels: whole blocks below, then the rest.
+    def total(values):
+        return F.aggregate(values, zero, lambda a, c: a + c)
+
+    def start(v):
+        return F.floor(v / 16).cast("int")
+
+    tile = computed_once(
+        tile,
+        {
+            "h": F.col("h"),
+            "blocks": F.transform(
+                F.sequence(F.lit(0), F.lit(15)), lambda b: total(F.slice("h", b * 16 + 1, 16))
+            ),
+        },
+    )
+    running = F.transform(
+        levels,
+        lambda v: total(F.slice("blocks", F.lit(1), start(v)))
+        + total(F.slice("h", start(v) * 16 + 1, v % 16 + 1)),
     )
     table = F.transform(
         running,

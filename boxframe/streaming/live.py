@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_line
 from ..operators import frames as fr
-from ..operators.cluster import merge_configured
-from ..operators.detect import detect
-from ..operators.classes import vocabulary
+from ..operators.detect import predict
 from ..operators.groups import SLICE_ROWS, salted_join
 
 
@@ -98,9 +96,7 @@ def follow_detections(stream, make_scorer, names, merge, path, checkpoint, conf=
         images = rows.join(due, ["source", "read_idx"]).select(
             image, "height", "width", "nChannels", "data"
         )
-        dets = detect(images, make_scorer, conf, vocabulary(spark, names))
-        sizes = images.select("image_id", "width", "height")
-        merged = merge_configured(dets, sizes, merge, names)
+        merged = predict(images, make_scorer, conf, names, merge)
         kind = rows.schema["source"].dataType
         merged.select(
             F.regexp_extract("image_id", r"(?s)^(.*)/\d+$", 1).cast(kind).alias("source"),
