@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.geometry import inflate, margin_pixels
 from .graph import connected_components
-from .groups import GROUP_LIMIT, durable, rank_large, salted_join, split_hot
+from .groups import GROUP_LIMIT, durable, rank_large, salted_join, skew_join, split_hot
 
 CORNERS = ("x1", "y1", "x2", "y2")
 # Parts per axis when a crowded cell is cut further.
@@ -182,10 +182,10 @@ def _large_components(boxes, limit):
     labels = connected_components(durable(edges), ["image_id"]).select(
         "image_id", F.col("node").alias("rep"), "comp"
     )
-    named = folded.join(labels, ["image_id", "rep"])
-    return salted_join(
-        boxes, named.drop("rep"), ["image_id", *CORNERS], "det_idx"
-    ).select("image_id", "det_idx", "comp")
+    named = skew_join(folded, labels, ["image_id", "rep"]).drop("rep")
+    return skew_join(boxes, named, ["image_id", *CORNERS]).select(
+        "image_id", "det_idx", "comp"
+    )
 
 
 def _cut_cells(todo):
@@ -481,9 +481,9 @@ def _label_large(dets, info, margin, min_size, limit):
     )
     comps = durable(box_components(grown, limit))
     sized = comps.groupBy("image_id", "comp").agg(F.count("*").alias("size"))
-    comps = salted_join(comps, sized, ["image_id", "comp"], "det_idx")
+    comps = skew_join(comps, sized, ["image_id", "comp"])
     labelled = salted_join(
-        dets.join(comps, ["image_id", "det_idx"], "left"), image, ["image_id"], "det_idx"
+        skew_join(dets, comps, ["image_id", "det_idx"], "left"), image, ["image_id"], "det_idx"
     )
     return labelled.withColumn(
         "merged", F.col("active") & F.coalesce(F.col("size") >= min_size, F.lit(False))

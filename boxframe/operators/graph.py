@@ -8,7 +8,7 @@ shuffle, joined back to the edges.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .groups import durable, salted_join
+from .groups import durable, skew_join
 
 
 def _fingerprint(edges, columns):
@@ -48,13 +48,13 @@ def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
         lowest = both.groupBy(*keys, "src").agg(
             F.least(F.col("src"), F.min("dst")).alias("low")
         )
-        large = salted_join(both.where("dst > src"), lowest, keys + ["src"], "dst")
+        large = skew_join(both.where("dst > src"), lowest, keys + ["src"])
         large = durable(
             large.select(*keys, F.col("dst").alias("src"), F.col("low").alias("dst"))
             .distinct()
         )
         lowest = large.groupBy(*keys, "src").agg(F.min("dst").alias("low"))
-        small = salted_join(large, lowest, keys + ["src"], "dst")
+        small = skew_join(large, lowest, keys + ["src"])
         stars = durable(
             small.where("dst <> low")
             .select(*keys, F.col("dst").alias("src"), F.col("low").alias("dst"))
@@ -69,6 +69,6 @@ def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
         before = after
     labels = stars.select(*keys, F.col("src").alias("node"), F.col("dst").alias("comp"))
     return (
-        nodes.join(labels, keys + ["node"], "left")
+        skew_join(nodes, labels, keys + ["node"], "left")
         .withColumn("comp", F.coalesce("comp", "node"))
     )

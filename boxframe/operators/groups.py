@@ -11,6 +11,9 @@ GROUP_LIMIT = 1000
 SLICE_ROWS = 1 << 16
 # Most keys sent to every executor; more than that are joined by shuffle.
 BROADCAST_KEYS = 100_000
+# Row-number limits up to this are applied before the shuffle by Spark
+# (spark.sql.optimizer.windowGroupLimitThreshold).
+PUSHED_LIMIT = 1000
 # Copies of the small side when a skewed key is joined.
 SALTS = 16
 
@@ -85,6 +88,15 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str,
     )
 
 
+def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how="inner"):
+    """Join of two large sides where one key may hold much of `big`.
+
+    Sort-merge, so that no side is broadcast on a wrong estimate and adaptive
+    execution can split the partitions of a hot key; `small` is not copied.
+    """
+    return big.join(small.hint("merge"), keys, how)
+
+
 def rank_large(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
     """Number rows from 0 within each key when groups exceed one task.
 

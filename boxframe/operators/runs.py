@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_line
-from .groups import salted_join
+from .groups import PUSHED_LIMIT, number_rows, salted_join
 
 # Lines kept per run, and lines shown.
 KEPT_LINES = 4000
@@ -16,17 +16,20 @@ def clean_log(lines):
 
 
 def log_tail(lines: DataFrame, n: int = SHOWN_LINES, kept: int = KEPT_LINES) -> DataFrame:
-    """The last n lines of each run.
+    """The last n lines of each run; seq is a whole number.
 
-    The row-number limit is applied before the shuffle, so each task sends at
-    most n lines of a run, however long its log is.
+    A small row-number limit is applied before the shuffle, so each task sends
+    at most n lines of a run, however long its log is. For a larger n the lines
+    are numbered from the end in slices of seq.
     """
-    latest = Window.partitionBy("run").orderBy(F.desc("seq"))
-    return (
-        lines.withColumn("_n", F.row_number().over(latest))
-        .where(F.col("_n") <= min(n, kept))
-        .drop("_n")
-    )
+    n = min(n, kept)
+    if n <= PUSHED_LIMIT:
+        latest = Window.partitionBy("run").orderBy(F.desc("seq"))
+        numbered = lines.withColumn("_n", F.row_number().over(latest))
+    else:
+        back = lines.withColumn("_back", -F.col("seq"))
+        numbered = number_rows(back, ["run"], "_back", "_n").drop("_back")
+    return numbered.where(F.col("_n") <= n).drop("_n")
 
 
 def run_states(events: DataFrame) -> DataFrame:

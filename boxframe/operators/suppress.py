@@ -5,9 +5,16 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import area, iou
+from ..functions.geometry import area, intersects, iou
 from .cluster import CORNERS
-from .groups import GROUP_LIMIT, durable, salted_join, split_hot
+from .groups import (
+    GROUP_LIMIT,
+    PUSHED_LIMIT,
+    durable,
+    rank_large,
+    skew_join,
+    split_hot,
+)
 
 
 def suppress(
@@ -27,20 +34,26 @@ def suppress(
     out = _suppress_small(small, keys, threshold)
     if large is not None:
         out = out.unionByName(_suppress_large(large, keys, threshold, limit))
-    if max_per_image is not None:
-        best = Window.partitionBy("image_id").orderBy(F.desc("confidence"), "det_idx")
-        out = (
-            out.withColumn("_n", F.row_number().over(best))
-            .where(F.col("_n") <= max_per_image)
-            .drop("_n")
-        )
-    return out
+    if max_per_image is None:
+        return out
+    best = [-F.col("confidence"), F.col("det_idx")]
+    if max_per_image <= PUSHED_LIMIT:
+        window = Window.partitionBy("image_id").orderBy(*best)
+        ranked = out.withColumn("_n", F.row_number().over(window))
+        return ranked.where(F.col("_n") <= max_per_image).drop("_n")
+    ranked = rank_large(out, ["image_id"], best, "_n")
+    return ranked.where(F.col("_n") < max_per_image).drop("_n")
 
 
 def _box(b):
     return [b[c] for c in CORNERS]
 
 
+def _overlaps(a, b, threshold):
+    """Overlap above the threshold; boxes that do not meet are told apart first."""
+    return intersects(a, b) & (iou(a, b) > threshold)
+
+
 def _suppress_small(dets, keys, threshold):
     """One array per group, best box first, folded into the boxes kept."""
     rest = [c for c in dets.columns if c not in (*keys, "det_idx")]
@@ -50,7 +63,7 @@ def _suppress_small(dets, keys, threshold):
         "b",
         F.slice("b", F.lit(1), F.lit(0)),
         lambda acc, b: F.when(
-            F.exists(acc, lambda k: iou(_box(k), _box(b)) > threshold), acc
+            F.exists(acc, lambda k: _overlaps(_box(k), _box(b), threshold)), acc
         ).otherwise(F.concat(acc, F.array(b))),
     )
     return packed.select(*keys, F.explode(kept).alias("r")).select(
@@ -135,7 +148,7 @@ def _suppress_large(dets, keys, threshold, limit):
             *keys, "cell", F.struct("det_idx", *CORNERS).alias("k")
         )
         beaten = (
-            salted_join(placed, winners, keys + ["cell"], "det_idx")
+            skew_join(placed, winners, keys + ["cell"])
             .where(
                 (F.col("det_idx") == F.col("k.det_idx"))
                 | (iou(_box(F.col("k")), CORNERS) > threshold)
@@ -143,10 +156,10 @@ def _suppress_large(dets, keys, threshold, limit):
             .select(*keys, "det_idx")
             .distinct()
         )
-        todo = todo.join(beaten, keys + ["det_idx"], "left_anti")
+        todo = skew_join(todo, beaten, keys + ["det_idx"], "left_anti")
     names = kept[0]
     for more in kept[1:]:
         names = names.unionByName(more)
     return boxes.where(flat).unionByName(
-        boxes.join(durable(names), keys + ["det_idx"], "left_semi")
+        skew_join(boxes, names, keys + ["det_idx"], "left_semi")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_line
 from ..operators import frames as fr
 from ..operators.detect import predict
-from ..operators.groups import SLICE_ROWS, salted_join
+from ..operators.groups import BROADCAST_KEYS, SLICE_ROWS, salted_join
 
 
 def _folder(path, batch):
@@ -92,6 +92,9 @@ def follow_detections(stream, make_scorer, names, merge, path, checkpoint, conf=
         due = fr.every_nth(log.where("ok"), infer_every).select(
             "source", "read_idx", "frame_number"
         )
+        # Images are not shuffled to find the frames that are due, unless too many are.
+        if due.count() <= BROADCAST_KEYS:
+            due = F.broadcast(due)
         image = F.concat_ws("/", "source", "frame_number").alias("image_id")
         images = rows.join(due, ["source", "read_idx"]).select(
             image, "height", "width", "nChannels", "data"

@@ -35,10 +35,13 @@ def boxes(count, spread, seed):
     return out + [(0, count + i, 0, 3.0, 3.0, 20.0, 20.0, 0.5) for i in range(20)]
 
 
-@pytest.mark.parametrize("limit", [1000, 12])
-@pytest.mark.parametrize("threshold,agnostic", [(0.45, False), (0.2, True), (0.9, False), (1.0, False)])
-def test_equals_greedy(spark, limit, threshold, agnostic):
-    data = boxes(240, 60, seed=11)
+@pytest.mark.parametrize(
+    "limit,threshold,agnostic,count",
+    [(1000, 0.45, False, 240), (1000, 0.2, True, 240), (1000, 1.0, False, 240),
+     (12, 1.0, False, 120), (25, 0.45, False, 160), (30, 0.8, True, 160)],
+)
+def test_equals_greedy(spark, limit, threshold, agnostic, count):
+    data = boxes(count, 60, seed=11)
     df = spark.createDataFrame(data, SCHEMA)
     got = suppress(df, threshold, agnostic=agnostic, limit=limit)
     assert sorted(tuple(r) for r in got.select(*df.columns).collect()) == greedy(data, threshold, agnostic)
