@@ -49,9 +49,18 @@ def _local(frames, entries, cutoff, slice_rows):
     sofar = run.rowsBetween(Window.unboundedPreceding, 0)
     before = run.rowsBetween(Window.unboundedPreceding, -1)
     ok, hit = F.col("ok"), F.col("hit")
+    # The plain columns are dealt out once; summaries and results both start there.
+    dealt = frames.select(
+        "source",
+        "read_idx",
+        "ok",
+        "dt_s",
+        "n_dets",
+        # Never null, so that no filter on it sets the two uses apart.
+        F.coalesce(F.floor(F.col("read_idx") / F.lit(slice_rows)), F.lit(0)).alias("_slice"),
+    ).repartition(*key)
     rows = (
-        frames.withColumn("ok", F.coalesce("ok", F.lit(False)))
-        .withColumn("_slice", F.floor(F.col("read_idx") / F.lit(slice_rows)))
+        dealt.withColumn("ok", F.coalesce("ok", F.lit(False)))
         .withColumn("inferred", ok & F.col("n_dets").isNotNull())
         .withColumn("hit", F.col("inferred") & (F.col("n_dets") > 0))
         .withColumn("entry", F.col("inferred") & F.coalesce(F.col("dt_s") > 0, F.lit(False)))

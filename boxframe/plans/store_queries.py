@@ -436,14 +436,14 @@ def rejected_saves(spark, sf):
 # Names asked for again and again over a store with gaps in its numbers.
 NAMES_SPARK = {
     "images": """select distinct concat('part ', p_size, case when p_partkey % 4 = 0 then '' else concat(' - ', p_partkey % 60 + 1) end, '.png') as filename
-      from {t} where p_partkey % 3 > 0""",
+      from {t}""",
     "requests": """select l_orderkey * 8 + row_number() over (partition by l_orderkey
       order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) as req_id,
       concat('part ', l_partkey % 50 + 1, '.png') as filename from {t}""",
 }
 NAMES_SQL = """with held as (select distinct 'part ' || cast(p_size as varchar) ||
       case when mod(p_partkey, 4) = 0 then '' else ' - ' || cast(mod(p_partkey, 60) + 1 as varchar) end || '.png' as filename
-      from part where mod(p_partkey, 3) > 0),
+      from part),
   asked as (select l_orderkey * 8 + row_number() over (partition by l_orderkey
       order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) as req_id,
       'part ' || cast(mod(l_partkey, 50) + 1 as varchar) || '.png' as filename from lineitem),
