@@ -2,145 +2,154 @@
 
 A request keeps its name if it is free when its turn comes; otherwise it gets
 the first free `stem - N.ext`, N from 1, gaps included.
-"""
 
-import re
+Requests that find their name taken get numbers in rising order, passing over
+numbers held before and numbers that somebody asked for by full name in time
+("won"). The names are worked on by depth, the count of ` - N` at the end of the
+stem: who wins a name is settled one depth above, where its number could also be
+handed out.
+"""
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stem, suffix
-from .groups import SLICE_ROWS, durable, number_rows, salted_join
-
-NUMBERED = r"^(.*) - ([1-9][0-9]*)\z"
-
-
-def _family(df, name="filename"):
-    """Adds the root name all numbered variants of a name share."""
-    root = F.regexp_replace(stem(name), r"( - [1-9][0-9]*)+\z", "")
-    return df.withColumn("family", F.concat(root, suffix(name)))
+from .groups import SLICE_ROWS, durable, number_rows, skew_join
+
+NUMBERED = r"(?s)^(.+) - ([1-9][0-9]*)\z"
+CHAIN = r"(?s)^.+?(( - [1-9][0-9]*)+)\z"
+
+
+def _parsed(names):
+    """Adds depth and, for numbered names, parent and n."""
+    chain = F.regexp_extract(stem("filename"), CHAIN, 1)
+    number = F.regexp_extract(stem("filename"), NUMBERED, 2).try_cast("bigint")
+    parent = F.concat(F.regexp_extract(stem("filename"), NUMBERED, 1), suffix("filename"))
+    return names.withColumns(
+        {
+            "depth": F.size(F.split(chain, " - ")) - 1,
+            "n": number,
+            "parent": F.when(number.isNotNull(), parent),
+        }
+    )
 
 
-def unique_names(images: DataFrame, requests: DataFrame) -> DataFrame:
-    """`final_name` for each request (req_id gives the order of arrival).
+def sum_before(marks, events, keys, order, out, slice_rows=SLICE_ROWS):
+    """For each mark the total `weight` of events of its key with a lower `order`.
 
-    Requests whose family asks only for its root name are settled by ranks: the
-    r-th such request gets the r-th free number. The other families, where one
-    request may take a number another would get, are order-dependent and run
-    through in order of arrival.
+    Both sides are cut into slices of the order column; one sum per slice gives
+    what lies before it.
     """
-    asked = durable(_family(requests.select("req_id", "filename")))
-    mixed = (
-        asked.groupBy("family")
-        .agg(F.bool_or(F.col("filename") != F.col("family")).alias("m"))
-        .where("m")
-        .select("family")
-    )
-    mixed = durable(mixed)
-    existing = _family(images.select("filename").distinct())
-    wanted = asked.select("family").distinct()
-    plain = _plain(
-        existing.join(mixed, "family", "left_anti").join(wanted, "family", "left_semi"),
-        asked.join(mixed, "family", "left_anti"),
+    both = marks.withColumns({"weight": F.lit(0).cast("bigint"), "_mark": F.lit(True)})
+    both = both.unionByName(
+        events.select(*keys, order, F.col("weight").cast("bigint").alias("weight")),
+        allowMissingColumns=True,
+    ).withColumn("_slice", F.floor(F.col(order) / F.lit(slice_rows)))
+    line = Window.partitionBy(*keys).orderBy("_slice")
+    earlier = F.sum("_sum").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = (
+        both.groupBy(*keys, "_slice")
+        .agg(F.sum("weight").alias("_sum"))
+        .select(*keys, "_slice", F.coalesce(earlier, F.lit(0)).alias("_offset"))
     )
-    in_order = _in_order(
-        existing.join(mixed, "family", "left_semi"), asked.join(mixed, "family", "left_semi")
+    below = Window.partitionBy(*keys, "_slice").orderBy(order)
+    inside = F.sum("weight").over(below.rangeBetween(Window.unboundedPreceding, -1))
+    return (
+        both.join(offsets, [*keys, "_slice"])
+        .withColumn(out, F.col("_offset") + F.coalesce(inside, F.lit(0)))
+        .where("_mark")
+        .drop("_mark", "_slice", "_offset", "weight")
     )
-    return plain.unionByName(in_order)
 
 
-def _plain(existing, asked):
-    ranked = number_rows(asked, ["family"], "req_id", "rank")
-    roots = existing.where("filename = family").select("family", F.lit(1).alias("held"))
-    number = F.regexp_extract(stem("filename"), NUMBERED, 2)
-    child = F.regexp_extract(stem("filename"), NUMBERED, 1)
-    used = existing.where(F.concat(child, suffix("filename")) == F.col("family")).select(
-        "family", number.try_cast("bigint").alias("n")
-    )
-    # A used number n with j used numbers up to it has n - j free ones below.
-    used = number_rows(used.where("n is not null"), ["family"], "n", "j")
-    skips = used.groupBy("family", (F.col("n") - F.col("j")).alias("at")).agg(
-        F.count("*").alias("skip")
-    )
-    families = asked.select("family").distinct().join(roots, "family", "left")
-    ranked = salted_join(ranked, families, ["family"], "req_id")
-    # Without the root name, the first request takes it.
-    ranked = ranked.withColumn(
-        "at", F.col("rank") - F.when(F.col("held").isNull(), 1).otherwise(0)
-    )
-    events = ranked.select("family", "at", "req_id", "filename", F.lit(0).alias("skip")).unionByName(
-        skips.select(
-            "family",
-            "at",
-            F.lit(None).cast(ranked.schema["req_id"].dataType).alias("req_id"),
-            F.lit(None).cast("string").alias("filename"),
-            "skip",
-        )
-    )
-    # Running sum of skips below each rank, by slices of the rank.
-    events = events.withColumn("_slice", F.floor(F.col("at") / F.lit(SLICE_ROWS)))
-    line = Window.partitionBy("family").orderBy("_slice")
-    offsets = (
-        events.groupBy("family", "_slice")
-        .agg(F.sum("skip").alias("s"))
-        .select(
-            "family",
-            "_slice",
-            F.coalesce(
-                F.sum("s").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias("earlier"),
+def unique_names(images: DataFrame, requests: DataFrame) -> DataFrame:
+    """`final_name` for each request; req_id, a whole number, is the arrival order."""
+    asked = durable(_parsed(requests.select("req_id", "filename")))
+    held = durable(_parsed(images.select("filename").distinct()))
+    first = asked.groupBy("filename", "depth", "n", "parent").agg(F.min("req_id").alias("first"))
+    # Each name's first request, where nobody holds the name from before.
+    first = durable(skew_join(first, held.select("filename"), ["filename"], "left_anti"))
+    deepest = asked.agg(F.max("depth")).first()[0]
+    won = first.where("depth = 0").select("filename", "first")
+    parts = []
+    for depth in range((deepest or 0) + 1):
+        level = asked.where(F.col("depth") == depth).select("req_id", "filename")
+        level = skew_join(level, won, ["filename"], "left")
+        keeps = F.coalesce(F.col("req_id") == F.col("first"), F.lit(False))
+        parts.append(
+            level.where(keeps).select("req_id", "filename", F.col("filename").alias("final_name"))
         )
-    )
-    below = Window.partitionBy("family", "_slice").orderBy("at").rangeBetween(
-        Window.unboundedPreceding, -1
-    )
-    placed = (
-        events.join(offsets, ["family", "_slice"])
-        .withColumn(
-            "n", F.col("at") + F.col("earlier") + F.coalesce(F.sum("skip").over(below), F.lit(0))
+        over = durable(
+            number_rows(level.where(~keeps).drop("first"), ["filename"], "req_id", "rank")
         )
-        .where("req_id is not null")
-    )
-    numbered = F.concat(stem("filename"), F.lit(" - "), F.col("n"), suffix("filename"))
-    return placed.select(
-        "req_id",
-        "filename",
-        F.when(F.col("at") == 0, F.col("filename")).otherwise(numbered).alias("final_name"),
+        used = held.where(F.col("depth") == depth + 1).where("n is not null")
+        used = used.select(F.col("parent").alias("filename"), "n", F.lit(1).alias("weight"))
+        rivals = first.where(F.col("depth") == depth + 1)
+        if depth < (deepest or 0):
+            won = durable(_winners(rivals, over, used))
+            taken = skew_join(rivals, won.select("filename"), ["filename"], "left_semi")
+            used = used.unionByName(
+                taken.where("n is not null").select(
+                    F.col("parent").alias("filename"), "n", F.lit(1).alias("weight")
+                )
+            )
+        parts.append(_numbered(over, used))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _winners(rivals, over, used):
+    """Numbered names whose first request comes before the number is handed out.
+
+    A number n is the u-th to be handed out, where u is n less the used and the
+    won numbers below it. Its request wins if fewer than u requests for the
+    parent found it taken before. Only the count of wins runs from number to
+    number; it is the sole state of a pass over the sorted numbers.
+    """
+    marks = rivals.where("n is not null").select(
+        F.col("parent").alias("filename"), F.col("filename").alias("name"), "n", "first"
     )
-
-
-def _in_order(existing, asked):
-    """Families run through in arrival order; only the names in use are kept."""
-    schema = asked.schema["req_id"].dataType
-    rows = existing.select(
-        "family", F.lit(None).cast(schema).alias("req_id"), "filename"
-    ).unionByName(asked.select("family", "req_id", "filename"))
-    ordered = rows.repartition("family").sortWithinPartitions(
-        "family", F.asc_nulls_first("req_id")
+    marks = sum_before(marks, used, ["filename"], "n", "below")
+    events = over.select("filename", F.col("req_id").alias("first"), F.lit(1).alias("weight"))
+    marks = sum_before(marks, events, ["filename"], "first", "before")
+    room = F.col("n") - F.col("below") - F.col("before")
+    ordered = (
+        marks.select("filename", "name", "n", "first", room.alias("room"))
+        .repartition("filename")
+        .sortWithinPartitions("filename", "n")
     )
 
-    def assign(batches):
-        family, used, following = None, set(), {}
+    def count(batches):
+        parent, wins = None, 0
         for batch in batches:
             out = []
-            for fam, req, name in zip(batch["family"], batch["req_id"], batch["filename"]):
-                if fam != family:
-                    family, used, following = fam, set(), {}
-                if pd.isna(req):
-                    used.add(name)
-                    continue
-                final = name
-                if name in used:
-                    base, ext = re.fullmatch(r"(.+?)(\.[^.]+)?", name, re.S).groups()
-                    n = following.get(name, 1)
-                    while (final := f"{base} - {n}{ext or ''}") in used:
-                        n += 1
-                    following[name] = n + 1
-                used.add(final)
-                out.append((int(req), name, final))
-            yield pd.DataFrame(out, columns=["req_id", "filename", "final_name"])
-
-    return ordered.mapInPandas(
-        assign, f"req_id {schema.simpleString()}, filename string, final_name string"
+            for key, name, first, room in zip(
+                batch["filename"], batch["name"], batch["first"], batch["room"]
+            ):
+                if key != parent:
+                    parent, wins = key, 0
+                if wins < room:
+                    wins += 1
+                    out.append((name, first))
+            yield pd.DataFrame(out, columns=["filename", "first"])
+
+    kind = rivals.schema["first"].dataType.simpleString()
+    won = ordered.mapInPandas(count, f"filename string, first {kind}")
+    # Numbers too long to be handed out have no rival.
+    return won.unionByName(rivals.where("n is null").select("filename", "first"))
+
+
+def _numbered(over, used):
+    """The r-th request that found its name taken gets the r-th free number."""
+    ranked = number_rows(used, ["filename"], "n", "j")
+    # A used number n with j used numbers up to it has n - j free ones below.
+    skips = ranked.groupBy("filename", (F.col("n") - F.col("j")).alias("rank")).agg(
+        F.count("*").alias("weight")
     )
+    placed = sum_before(over, skips, ["filename"], "rank", "skipped")
+    number = (F.col("rank") + F.col("skipped")).cast("string")
+    name = F.concat(stem("filename"), F.lit(" - "), number, suffix("filename"))
+    return placed.select("req_id", "filename", name.alias("final_name"))

@@ -90,11 +90,14 @@ def one_by_one(existing, asked):
     return sorted(out)
 
 
-def test_names(spark):
+@pytest.mark.parametrize("seed", [4, 5])
+def test_names(spark, seed):
     existing = ["a.png", "a - 2.png", "b - 1.png", "d.png", "d - 01.png"] + [f"c - {n}.png" for n in range(1, 40, 3)] + ["c.png"]
-    rng = random.Random(4)
+    rng = random.Random(seed)
     pool = ["a.png", "a - 1.png", "a - 1 - 1.png", "b.png", "c.png", "d.png", "d - 01.png", "e.png"]
-    asked = [(i, rng.choice(pool)) for i in range(200)]
+    pool += [f"{s} - {rng.randrange(1, 60)}.png" for s in "abcde" for _ in range(3 * (seed - 4))]
+    pool += [f"a - {n} - {n % 3 + 1}.png" for n in range(1, 9)] + [f"a - {'9' * 25}.png"]
+    asked = [(i, rng.choice(pool)) for i in range(300)]
     got = unique_names(
         spark.createDataFrame([(n,) for n in existing], "filename string"),
         spark.createDataFrame(asked, "req_id long, filename string"),
