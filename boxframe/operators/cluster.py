@@ -17,12 +17,28 @@ CUTS = 8
 MAX_CUTS = 18
 
 
+# Up to this many boxes all of them are compared at once.
+SQUARE = 256
+
+
 def _touching_groups(x1, y1, x2, y2):
     """For each box the position of the first box it is linked to, itself included.
 
-    Grows one group at a time: a box taken from the front is compared with all
-    boxes not yet reached, in one vector step.
+    A few boxes are compared all at once and take the lowest label they touch
+    until nothing changes. With more, one group is grown at a time: a box taken
+    from the front is compared with all boxes not yet reached.
     """
+    if len(x1) <= SQUARE:
+        touch = (x1 <= x2[:, None]) & (x1[:, None] <= x2)
+        touch &= (y1 <= y2[:, None]) & (y1[:, None] <= y2)
+        first = np.arange(len(x1), dtype=np.int32)
+        while len(first):
+            low = np.where(touch, first, len(first)).min(axis=1).astype(np.int32)
+            low = low[low]
+            if np.array_equal(low, first):
+                break
+            first = low
+        return first
     first = np.empty(len(x1), dtype=np.int32)
     rest = np.arange(len(x1))
     while len(rest):

@@ -91,7 +91,7 @@ def rejected_lines(parsed):
 def count_boxes(lines):
     """Non-blank lines per label file, valid or not."""
     return (
-        lines.where(F.regexp_replace("line", r"\s+", "") != "")
+        lines.where(F.col("line").rlike(r"\S"))
         .groupBy(*LABEL_KEY)
         .agg(F.count("*").alias("raw_lines"))
     )

@@ -82,6 +82,27 @@ def scatter(images, count, spread, side, seed):
     return out
 
 
+@pytest.mark.parametrize("square", [0, 256])
+def test_both_ways_of_grouping(monkeypatch, square):
+    monkeypatch.setattr(cluster, "SQUARE", square)
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for count in (0, 1, 2, 40, 120):
+        x, y = rng.integers(0, 300, (2, count)).astype(float)
+        w, h = rng.integers(0, 30, (2, count))
+        got = cluster._touching_groups(x, y, x + w, y + h)
+        group = list(range(count))
+        for i in range(count):
+            for j in range(i):
+                if abs(2 * x[i] + w[i] - 2 * x[j] - w[j]) <= w[i] + w[j] and abs(
+                    2 * y[i] + h[i] - 2 * y[j] - h[j]
+                ) <= h[i] + h[j]:
+                    low, high = sorted((group[i], group[j]))
+                    group = [low if g == high else g for g in group]
+        assert list(got) == group
+
+
 def line(*corners, cls=0, conf=None):
     conf = conf or [0.5] * len(corners)
     return [
