@@ -39,9 +39,9 @@ NAMED_SQL = """, named as (
   from boxes)"""
 
 
-def merge_sql(dets, is_source, target, margin, min_size=3):
+def merge_sql(dets, is_source, target, margin, min_size=3, side=1280):
     """The merge of `dets` as SQL, up to a relation `merged`."""
-    grow = f"({margin}e0 * 1280)"
+    grow = f"({margin}e0 * {side})"
     return f""", d as materialized (select *, not ({is_source}) as is_other from {dets}),
   src as materialized (
     select image_id, det_idx, x1 - {grow} as a1, y1 - {grow} as b1, x2 + {grow} as a2, y2 + {grow} as b2

@@ -192,9 +192,19 @@ def run_states(spark, sf):
     return runs.run_states(view(spark, sf, "run_events"))
 
 
-@query()
+@query(
+    sql_over(
+        "run_events log_lines",
+        CLEANED
+        + STATES
+        + """, tails as (select run, string_agg(line, chr(10) order by seq) as log_text from (
+            select *, row_number() over (partition by run order by seq desc) as n from cleaned) where n <= 5 group by run)
+        select s.*, coalesce(log_text, '') as log_text from states s left join tails using (run)""",
+    )
+)
 def run_status(spark, sf):
-    return runs.run_status(view(spark, sf, "run_events"), view(spark, sf, "log_lines"), 5)
+    status = runs.run_status(view(spark, sf, "run_events"), view(spark, sf, "log_lines"), 5)
+    return status.withColumn("log_text", F.array_join("log_lines", "\n")).drop("log_lines")
 
 
 @query(

@@ -12,6 +12,7 @@ from ..operators.groups import shared_folder
 from ..schema import ClusterParams
 from ..sources.frames import stream_frames, stream_lines
 from ..streaming import live
+from .box_queries import MERGED_COLUMNS, merge_sql
 from .fixtures import sql_over, table, view
 from .frame_queries import ALERTS, CUTOFF, EVERY, LOG, RATES, STREAK
 from .registry import query
@@ -80,11 +81,22 @@ def scored_images(spark, sf):
     )
 
 
-@query()
+PASSED = """, passed as (select image_id, cast(row_number() over (partition by image_id order by det_idx) - 1 as int) as det_idx,
+  x1, y1, x2, y2, confidence, class_id from spots where confidence >= 0.8e0)"""
+
+
+@query(
+    PIXELS
+    + SPOTS
+    + PASSED
+    + merge_sql("passed", "class_id = 0", 1, 0.02, 2, side=SIDE)
+    + f" select {MERGED_COLUMNS} from merged"
+)
 def predicted_images(spark, sf):
     """Scoring, then the configured merge."""
     merge = ClusterParams(enabled=True, margin=0.02, min_size=2)
-    return dt.predict(images(spark, sf), bright_spots, 0.8, ["ecoli", "ecoli_cluster"], merge)
+    out = dt.predict(images(spark, sf), bright_spots, 0.8, ["ecoli", "ecoli_cluster"], merge)
+    return out.drop("class_name")
 
 
 @query(
