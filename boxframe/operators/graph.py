@@ -8,7 +8,7 @@ shuffle, joined back to the edges.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .groups import durable, skew_join
+from .groups import discard, durable, skew_join
 
 
 def _fingerprint(edges, columns):
@@ -42,15 +42,16 @@ def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
     )
     before = _fingerprint(stars, columns)
     while before[0]:
+        last = stars
         both = stars.unionByName(
             stars.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
         )
         lowest = both.groupBy(*keys, "src").agg(
             F.least(F.col("src"), F.min("dst")).alias("low")
         )
-        large = skew_join(both.where("dst > src"), lowest, keys + ["src"])
+        raised = skew_join(both.where("dst > src"), lowest, keys + ["src"])
         large = durable(
-            large.select(*keys, F.col("dst").alias("src"), F.col("low").alias("dst"))
+            raised.select(*keys, F.col("dst").alias("src"), F.col("low").alias("dst"))
             .distinct()
         )
         lowest = large.groupBy(*keys, "src").agg(F.min("dst").alias("low"))
@@ -63,6 +64,7 @@ def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
             )
             .distinct()
         )
+        discard(last, large)
         after = _fingerprint(stars, columns)
         if after == before:
             break

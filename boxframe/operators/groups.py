@@ -1,6 +1,8 @@
 """Large groups: finding them, numbering rows in them, cutting lineage."""
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,26 +23,53 @@ SALTS = 16
 def shared_folder(spark) -> str:
     """The folder named in spark.checkpoint.dir, for lineage cuts and results.
 
-    Where that is unset a temporary folder is taken, but only when Spark runs in
-    this one process.
+    Where that is unset a temporary folder is taken and set, but only when Spark
+    runs in this one process, as in tests; elsewhere it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
     if not folder:
-        folder = context.getCheckpointDir()
+        folder = spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="boxframe-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _hadoop_path(spark, name):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def scratch_path(spark, kind="table") -> str:
+    """A new path in this application's part of the shared folder.
+
+    That part is deleted when the application ends.
+    """
+    top = f"{shared_folder(spark)}/boxframe-{spark.sparkContext.applicationId}"
+    path, files = _hadoop_path(spark, top)
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{top}/{kind}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them back."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder as Parquet and read them back."""
+    spark = df.sparkSession
+    path = scratch_path(spark)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what `durable` wrote; nothing may read these tables afterwards."""
+    for table in tables:
+        path, files = _hadoop_path(table.sparkSession, table._durable_path)
+        files.delete(path, True)
 
 
 def computed_once(df: DataFrame, columns: dict) -> DataFrame:
