@@ -2,6 +2,9 @@
 
 import zlib
 
+import numpy as np
+import pyarrow.compute as pc
+
 from pyspark.sql import functions as F
 
 
@@ -27,3 +30,19 @@ def parts_for(docs, text="text", part_bytes=8 << 20):
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     return max(-(-total // part_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def slices(batch, column, most=4 << 20):
+    """A record batch in parts of at most `most` bytes of a text column, or one row."""
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(
+        zero_copy_only=False
+    )
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
