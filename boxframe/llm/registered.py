@@ -1,7 +1,7 @@
 """The registered queries of this subpackage, by name, and the SQL of some."""
 
-from . import langid, mixing, quality, repeats
+from . import langid, mixing, near, quality, repeats
 
-MODULES = (langid, mixing, quality, repeats)
+MODULES = (langid, mixing, near, quality, repeats)
 QUERIES = {name: make for m in MODULES for name, make in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
