@@ -3,8 +3,8 @@
 Filters of several widths run over fixed-length windows of byte codes; each
 filter's largest response per window feeds a softmax. The network is trained with
 NumPy on a bounded sample of labelled texts (`PER_LANGUAGE` documents a language,
-those with the lowest hash of their id, one snippet of `SNIPPET` characters from a
-place the hash chooses) and applied to every window of every text. A text's
+those with the lowest hash of their id in each of `SLICES` slices, one snippet of
+`SNIPPET` characters from a place the hash chooses) and applied to every window of every text. A text's
 language is the softmax of its windows' mean logits, weighted by their letters.
 
 Defined results: a null text or one without letters is `und` with score 0; null
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .tables import held_out, slices, table
 from .words import text_buffer
 
-PER_LANGUAGE = 1000
+PER_LANGUAGE = 1024
+SLICES = 64
 LANGUAGES = 200
 SNIPPET = 1024
 LENGTH = 256
@@ -217,8 +218,10 @@ def sample(docs: DataFrame, per_language=PER_LANGUAGE):
         "lang",
         F.substring("text", place.cast("int") + 1, F.lit(SNIPPET)).alias("text"),
     )
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    rows = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
+    # Each language is ranked in slices of the hash, so no task gets one whole.
+    order = Window.partitionBy("lang", F.pmod("h", F.lit(SLICES))).orderBy("h", "text")
+    rows = rows.withColumn("_n", F.row_number().over(order))
+    rows = rows.where(F.col("_n") <= -(-per_language // SLICES))
     rows = rows.select("text", "lang").limit(per_language * LANGUAGES).collect()
     return sorted((r.text, r.lang) for r in rows)
 
