@@ -1,7 +1,7 @@
 """The registered queries of this subpackage, by name, and the SQL of some."""
 
-from . import langid, mixing, near, pii, quality, repeats, templates
+from . import langid, mixing, near, pii, quality, repeats, templates, vectors
 
-MODULES = (langid, mixing, near, pii, quality, repeats, templates)
+MODULES = (langid, mixing, near, pii, quality, repeats, templates, vectors)
 QUERIES = {name: make for m in MODULES for name, make in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
