@@ -442,6 +442,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` without those whose group has a smaller id.
+
+    Rows of one id are one document and stay together.
+    """
+    gone = durable(near_groups(docs).where("not kept").select("doc_id").distinct())
+    gone = gone.withColumnRenamed("doc_id", "_gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+
+
 def op9_near_duplicates(spark, sf_dir):
     """The near-duplicate group of all documents."""
     return near_groups(table(spark, sf_dir, "documents"))

@@ -1,7 +1,29 @@
 """The registered queries of this subpackage, by name, and the SQL of some."""
 
-from . import counts, langid, mixing, near, pii, quality, repeats, templates, vectors
+from . import (
+    counts,
+    langid,
+    mixing,
+    near,
+    pii,
+    quality,
+    repeats,
+    templates,
+    vectors,
+    warc,
+)
 
-MODULES = (counts, langid, mixing, near, pii, quality, repeats, templates, vectors)
+MODULES = (
+    counts,
+    langid,
+    mixing,
+    near,
+    pii,
+    quality,
+    repeats,
+    templates,
+    vectors,
+    warc,
+)
 QUERIES = {name: make for m in MODULES for name, make in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLES", {}).items()}

@@ -29,6 +29,8 @@ WINDOW = 8
 LITERALS = 5
 LEAST = 13
 BROADCAST_WINDOWS = 200_000
+# Leaked documents to take away are sent to all executors up to this number.
+BROADCAST_ROWS = 1_000_000
 
 # The units that may follow a number.
 UNITS = (
@@ -108,8 +110,8 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     )
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Leaked items per document: doc_id, item_id, covered, item_tokens, n_slots."""
+def _text_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Leaked items per document and text (`version`, its hash)."""
     bench = durable(benchmark_windows(items))
     rows = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
     found = windows(rows)
@@ -135,6 +137,13 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         aligned.withColumn("covered", covered)
         .where(F.col("covered") >= F.least(F.lit(LEAST), F.col("item_tokens") - 1))
         .where((sides[0] == F.size("pairs")) & (sides[1] == F.size("pairs")))
+    )
+
+
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Leaked items per document: doc_id, item_id, covered, item_tokens, n_slots."""
+    return (
+        _text_leaks(docs, items)
         .groupBy("doc_id", "item_id")
         .agg(
             F.max("covered").alias("covered"),
@@ -145,9 +154,16 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of `docs` whose id has no leak; rows without an id are judged by text."""
-    found = durable(leaks(docs, items).select("doc_id").where("doc_id is not null").distinct())
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs` that have no leak, each judged by its own text."""
+    found = _text_leaks(docs, items).select(
+        F.col("doc_id").alias("_leaked"), F.col("version").alias("_version")
+    )
+    found = durable(found.distinct())
+    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found.hint("merge")
+    same = F.col("doc_id").eqNullSafe(F.col("_leaked")) & (
+        F.xxhash64("text") == F.col("_version")
+    )
+    return docs.join(found, same, "left_anti").select(*docs.columns)
 
 
 def _sql_tokens(name, source, key):
