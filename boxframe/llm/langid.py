@@ -257,9 +257,10 @@ def identify(docs: DataFrame, model, keep=("doc_id",)) -> DataFrame:
 
 def accepted(docs: DataFrame, least=0.4) -> DataFrame:
     """The rows whose language is recognised with a score of `least` or more."""
-    found = identify(docs, fit(sample(docs)), docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = identify(rows, fit(sample(docs)), ["row"])
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(
-        *docs.columns
+        "row.*"
     )
 
 

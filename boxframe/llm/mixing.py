@@ -138,10 +138,14 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share=1.5, most=2.0, seed="mix") ->
 
 
 def mixed_rows(docs: DataFrame, weights=(5, 2, 1), share=1.5, most=2.0, seed="mix") -> DataFrame:
-    """The mix itself: every row of `docs` as often as it is taken, with `copy` from 1.
+    """The mix itself: every row of `docs` as often as it is taken, with `copy` from 1
+    (with underscores after the name if `docs` has such a column).
 
     Texts are not shuffled: sizes are summed first, rates go to the rows.
     """
+    name = "copy"
+    while name in docs.columns:
+        name += "_"
     sizes = durable(sized(docs, seed).groupBy("source").agg(F.sum("size").alias("size")))
     targets = durable(source_targets(sizes, weights, share, most))
     row = F.struct(*docs.columns).alias("row")
@@ -149,7 +153,7 @@ def mixed_rows(docs: DataFrame, weights=(5, 2, 1), share=1.5, most=2.0, seed="mi
         with_rates(sized(docs, seed, row).drop("size"), targets)
         .withColumn("copies", copies())
         .where("copies > 0")
-        .select("row.*", F.explode(F.expr("sequence(1, int(copies))")).alias("copy"))
+        .select("row.*", F.explode(F.expr("sequence(1, int(copies))")).alias(name))
     )
 
 
