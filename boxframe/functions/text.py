@@ -43,7 +43,7 @@ def wanted_split(split, wanted=None):
 def require_split(split):
     """Check a split name given by the caller."""
     if split not in SPLITS:
-        raise ValueError(f"split must be one of {list(SPLITS)}, got {split!r}")
+        raise ValueError(f"no such split: {split!r} (there are {', '.join(SPLITS)})")
     return split
 
 
@@ -91,9 +91,14 @@ def class_or_fallback(name, class_id):
     return F.coalesce(col(name), F.concat(F.lit("cls_"), col(class_id)))
 
 
+def fixed_places(number, places):
+    """A number with so many decimals, rounded as Python does, without grouping."""
+    return F.replace(F.format_number(number, places), F.lit(","), F.lit(""))
+
+
 def frame_label(name, confidence):
     """`name 0.87`, as drawn on frames."""
-    return F.concat(col(name), F.lit(" "), F.format_number(col(confidence), 2))
+    return F.concat(col(name), F.lit(" "), fixed_places(col(confidence), 2))
 
 
 def percent_label(name, confidence):
@@ -106,12 +111,12 @@ def percent_text(confidence):
     """`87.3%`, halves rounded up.
 
     A number of this kind lies exactly between two tenths only at .25 and .75;
-    format_number rounds to the even digit there, so .25 is moved up first.
+    fixed_places rounds to the even digit there, so .25 is moved up first.
     """
     value = col(confidence) * 100
     tie = (value - F.floor(value)) == 0.25
     return F.concat(
-        F.format_number(F.when(tie, value + 0.04).otherwise(value), 1), F.lit("%")
+        fixed_places(F.when(tie, value + 0.04).otherwise(value), 1), F.lit("%")
     )
 
 
@@ -138,5 +143,5 @@ def clean_line(line):
 
 def label_line(class_id, cx, cy, w, h):
     """One line of a label file; six decimals, rounded as Python rounds them."""
-    numbers = [F.format_number(col(c), 6) for c in (cx, cy, w, h)]
+    numbers = [fixed_places(col(c), 6) for c in (cx, cy, w, h)]
     return F.concat_ws(" ", col(class_id).cast("string"), *numbers)

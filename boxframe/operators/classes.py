@@ -12,29 +12,27 @@ from .groups import number_rows
 BROADCAST_CLASSES = 100_000
 
 
+def _in_order(names):
+    """Class names of a mapping, by rising key, or of a list."""
+    pairs = names.items() if isinstance(names, dict) else enumerate(names)
+    return [str(name) for _, name in sorted(pairs, key=lambda pair: pair[0])]
+
+
 def vocabulary(spark, names):
-    """Classes from a mapping (its keys sorted) or a list of names."""
-    if isinstance(names, dict):
-        names = [names[k] for k in sorted(names)]
-    return spark.createDataFrame(
-        [(i, str(n)) for i, n in enumerate(names)], CLASSES
-    )
+    """Classes from a mapping or a list of names."""
+    return spark.createDataFrame(list(enumerate(_in_order(names))), CLASSES)
 
 
 def names_of(manifest: str | None):
-    """Class names in manifest text; one fallback class if there are none."""
+    """Class names in manifest text; one fallback class where it names none, is no
+    manifest, or has keys that cannot be put in order."""
     try:
-        names = (yaml.safe_load(manifest) or {}).get("names", {}) if manifest else None
-    except (yaml.YAMLError, AttributeError):
-        names = None
-    if isinstance(names, dict):
-        try:
-            return [str(names[k]) for k in sorted(names)]
-        except TypeError:
-            return list(FALLBACK_CLASSES)
-    if isinstance(names, list):
-        return [str(n) for n in names]
-    return list(FALLBACK_CLASSES)
+        found = yaml.safe_load(manifest or "")
+        found = found.get("names", {}) if isinstance(found, dict) else None
+        usable = isinstance(found, (dict, list))
+        return _in_order(found) if usable else list(FALLBACK_CLASSES)
+    except (yaml.YAMLError, TypeError):
+        return list(FALLBACK_CLASSES)
 
 
 def densify(keyed: DataFrame) -> DataFrame:
@@ -88,15 +86,6 @@ def resolve_names(pairs, classes):
     )
 
 
-def resolve_ids(names, source_name, target_name):
-    """The same for one pair and a list of names; source None if unknown."""
-    names = list(names)
-    if source_name not in names:
-        return None, None
-    target = names.index(target_name) if target_name in names else len(names)
-    return names.index(source_name), target
-
-
 def check_new_classes(classes, names):
     """New names (ord, name) with `fault`: empty, characters, length, duplicate."""
     trimmed = names.withColumn("name", F.regexp_replace("name", r"^\s+|\s+$", ""))

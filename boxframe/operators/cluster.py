@@ -8,13 +8,19 @@ from pyspark.sql import types as T
 
 from ..functions.geometry import inflate, margin_pixels
 from .graph import connected_components
-from .groups import GROUP_LIMIT, durable, rank_large, salted_join, skew_join, split_hot
+from .groups import (
+    GROUP_LIMIT,
+    discard,
+    durable,
+    rank_large,
+    salted_join,
+    skew_join,
+    split_hot,
+)
 
 CORNERS = ("x1", "y1", "x2", "y2")
-# Parts per axis when a crowded cell is cut further.
-CUTS = 8
-# Cell sides stop shrinking here: doubles cannot be told apart much below it.
-MAX_CUTS = 18
+# Where a crowded cell is cut: at these shares of its boxes' corners.
+CUTS = (0.2, 0.4, 0.6, 0.8)
 
 
 # Up to this many boxes all of them are compared at once.
@@ -129,42 +135,50 @@ def _large_components(boxes, limit):
     """Components of images too large for one task, without listing pairs.
 
     Equal boxes are folded into one. The rest go into cells, starting with the
-    whole image. If some box covers a cell, every box in the cell touches that
-    box, so all are linked to the lowest one by an aggregate. A cell with few
-    boxes is solved as one array. Any other cell is cut and its boxes go to the
-    parts they reach. Two boxes that intersect share a point, hence a final cell.
-    The links are then joined up over all cells.
+    whole image. A cell is a range of x times a range of y; a range is a single
+    value or the open interval between two. If some box covers a cell, every box
+    in the cell touches that box, so all are linked to the lowest one by an
+    aggregate. A cell with few boxes is solved as one array. Any other cell is cut
+    at corners of its boxes, and its boxes go to the parts they reach. Two boxes
+    that intersect share a point, hence a final cell. The links are then joined up
+    over all cells.
+
+    A box that ends on a cut line is in the line's own cell, which it covers, and
+    not beyond the line. So each cut leaves a cell a share of its corners, and a
+    cell without corners inside is covered: the rounds grow with the logarithm of
+    the boxes, whatever the boxes are.
     """
     folded = durable(
         boxes.groupBy("image_id", *CORNERS).agg(F.min("det_idx").alias("rep"))
     )
     extent = folded.groupBy("image_id").agg(
-        F.min("x1").alias("cx1"),
-        F.min("y1").alias("cy1"),
-        F.max("x2").alias("cx2"),
-        F.max("y2").alias("cy2"),
+        (F.min("x1") - 1).alias("cx1"),
+        (F.min("y1") - 1).alias("cy1"),
+        (F.max("x2") + 1).alias("cx2"),
+        (F.max("y2") + 1).alias("cy2"),
     )
-    bounds = ["cx1", "cy1", "cx2", "cy2"]
-    cell = ["image_id", *bounds]
+    cell = ["image_id", "cx1", "cy1", "cx2", "cy2"]
     todo = salted_join(folded, extent, ["image_id"], "rep")
-    spans_x = (F.col("x1") <= F.col("cx1")) & (F.col("x2") >= F.col("cx2"))
-    spans_y = (F.col("y1") <= F.col("cy1")) & (F.col("y2") >= F.col("cy2"))
-    links = []
-    for depth in range(MAX_CUTS + 1):
-        todo = durable(todo)
+    spans = (
+        (F.col("x1") <= F.col("cx1"))
+        & (F.col("x2") >= F.col("cx2"))
+        & (F.col("y1") <= F.col("cy1"))
+        & (F.col("y2") >= F.col("cy2"))
+    )
+    links, todo = [], durable(todo)
+    while True:
         counts = durable(
             todo.groupBy(*cell).agg(
                 F.count("*").alias("n"),
                 F.min("rep").alias("low"),
-                F.bool_or(spans_x & spans_y).alias("covered"),
-                F.bool_and(spans_x).alias("all_x"),
-                F.bool_and(spans_y).alias("all_y"),
+                F.bool_or(spans).alias("covered"),
             )
         )
-        few = F.col("n") <= limit if depth < MAX_CUTS else F.lit(True)
+        few = F.col("n") <= limit
         links.append(
             salted_join(todo, counts.where("covered").select(*cell, "low"), cell, "rep")
             .select("image_id", F.col("rep").alias("src"), F.col("low").alias("dst"))
+            .distinct()
         )
         packed = (
             salted_join(todo, counts.where(~F.col("covered") & few).select(*cell), cell, "rep")
@@ -184,14 +198,17 @@ def _large_components(boxes, limit):
                         ),
                     )
                 ).alias("r"),
-            ).select("image_id", "r.*")
+            )
+            .select("image_id", "r.*")
+            .distinct()
         )
-        crowded = counts.where(~F.col("covered") & ~few)
+        links[-2:] = [durable(links[-2].unionByName(links[-1]))]
+        crowded = counts.where(~F.col("covered") & ~few).select(*cell)
         if crowded.isEmpty():
             break
-        todo = _cut_cells(
-            salted_join(todo, crowded.select(*cell, "all_x", "all_y"), cell, "rep")
-        )
+        last, todo = todo, _cut_cells(salted_join(todo, crowded, cell, "rep"), cell)
+        todo = durable(todo)
+        discard(last, counts)
     edges = links[0]
     for more in links[1:]:
         edges = edges.unionByName(more)
@@ -204,28 +221,61 @@ def _large_components(boxes, limit):
     )
 
 
-def _cut_cells(todo):
-    """Replace each cell by the parts its boxes reach, edges included."""
-    for axis, low, high in (("x", "x1", "x2"), ("y", "y1", "y2")):
-        start, end = F.col(f"c{low}"), F.col(f"c{high}")
-        parts = F.when(F.col(f"all_{axis}"), 1).otherwise(CUTS)
+def _cut_cells(todo, cell):
+    """Replace each cell by the parts its boxes reach, cut along one axis.
 
-        def edge(i, start=start, end=end, parts=parts):
-            return F.when(i == parts, end).otherwise(start + (end - start) * (i / parts))
+    The axis is the one with more corners inside the cell. Cuts are shares of the
+    lower and of the upper corners, so both kinds get fewer in every part.
+    """
 
-        reached = F.filter(
-            F.transform(
-                F.sequence(F.lit(0), parts - 1),
-                lambda i: F.struct(edge(i).alias("a"), edge(i + 1).alias("z")),
-            ),
-            lambda p: (F.col(low) <= p["z"]) & (F.col(high) >= p["a"]),
-        )
-        todo = (
-            todo.withColumn("_p", F.explode(reached))
-            .withColumns({f"c{low}": F.col("_p.a"), f"c{high}": F.col("_p.z")})
-            .drop("_p")
+    def inside(name):
+        axis = name[0]
+        return (F.col(name) > F.col(f"c{axis}1")) & (F.col(name) < F.col(f"c{axis}2"))
+
+    shares = F.array(*[F.lit(c) for c in CUTS])
+    corners = todo.groupBy(*cell).agg(
+        *[
+            F.percentile_approx(F.when(inside(c), F.col(c)), shares, 1000).alias(f"q{c}")
+            for c in CORNERS
+        ],
+        *[F.count_if(inside(c)).alias(f"n{c}") for c in CORNERS],
+    )
+    none = F.array().cast("array<double>")
+
+    def cuts(axis):
+        both = F.concat(*[F.coalesce(f"q{axis}{k}", none) for k in (1, 2)])
+        return F.array_sort(F.array_distinct(both))
+
+    along = F.col("nx1") + F.col("nx2") >= F.col("ny1") + F.col("ny2")
+    corners = corners.select(
+        *cell, along.alias("along"), F.when(along, cuts("x")).otherwise(cuts("y")).alias("cuts")
+    )
+    pick = lambda x, y: F.when(F.col("along"), F.col(x)).otherwise(F.col(y))
+    todo = salted_join(todo, corners, cell, "rep").withColumns(
+        {"_low": pick("x1", "y1"), "_high": pick("x2", "y2")}
+    )
+    edges = F.concat(F.array(pick("cx1", "cy1")), "cuts", F.array(pick("cx2", "cy2")))
+    todo = todo.withColumn("_edges", edges)
+    open_parts = F.transform(
+        F.sequence(F.lit(0), F.size("cuts")),
+        lambda i: F.struct(
+            F.get(F.col("_edges"), i).alias("a"), F.get(F.col("_edges"), i + 1).alias("z")
+        ),
+    )
+    lines = F.transform("cuts", lambda c: F.struct(c.alias("a"), c.alias("z")))
+    reached = F.concat(
+        F.filter(open_parts, lambda p: (F.col("_low") < p["z"]) & (F.col("_high") > p["a"])),
+        F.filter(lines, lambda p: (F.col("_low") <= p["a"]) & (F.col("_high") >= p["a"])),
+    )
+    todo = todo.withColumn("_p", F.explode(reached))
+    for axis, on in (("x", F.col("along")), ("y", ~F.col("along"))):
+        todo = todo.withColumns(
+            {
+                f"c{axis}1": F.when(on, F.col("_p.a")).otherwise(F.col(f"c{axis}1")),
+                f"c{axis}2": F.when(on, F.col("_p.z")).otherwise(F.col(f"c{axis}2")),
+            }
         )
-    return todo.drop("all_x", "all_y")
+    return todo.drop("_p", "_low", "_high", "_edges", "cuts", "along")
 
 
 def merge_clusters(
@@ -240,6 +290,8 @@ def merge_clusters(
 ) -> DataFrame:
     """Replace each dense group of source-class boxes by one target-class box.
 
+    Boxes without a class, and images without a size, pass through unmerged.
+
     `sizes` is (width, height) or a DataFrame of image_id, width, height. Boxes
     of the source class are grown by `margin` of the longer image side; groups
     linked by overlap with at least `min_size` boxes become one box around them
@@ -249,7 +301,8 @@ def merge_clusters(
     `first_det` is the first of them.
     """
     info = _image_info(sizes, target_class_id, target_class_name)
-    is_other = F.col("class_id") != source_class_id
+    # A box without a class is not of the source class.
+    is_other = ~F.col("class_id").eqNullSafe(F.lit(source_class_id))
     return _merge(dets, is_other, info, margin, min_size, limit)
 
 
@@ -344,6 +397,7 @@ def _merge(dets, is_other, info, margin, min_size, limit):
     if large is not None:
         labelled = _label_large(large, info, margin, min_size, limit)
         ranked = rank_large(_collapse(labelled), ["image_id"], _sort_key(), "out_pos")
+        ranked = ranked.withColumn("out_pos", F.col("out_pos").cast("int"))
         out = out.unionByName(ranked.select(*out.columns))
     return out
 
@@ -392,8 +446,8 @@ def _with_info(df, info, small):
     if not isinstance(info, DataFrame):
         return df.withColumns(info)
     if small:
-        return df.join(info, "image_id")
-    return salted_join(df, info, ["image_id"], "det_idx")
+        return df.join(info, "image_id", "left")
+    return salted_join(df, info, ["image_id"], "det_idx", "left")
 
 
 def _merge_small(dets, info, margin, min_size):
@@ -406,7 +460,10 @@ def _merge_small(dets, info, margin, min_size):
     grow = margin_pixels(margin, "width", "height")
     packed = packed.withColumn("s", F.filter("b", lambda b: ~b["is_other"]))
     packed = packed.withColumns(
-        {"active": F.lit(min_size >= 2) & (F.size("s") >= min_size), "grow": grow}
+        {
+            "active": F.lit(min_size >= 2) & (F.size("s") >= min_size) & grow.isNotNull(),
+            "grow": grow,
+        }
     )
     arrays = [
         F.when(F.col("active"), _field("s", c, k * F.col("grow"))).otherwise(
@@ -486,11 +543,15 @@ def _merge_small(dets, info, margin, min_size):
 def _label_large(dets, info, margin, min_size, limit):
     """Label boxes of images larger than one task."""
     dets = durable(_with_info(dets, info, small=False))
+    grow = margin_pixels(margin, "width", "height")
     image = dets.groupBy("image_id").agg(
-        (F.lit(min_size >= 2) & (F.count_if(~F.col("is_other")) >= min_size)).alias("active")
+        (
+            F.lit(min_size >= 2)
+            & (F.count_if(~F.col("is_other")) >= min_size)
+            & F.max(grow).isNotNull()
+        ).alias("active")
     )
-    grow = margin_pixels(margin, "width", "height")
-    grown = dets.where(~F.col("is_other")).select(
+    grown = dets.where(~F.col("is_other") & grow.isNotNull()).select(
         "image_id",
         "det_idx",
         *[c.alias(n) for n, c in zip(CORNERS, inflate(*CORNERS, grow))],

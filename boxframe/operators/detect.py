@@ -1,15 +1,21 @@
 """Scoring images in batch, and what is done with the detections."""
 
+import hashlib
+import sys
+import types
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import to_label_boxes
-from ..schema import TARGET_CLASS
+from ..schema import TARGET_CLASS, require_share
 from .classes import name_classes, vocabulary
 from .cluster import CORNERS, merge_clusters, merge_configured
 from .groups import SLICE_ROWS, durable
+from .raster import equalize_images
 
 DETECTED = "det_idx int, x1 double, y1 double, x2 double, y2 double, confidence double, class_id int"
 
@@ -20,40 +26,68 @@ def usable_frames(images):
     return images.where(ok), images.where(~ok)
 
 
-def detect(images: DataFrame, make_scorer, conf: float, classes: DataFrame | None = None):
-    """Score images with the caller's function.
+def _scorer(key, make_scorer):
+    """The scorer of this Python worker, made once per worker and key.
 
-    `images` has image_id, height, width, nChannels, data (as the image source
-    gives them). `make_scorer` runs once per Python worker task and returns a
-    function from an HxWx3 uint8 array to rows of x1, y1, x2, y2, confidence,
-    class_id. Images travel in Arrow batches; set
-    spark.sql.execution.arrow.maxRecordsPerBatch low for large ones.
+    Workers outlive tasks, modules outlive the functions sent with a task.
     """
-    good, _ = usable_frames(images)
-    good = good.select("image_id", "height", "width", "data")
-    key = good.schema["image_id"].dataType.simpleString()
+    kept = sys.modules.setdefault("_boxframe_scorers", types.ModuleType("_boxframe_scorers"))
+    if not hasattr(kept, key):
+        setattr(kept, key, make_scorer())
+    return getattr(kept, key)
+
+
+def _score(images, make_scorer, conf):
+    """Detections of usable images, with the image's width and height."""
+    require_share("conf", conf)
+    good = images.select("image_id", "height", "width", "data")
+    kind = good.schema["image_id"].dataType.simpleString()
+    key = "s" + hashlib.sha256(cloudpickle.dumps(make_scorer)).hexdigest()
 
     def score(batches):
-        scorer = make_scorer()
+        scorer = _scorer(key, make_scorer)
         for batch in batches:
-            parts = []
-            for image, high, wide, data in batch.itertuples(index=False):
+            blocks, at = [np.empty((0, 6))], []
+            for i, (high, wide, data) in enumerate(
+                zip(batch["height"], batch["width"], batch["data"], strict=True)
+            ):
                 frame = np.frombuffer(data, dtype=np.uint8).reshape(high, wide, 3)
                 found = np.asarray(scorer(frame), dtype=float).reshape(-1, 6)
                 found = found[found[:, 4] >= conf]
-                part = pd.DataFrame(found[:, :5], columns=[*CORNERS, "confidence"])
-                part["class_id"] = found[:, 5].astype("int32")
-                part.insert(0, "det_idx", np.arange(len(part), dtype="int32"))
-                part.insert(0, "image_id", image)
-                parts.append(part)
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+                blocks.append(found)
+                at.append(np.stack([np.full(len(found), i), np.arange(len(found))]))
+            if not at:
+                continue
+            found = np.concatenate(blocks)
+            image, number = np.concatenate(at, axis=1)
+            out = pd.DataFrame(found[:, :5], columns=[*CORNERS, "confidence"])
+            out["class_id"] = found[:, 5].astype("int32")
+            out.insert(0, "det_idx", number.astype("int32"))
+            out.insert(0, "image_id", batch["image_id"].to_numpy()[image])
+            out["width"] = batch["width"].to_numpy()[image]
+            out["height"] = batch["height"].to_numpy()[image]
+            yield out
+
+    return good.mapInPandas(score, f"image_id {kind}, {DETECTED}, width int, height int")
 
-    dets = good.mapInPandas(score, f"image_id {key}, {DETECTED}")
-    return dets if classes is None else name_classes(dets, classes)
+
+def detect(images: DataFrame, make_scorer, conf: float, classes: DataFrame | None = None):
+    """Score images with the caller's function: (detections, images not scored).
+
+    `images` has image_id, height, width, nChannels, data (as the image source
+    gives them); those without three channels or that could not be decoded are
+    not scored. `make_scorer` runs once per Python worker and returns a function
+    from an HxWx3 uint8 array to rows of x1, y1, x2, y2, confidence, class_id.
+    Images travel in Arrow batches; set spark.sql.execution.arrow.maxRecordsPerBatch
+    low for large ones.
+    """
+    good, unusable = usable_frames(images)
+    dets = _score(good, make_scorer, conf).drop("width", "height")
+    return dets if classes is None else name_classes(dets, classes), unusable
 
 
 def confident(dets, threshold):
+    require_share("threshold", threshold)
     return dets.where(F.col("confidence") >= threshold)
 
 
@@ -86,11 +120,11 @@ def latency(runs, column="inference_ms"):
 
 
 def nest_predictions(dets, images, part_rows=SLICE_ROWS):
-    """One row per image with its detections as an array, size and time.
+    """Detections as arrays, with the image's size and time; key (image_id, part).
 
     `images` has image_id, width, height, inference_ms; images without
-    detections get an empty array. Above `part_rows` detections an image gets
-    several rows, `part` counting from 0, so no array grows without bound.
+    detections get an empty array. A part holds `part_rows` places in display
+    order, so no array grows without bound; parts count from 0.
     """
     box = F.struct("out_pos", *CORNERS, "confidence", "class_id", "class_name")
     nested = (
@@ -112,23 +146,34 @@ def write_predictions(dets, images, path, **options):
     nest_predictions(dets, images).write.mode("overwrite").options(**options).parquet(path)
 
 
-def predict(images, make_scorer, conf, names, merge):
-    """Scored images with dense groups merged as `merge` says."""
+def predict(images, make_scorer, conf, names, merge, contrast=None):
+    """Scored images with dense groups merged as `merge` says: (detections, images
+    not scored).
+
+    `contrast` (tiles, clip) equalises each image first. Images are decoded once:
+    the merge takes their sizes from the scores.
+    """
+    good, unusable = usable_frames(images)
+    if contrast is not None:
+        good = equalize_images(good, *contrast)
     classes = vocabulary(images.sparkSession, names)
     # Scoring is the costly step: its rows are written once and read from there.
-    dets = durable(detect(images, make_scorer, conf, classes))
-    return merge_configured(
-        dets, images.select("image_id", "width", "height"), merge, names
-    )
+    dets = durable(_score(good, make_scorer, conf))
+    sizes = dets.select("image_id", "width", "height").distinct()
+    named = name_classes(dets.drop("width", "height"), classes)
+    return merge_configured(named, sizes, merge, names), unusable
 
 
 def pseudo_labels(dets, sizes, threshold, margin=0.01, min_size=3, **more):
-    """Merged, filtered detections as label boxes, numbered in display order."""
+    """Merged, filtered detections as label boxes, numbered in display order.
+
+    Boxes of images without a size stay, without a place.
+    """
     merged = confident(
         merge_clusters(dets, sizes, margin=margin, min_size=min_size, **more), threshold
     )
     if isinstance(sizes, DataFrame):
-        merged = merged.join(sizes.select("image_id", "width", "height"), "image_id")
+        merged = merged.join(sizes.select("image_id", "width", "height"), "image_id", "left")
     else:
         merged = merged.withColumns({"width": F.lit(sizes[0]), "height": F.lit(sizes[1])})
     return to_label_boxes(merged).select(

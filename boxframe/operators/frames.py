@@ -10,6 +10,7 @@ supplies what came before.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import require_every
 from .groups import SLICE_ROWS
 
 # Entries in the rolling rate, failed reads that end a source,
@@ -307,6 +308,7 @@ def streak_alerts(frames, streak=EMPTY_FRAMES, cutoff=FAILED_READS, **more):
 
 def every_nth(numbered, n):
     """Frames on which detection runs."""
+    require_every(n)
     return numbered.where((F.col("frame_number") - 1) % n == 0)
 
 

@@ -65,11 +65,16 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
+def remove(spark, path: str) -> None:
+    """Delete a folder, if it is there."""
+    path, files = _hadoop_path(spark, path)
+    files.delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what `durable` wrote; nothing may read these tables afterwards."""
     for table in tables:
-        path, files = _hadoop_path(table.sparkSession, table._durable_path)
-        files.delete(path, True)
+        remove(table.sparkSession, table._durable_path)
 
 
 def computed_once(df: DataFrame, columns: dict) -> DataFrame:
@@ -97,9 +102,15 @@ def split_hot(df: DataFrame, keys: list[str], limit: int, counted=None):
     if found == 0:
         return df, None
     large = durable(large)
-    if found <= BROADCAST_KEYS:
-        large = F.broadcast(large)
-    return df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
+    large = F.broadcast(large) if found <= BROADCAST_KEYS else large.hint("merge")
+    return same_join(df, large, keys, "left_anti"), same_join(df, large, keys, "left_semi")
+
+
+def same_join(left: DataFrame, right: DataFrame, keys: list[str], how="inner"):
+    """Join on keys of which null equals null; the keys are those of `left`."""
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_same_{k}" for k in keys])
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str, how="inner"):
@@ -110,20 +121,18 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str,
     """
     salt = F.pmod(F.hash(spread), F.lit(SALTS))
     copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    return (
-        big.withColumn("_salt", salt)
-        .join(small.withColumn("_salt", copies), keys + ["_salt"], how)
-        .drop("_salt")
-    )
+    small = small.withColumn("_salt", copies)
+    return same_join(big.withColumn("_salt", salt), small, keys + ["_salt"], how).drop("_salt")
 
 
 def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how="inner"):
     """Join of two large sides where one key may hold much of `big`.
 
     Sort-merge, so that no side is broadcast on a wrong estimate and adaptive
-    execution can split the partitions of a hot key; `small` is not copied.
+    execution can split the partitions of a hot key; `small` is not copied. Null
+    keys meet null keys.
     """
-    return big.join(small.hint("merge"), keys, how)
+    return same_join(big, small.hint("merge"), keys, how)
 
 
 def rank_large(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
@@ -151,34 +160,17 @@ def rank_large(df: DataFrame, keys: list[str], order: list, name: str) -> DataFr
     )
     inside = Window.partitionBy(*keys, "_range").orderBy(*sort)
     return (
-        ranged.join(shift, keys + ["_range"])
-        .withColumn(
-            name,
-            (F.row_number().over(inside) - 1 + F.col("_shift")).cast("int"),
-        )
+        same_join(ranged, shift, keys + ["_range"])
+        .withColumn(name, F.row_number().over(inside) - 1 + F.col("_shift"))
         .drop("_range", "_shift", *sort)
     )
 
 
-def number_rows(df, keys, order, name, slice_rows=SLICE_ROWS):
-    """Number rows from 1 within each key by an integer order column.
+def number_rows(df, keys, order, name):
+    """Number rows from 1 within each key by an order column, nulls first.
 
-    A key's rows are cut into slices of the order column, so a key with very
-    many rows is numbered by many tasks; the slice counts give the offsets.
+    The rows are cut by rank, so neither a key with very many rows nor an order
+    column with gaps brings all of them to one task.
     """
-    cut = df.withColumn("_slice", F.floor(F.col(order) / F.lit(slice_rows)))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = (
-        cut.groupBy(*keys, "_slice")
-        .count()
-        .withColumn("_offset", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
-        .drop("count")
-    )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(order)
-    return (
-        cut.join(offsets, keys + ["_slice"])
-        .withColumn(name, F.row_number().over(inside) + F.col("_offset"))
-        .drop("_slice", "_offset")
-    )
+    ranked = rank_large(df, keys, [F.col(order)], name)
+    return ranked.withColumn(name, F.col(name) + 1)

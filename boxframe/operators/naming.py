@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stem, suffix
-from .groups import SLICE_ROWS, durable, number_rows, skew_join
+from .groups import durable, number_rows, same_join, skew_join
 
 NUMBERED = r"(?s)^(.+) - ([1-9][0-9]*)\z"
 CHAIN = r"(?s)^.+?(( - [1-9][0-9]*)+)\z"
@@ -35,31 +35,34 @@ def _parsed(names):
     )
 
 
-def sum_before(marks, events, keys, order, out, slice_rows=SLICE_ROWS):
+def sum_before(marks, events, keys, order, out):
     """For each mark the total `weight` of events of its key with a lower `order`.
 
-    Both sides are cut into slices of the order column; one sum per slice gives
-    what lies before it.
+    Both sides are range-sorted together; one sum per key and range gives what
+    lies before it. Equal places are in one range.
     """
     both = marks.withColumns({"weight": F.lit(0).cast("bigint"), "_mark": F.lit(True)})
     both = both.unionByName(
         events.select(*keys, order, F.col("weight").cast("bigint").alias("weight")),
         allowMissingColumns=True,
-    ).withColumn("_slice", F.floor(F.col(order) / F.lit(slice_rows)))
-    line = Window.partitionBy(*keys).orderBy("_slice")
+    )
+    both = durable(
+        both.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id())
+    )
+    line = Window.partitionBy(*keys).orderBy("_range")
     earlier = F.sum("_sum").over(line.rowsBetween(Window.unboundedPreceding, -1))
     offsets = (
-        both.groupBy(*keys, "_slice")
+        both.groupBy(*keys, "_range")
         .agg(F.sum("weight").alias("_sum"))
-        .select(*keys, "_slice", F.coalesce(earlier, F.lit(0)).alias("_offset"))
+        .select(*keys, "_range", F.coalesce(earlier, F.lit(0)).alias("_offset"))
     )
-    below = Window.partitionBy(*keys, "_slice").orderBy(order)
+    below = Window.partitionBy(*keys, "_range").orderBy(order)
     inside = F.sum("weight").over(below.rangeBetween(Window.unboundedPreceding, -1))
     return (
-        both.join(offsets, [*keys, "_slice"])
+        same_join(both, offsets, [*keys, "_range"])
         .withColumn(out, F.col("_offset") + F.coalesce(inside, F.lit(0)))
         .where("_mark")
-        .drop("_mark", "_slice", "_offset", "weight")
+        .drop("_mark", "_range", "_offset", "weight")
     )
 
 

@@ -1,10 +1,10 @@
-"""Local contrast on rasters kept as pixel rows, and checks on image files."""
+"""Local contrast on images, and checks on image files."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .groups import computed_once
-
 LEVELS = 256
 
 # The first bytes of common image files, in hexadecimal.
@@ -39,146 +39,59 @@ def audit_totals(audited):
     return audited.groupBy("status").agg(F.count("*").alias("files"))
 
 
-def tile_tables(pixels: DataFrame, tiles: int = 8, clip: float = 2.0) -> DataFrame:
-    """Per image and tile a lookup table of 256 output levels.
+def _tile_tables(plane, tiles, clip):
+    """For each tile of a grey image a table of output levels, (tiles, tiles, 256).
 
-    `pixels` has id, x, y, v and the image's width and height. Counts per level
-    are combined before the shuffle; what follows is 256 values per tile.
+    Tiles are equal shares of the image; one without pixels takes the table of
+    the nearest that has some.
     """
-    placed = pixels.select(
-        "id",
-        F.floor(F.col("x") * tiles / F.col("width")).cast("int").alias("tx"),
-        F.floor(F.col("y") * tiles / F.col("height")).cast("int").alias("ty"),
-        "v",
-    )
-    counts = placed.groupBy("id", "tx", "ty", "v").agg(F.count("*").alias("n"))
-    tile = counts.groupBy("id", "tx", "ty").agg(
-        F.sum("n").alias("pixels"),
-        F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("m"),
-    )
-    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
-    zero = F.lit(0).cast("bigint")
-    height = F.greatest(
-        F.floor(F.lit(float(clip)) * F.col("pixels") / LEVELS), F.lit(1).cast("bigint")
-    )
-    tile = tile.withColumns(
-        {
-            "h": F.transform(levels, lambda v: F.coalesce(F.try_element_at("m", v), zero)),
-            "top": height,
-        }
-    )
-    excess = F.aggregate(
-        "h", zero, lambda a, c: a + F.greatest(c - F.col("top"), zero)
-    )
-    tile = tile.withColumn("excess", excess)
-    share = F.floor(F.col("excess") / LEVELS)
-    left = F.col("excess") - share * LEVELS
-    step = F.greatest(F.floor(F.lit(LEVELS) / left), F.lit(1))
-    tile = tile.withColumns({"share": share, "rest": left}).withColumn(
-        "step", F.when(F.col("rest") > 0, step).otherwise(F.lit(1))
-    )
-    spread = F.transform(
-        "h",
-        lambda c, v: F.least(c, F.col("top"))
-        + F.col("share")
-        + F.when(
-            (F.col("rest") > 0)
-            & (v % F.col("step") == 0)
-            & (F.floor(v / F.col("step")) < F.col("rest")),
-            1,
-        ).otherwise(0),
-    )
-    tile = computed_once(tile, {"h": spread})
-    # Running sums by blocks of 16 levels: whole blocks below, then the rest.
-    def total(values):
-        return F.aggregate(values, zero, lambda a, c: a + c)
-
-    def start(v):
-        return F.floor(v / 16).cast("int")
-
-    tile = computed_once(
-        tile,
-        {
-            "h": F.col("h"),
-            "blocks": F.transform(
-                F.sequence(F.lit(0), F.lit(15)), lambda b: total(F.slice("h", b * 16 + 1, 16))
-            ),
-        },
-    )
-    running = F.transform(
-        levels,
-        lambda v: total(F.slice("blocks", F.lit(1), start(v)))
-        + total(F.slice("h", start(v) * 16 + 1, v % 16 + 1)),
-    )
-    table = F.transform(
-        running,
-        lambda s: F.least(
-            F.floor(s * F.lit(255.0) / F.col("pixels") + 0.5), F.lit(255)
-        ).cast("int"),
-    )
-    return tile.select("id", "tx", "ty", table.alias("lut"))
-
-
-def tile_equalize(pixels: DataFrame, tiles: int = 8, clip: float = 2.0) -> DataFrame:
-    """Contrast-limited local equalisation: `out` beside each pixel's v.
-
-    Each pixel blends the tables of the four nearest tiles. Pixels are joined by
-    the square between four tile centres, so one image spreads over
-    (tiles + 1)^2 keys and a pixel meets one row holding its four tables.
+    high, wide = plane.shape
+    down, across = np.arange(high) * tiles // high, np.arange(wide) * tiles // wide
+    cell = (down[:, None] * tiles + across) * LEVELS + plane
+    counts = np.bincount(cell.ravel(), minlength=tiles * tiles * LEVELS)
+    counts = counts.reshape(tiles * tiles, LEVELS)
+    pixels = counts.sum(1, keepdims=True)
+    top = np.maximum(np.floor(clip * pixels / LEVELS).astype(np.int64), 1)
+    excess = np.maximum(counts - top, 0).sum(1, keepdims=True)
+    rest = excess % LEVELS
+    step = np.maximum(LEVELS // np.maximum(rest, 1), 1)
+    level = np.arange(LEVELS)
+    one_more = (level % step == 0) & (level // step < rest)
+    counts = np.minimum(counts, top) + excess // LEVELS + one_more
+    shares = np.cumsum(counts, 1) * 255.0 / np.maximum(pixels, 1)
+    tables = np.minimum(np.floor(shares + 0.5), 255).reshape(tiles, tiles, LEVELS)
+    near_y, near_x = (_nearest(np.unique(used), tiles) for used in (down, across))
+    return tables[near_y][:, near_x]
+
+
+def _nearest(used, tiles):
+    return used[np.abs(np.arange(tiles)[:, None] - used).argmin(1)]
+
+
+def equalize_plane(plane, tiles, clip):
+    """Contrast-limited local equalisation of a grey image (2-d array of bytes).
+
+    Each pixel blends the tables of the four nearest tiles.
     """
-    tables = tile_tables(pixels, tiles, clip)
-    corners = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                for dx in (0, 1)
-                for dy in (0, 1)
-            ]
-        )
-    )
-    # A tile is a corner of four squares; squares at the border use the nearest
-    # tile for corners outside the grid.
-    squares = tables.select("id", "tx", "ty", "lut", corners.alias("c")).select(
-        "id",
-        (F.col("tx") + F.col("c.dx") - 1).alias("sx"),
-        (F.col("ty") + F.col("c.dy") - 1).alias("sy"),
-        (1 - F.col("c.dx")).alias("cx"),
-        (1 - F.col("c.dy")).alias("cy"),
-        "lut",
-    )
-    four = squares.groupBy("id", "sx", "sy").agg(
-        *[
-            F.max(F.when((F.col("cx") == x) & (F.col("cy") == y), F.col("lut"))).alias(f"t{x}{y}")
-            for x in (0, 1)
-            for y in (0, 1)
-        ]
-    )
-    fx = (F.col("x") + 0.5) * tiles / F.col("width") - 0.5
-    fy = (F.col("y") + 0.5) * tiles / F.col("height") - 0.5
-    placed = pixels.withColumns(
-        {"sx": F.floor(fx).cast("int"), "sy": F.floor(fy).cast("int")}
-    ).withColumns({"ax": fx - F.col("sx"), "ay": fy - F.col("sy")})
-    joined = placed.join(four, ["id", "sx", "sy"])
-
-    def level(x, y):
-        options = [f"t{x}{y}", f"t{1 - x}{y}", f"t{x}{1 - y}", f"t{1 - x}{1 - y}"]
-        return F.get(F.coalesce(*options), F.col("v"))
-
-    top = level(0, 0) * (1 - F.col("ax")) + level(1, 0) * F.col("ax")
-    bottom = level(0, 1) * (1 - F.col("ax")) + level(1, 1) * F.col("ax")
-    out = F.floor(top * (1 - F.col("ay")) + bottom * F.col("ay") + 0.5).cast("int")
-    return joined.select(*pixels.columns, out.alias("out"))
-
-
-def _linear(c):
-    s = F.col(c) / 255.0
-    return F.when(s > 0.04045, F.pow((s + 0.055) / 1.055, F.lit(2.4))).otherwise(s / 12.92)
-
-
-def _encoded(c):
-    s = F.when(c > 0.0031308, 1.055 * F.pow(F.greatest(c, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)
-    v = s.otherwise(c * 12.92)
-    return F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * 255 + 0.5).cast("int")
+    high, wide = plane.shape
+    tables = _tile_tables(plane, tiles, clip)
+
+    def place(size):
+        at = (np.arange(size) + 0.5) * tiles / size - 0.5
+        low = np.floor(at).astype(int)
+        return np.clip(low, 0, tiles - 1), np.clip(low + 1, 0, tiles - 1), at - low
+
+    left, right, ax = place(wide)
+    out = np.empty_like(plane)
+    above, below, ay = place(high)
+    # A row at a time: a row meets two rows of tables.
+    for y in range(high):
+        v, mix = plane[y], ay[y]
+        upper, lower = tables[above[y]], tables[below[y]]
+        top = upper[left, v] * (1 - ax) + upper[right, v] * ax
+        bottom = lower[left, v] * (1 - ax) + lower[right, v] * ax
+        out[y] = np.floor(top * (1 - mix) + bottom * mix + 0.5)
+    return out
 
 
 # sRGB to CIE XYZ for the D65 white point, its inverse, the white
@@ -198,31 +111,48 @@ LAB_LOW = 0.008856
 LAB_SLOPE = 7.787
 
 
-def equalize_colour(pixels: DataFrame, tiles: int = 8, clip: float = 2.0) -> DataFrame:
-    """The same for colour pixels (id, x, y, b, g, r): only lightness changes."""
-    linear = [_linear(c) for c in ("r", "g", "b")]
-    xyz = [
-        sum((k * c for k, c in zip(row, linear)), F.lit(0.0)) / w
-        for row, w in zip(TO_XYZ, WHITE)
-    ]
-    lab = [
-        F.when(t > LAB_LOW, F.pow(t, F.lit(1 / 3))).otherwise(LAB_SLOPE * t + 16 / 116)
-        for t in xyz
-    ]
-    prepared = pixels.withColumns(
-        {
-            "_a": lab[0] - lab[1],
-            "_b": lab[1] - lab[2],
-            "v": F.floor(F.greatest(116 * lab[1] - 16, F.lit(0.0)) * 2.55 + 0.5).cast("int"),
-        }
-    )
-    done = tile_equalize(prepared, tiles, clip)
-    fy = (F.col("out") / 2.55 + 16) / 116
-    back = []
-    for f, w in zip((fy + F.col("_a"), fy, fy - F.col("_b")), WHITE):
-        cube = f * f * f
-        back.append(F.when(cube > LAB_LOW, cube).otherwise((f - 16 / 116) / LAB_SLOPE) * w)
-    rgb = [sum((k * c for k, c in zip(row, back)), F.lit(0.0)) for row in FROM_XYZ]
-    return done.withColumns(
-        {"r": _encoded(rgb[0]), "g": _encoded(rgb[1]), "b": _encoded(rgb[2])}
-    ).drop("_a", "_b", "v", "out")
+def equalize_colour(frame, tiles, clip):
+    """The same for a colour image (blue, green, red): only lightness changes."""
+    level = np.arange(LEVELS) / 255.0
+    linear = np.where(level > 0.04045, ((level + 0.055) / 1.055) ** 2.4, level / 12.92)
+    rgb = linear[frame[:, :, ::-1]]
+    xyz = rgb @ np.array(TO_XYZ).T / np.array(WHITE)
+    f = np.where(xyz > LAB_LOW, np.cbrt(xyz), LAB_SLOPE * xyz + 16 / 116)
+    light = np.floor(np.maximum(116 * f[:, :, 1] - 16, 0) * 2.55 + 0.5).astype(np.uint8)
+    new = (equalize_plane(light, tiles, clip) / 2.55 + 16) / 116
+    f = f + (new - f[:, :, 1])[:, :, None]
+    cube = f**3
+    xyz = np.where(cube > LAB_LOW, cube, (f - 16 / 116) / LAB_SLOPE) * np.array(WHITE)
+    rgb = xyz @ np.array(FROM_XYZ).T
+    power = np.maximum(rgb, 0) ** (1 / 2.4)
+    rgb = np.where(rgb > 0.0031308, 1.055 * power - 0.055, rgb * 12.92)
+    rgb = np.floor(np.clip(rgb, 0, 1) * 255 + 0.5).astype(np.uint8)
+    return rgb[:, :, ::-1]
+
+
+def equalize_images(images: DataFrame, tiles: int = 8, clip: float = 2.0) -> DataFrame:
+    """Image rows (height, width, nChannels, data) with their contrast equalised.
+
+    Grey images are equalised as they are, colour images by lightness. Rows that
+    could not be decoded, or have other channels, stay as they are. An image is
+    worked on as one block of bytes by the task that holds its row; nothing is
+    shuffled.
+    """
+
+    @F.pandas_udf("binary")
+    def equalised(
+        high: pd.Series, wide: pd.Series, channels: pd.Series, data: pd.Series
+    ) -> pd.Series:
+        out = []
+        for h, w, n, raw in zip(high, wide, channels, data, strict=True):
+            if raw is None or n not in (1, 3) or h <= 0 or w <= 0:
+                out.append(raw)
+            elif n == 1:
+                plane = np.frombuffer(raw, np.uint8).reshape(int(h), int(w))
+                out.append(equalize_plane(plane, tiles, clip).tobytes())
+            else:
+                frame = np.frombuffer(raw, np.uint8).reshape(int(h), int(w), 3)
+                out.append(equalize_colour(frame, tiles, clip).tobytes())
+        return pd.Series(out)
+
+    return images.withColumn("data", equalised("height", "width", "nChannels", "data"))

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_line
 from .groups import PUSHED_LIMIT, number_rows, salted_join
 
-# Lines kept per run, and lines shown.
-KEPT_LINES = 4000
+# Fixed value: lines shown of a run.
 SHOWN_LINES = 400
 
 
@@ -15,14 +14,13 @@ def clean_log(lines):
     return lines.withColumn("line", clean_line("line"))
 
 
-def log_tail(lines: DataFrame, n: int = SHOWN_LINES, kept: int = KEPT_LINES) -> DataFrame:
+def log_tail(lines: DataFrame, n: int = SHOWN_LINES) -> DataFrame:
     """The last n lines of each run; seq is a whole number.
 
     A small row-number limit is applied before the shuffle, so each task sends
     at most n lines of a run, however long its log is. For a larger n the lines
-    are numbered from the end in slices of seq.
+    are numbered from the end by rank.
     """
-    n = min(n, kept)
     if n <= PUSHED_LIMIT:
         latest = Window.partitionBy("run").orderBy(F.desc("seq"))
         numbered = lines.withColumn("_n", F.row_number().over(latest))

@@ -19,7 +19,7 @@ from ..functions.text import (
     wanted_split,
 )
 from ..schema import LABEL_BOXES, SPLITS
-from .groups import computed_once, durable, number_rows
+from .groups import BROADCAST_KEYS, computed_once, durable, number_rows
 from .naming import unique_names
 
 LABEL_KEY = ["split", "stem"]
@@ -148,13 +148,23 @@ def _first_split(images):
     return best.select("filename", "r.*")
 
 
-def find_entries(requests, images, labels):
+def _chosen(big, small, keys):
+    """Rows of `big` whose keys are in `small`; few keys go to all executors."""
+    few = small.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return big.join(F.broadcast(small) if few else small.hint("merge"), keys, "left_semi")
+
+
+def find_entries(requests, images, lines):
     """Look up names over all splits: (entries found with valid box count, boxes).
 
-    `labels` are valid boxes. Names that are not file names find nothing.
+    Names that are not file names find nothing. Images are cut down to the names
+    asked for before their first split is looked for, and label lines to the
+    images found before they are parsed.
     """
-    names = requests.select("filename").where(valid_file_name("filename")).distinct()
-    found = names.join(_first_split(with_stem(images)), "filename")
+    names = durable(requests.select("filename").where(valid_file_name("filename")).distinct())
+    found = durable(_first_split(_chosen(with_stem(images), names, ["filename"])))
+    keys = found.select(*LABEL_KEY).distinct()
+    labels = valid_labels(parse_label_lines(_chosen(lines, keys, LABEL_KEY)))
     boxes = found.select("filename", *LABEL_KEY).join(labels, LABEL_KEY)
     counts = boxes.groupBy("filename").agg(F.count("*").alias("num_boxes"))
     entries = found.join(counts, "filename", "left").select(
@@ -327,6 +337,19 @@ def edit_boxes(labels, removed=None, cleared=None, added=None):
     return out.unionByName(behind.select(*labels.columns))
 
 
+def write_training_set(images, labels, path):
+    """Images of train and val with their boxes, as Parquet by split.
+
+    Refused, with the reason, unless both splits have images.
+    """
+    stats = with_stem(images).groupBy("split").agg(F.count("*").alias("images"))
+    gate = training_ready(stats).first()
+    if not gate.ready:
+        raise ValueError(gate.reason)
+    sets = [training_set(images, labels, s) for s in ("train", "val")]
+    sets[0].unionByName(sets[1]).write.mode("overwrite").partitionBy("split").parquet(path)
+
+
 def training_set(images, labels, split):
     """Images of one split with their boxes; an image without boxes stays."""
     chosen = with_stem(images).where(F.col("split") == split)

@@ -2,20 +2,29 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.geometry import area, intersects, iou
+from ..functions.geometry import intersects, iou
+from ..schema import require_share
 from .cluster import CORNERS
 from .groups import (
     GROUP_LIMIT,
     PUSHED_LIMIT,
+    discard,
     durable,
     rank_large,
     skew_join,
     split_hot,
 )
 
+# Boxes of one tile that are compared at once, and how many sides wide a tile is.
+TILE_ROWS = 1000
+TILE_SIDES = 16
+
 
 def suppress(
     dets: DataFrame,
@@ -27,8 +36,10 @@ def suppress(
     """Keep a box unless a kept box with higher confidence overlaps it too much.
 
     Boxes are taken by falling confidence, then det_idx, per image and class
-    (per image if `agnostic`). `max_per_image` keeps the best boxes only.
+    (per image if `agnostic`). `max_per_image` keeps the best boxes only. Boxes
+    without area, or with a corner missing, overlap nothing.
     """
+    require_share("threshold", threshold)
     keys = ["image_id"] if agnostic else ["image_id", "class_id"]
     small, large = split_hot(dets, keys, limit)
     out = _suppress_small(small, keys, threshold)
@@ -71,84 +82,122 @@ def _suppress_small(dets, keys, threshold):
     )
 
 
-def _overlap_cells(threshold):
-    """Keys such that two boxes that overlap enough have one in common.
+def _reach(threshold, span):
+    """Keys of places, such that two boxes that overlap enough have one in common.
 
-    Overlap above t means both sides differ by a factor below 1/t, and centres
-    by less than (1 - t) of the longer side. Sides are put in steps of that
-    factor and each box is entered at its step and the next; centres are put in
-    cells of that width, and each box is entered in its cell and the next.
+    Overlap above t means both sides differ by a factor below 1/t, and centres by
+    less than (1 - t) of the longer side. Sides are put in steps of that factor;
+    places of a step are `span` times its longest side wide. The first result is
+    the place a box's centre is in, the second all places in which a box that
+    overlaps it can have its centre.
     """
     slack = 1.0001
     base = slack / threshold
 
     def steps(low, high):
-        step = F.floor(F.log(F.col(high) - F.col(low)) / math.log(base)).cast("int")
+        side = F.col(high) - F.col(low)
+        step = F.floor(F.log(side) / math.log(base)).cast("int")
         middle = (F.col(low) + F.col(high)) / 2
-        reach = slack * (1 - threshold)
 
-        def cells(s):
-            cell = F.floor(middle / (F.pow(F.lit(base), s + 1) * reach))
+        def place(at, s):
+            return F.floor(at / (F.pow(F.lit(base), s + 1) * span)).cast("long")
+
+        def near(s):
+            far = slack * (1 - threshold) * F.greatest(side, F.pow(F.lit(base), s + 1))
             return F.transform(
-                F.array(cell, cell + 1),
-                lambda c: F.struct(s.alias("step"), c.alias("cell")),
+                F.sequence(place(middle - far, s), place(middle + far, s)),
+                lambda c: F.struct(s.alias("step"), c.alias("place")),
             )
 
-        return F.flatten(F.transform(F.array(step, step + 1), cells))
+        own = F.struct(step.alias("step"), place(middle, step).alias("place"))
+        return own, F.flatten(F.transform(F.array(step - 1, step, step + 1), near))
 
-    across, down = steps("x1", "x2"), steps("y1", "y2")
-    return F.flatten(
+    (own_x, across), (own_y, down) = steps("x1", "x2"), steps("y1", "y2")
+    every = F.flatten(
         F.transform(
             across,
             lambda a: F.transform(down, lambda d: F.struct(a.alias("x"), d.alias("y"))),
         )
     )
+    return F.struct(own_x.alias("x"), own_y.alias("y")), every
+
+
+def _first_choice(threshold):
+    """Arrays of a tile's boxes, best first, to those of its own that are kept.
+
+    Going down the order, a box that overlaps a kept one goes; one of the tile's
+    own whose better neighbours have all gone is kept, as the tile shows all of
+    them. Others stay open: a better neighbour at the edge is not yet known.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
+    def kept(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series, own: pd.Series) -> pd.Series:
+        out = []
+        for a1, b1, a2, b2, mine in zip(x1, y1, x2, y2, own):
+            area = (a2 - a1) * (b2 - b1)
+            sure = np.zeros(len(a1), bool)
+            gone = np.zeros(len(a1), bool)
+            for i in range(len(a1)):
+                w = np.minimum(a2[:i], a2[i]) - np.maximum(a1[:i], a1[i])
+                h = np.minimum(b2[:i], b2[i]) - np.maximum(b1[:i], b1[i])
+                shared = np.maximum(w, 0) * np.maximum(h, 0)
+                close = shared / (area[:i] + area[i] - shared) > threshold
+                if (close & sure[:i]).any():
+                    gone[i] = True
+                elif mine[i] and not (close & ~gone[:i]).any():
+                    sure[i] = True
+            out.append(sure)
+        return pd.Series(out)
+
+    return kept
 
 
 def _suppress_large(dets, keys, threshold, limit):
     """Groups too large for one array, in rounds, without listing pairs.
 
-    The best box of each cell is found by an aggregate. A box that is the best
-    in all its cells has no better box near it and is kept; boxes it overlaps
-    go. Each cell gains at most one kept box per round, so the join that drops
-    boxes meets at most one partner per box and cell. Groups that have become
-    small are finished as arrays.
+    Boxes are dealt to tiles by the place of their centre, and shown to the tiles
+    in reach. A tile takes its `TILE_ROWS` best boxes, own or shown, as one array
+    and keeps those it can be sure of; a chain of boxes that beat one another is
+    resolved as far as the tile goes. Kept boxes then drop those they overlap
+    everywhere: boxes kept near one place do not overlap each other, so a box
+    meets few of them. Groups that have become small are finished as arrays.
     """
-    flat = area(*CORNERS) <= 0
+    flat = (F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1"))
+    flat = F.coalesce(flat, F.lit(True))
     boxes = durable(dets)
     if threshold >= 1:
         return boxes
-    solid = boxes.where(~flat)
-    order = F.struct(
-        (-F.col("confidence")).alias("_order"), "det_idx", *[F.col(c) for c in CORNERS]
-    )
     todo = (
-        solid.groupBy(*keys, *CORNERS)
+        boxes.where(~flat)
+        .groupBy(*keys, *CORNERS)
         .agg(F.min(F.struct((-F.col("confidence")).alias("o"), "det_idx")).alias("r"))
         .select(*keys, "r.det_idx", *CORNERS, (-F.col("r.o")).alias("confidence"))
     )
+    own, every = _reach(threshold, TILE_SIDES)
+    cell, around = _reach(threshold, 1)
     kept = []
+    todo = durable(todo)
     while True:
-        todo = durable(todo)
-        small, todo = split_hot(todo, keys, limit)
-        kept.append(_suppress_small(small, keys, threshold).select(*keys, "det_idx"))
-        if todo is None:
+        small, rest = split_hot(todo, keys, limit)
+        kept.append(durable(_suppress_small(small, keys, threshold).select(*keys, "det_idx")))
+        if rest is None:
             break
-        placed = todo.withColumn("cell", F.explode(_overlap_cells(threshold)))
-        best = placed.groupBy(*keys, "cell").agg(F.min(order).alias("r"))
-        # Sixteen cells per box: two steps and two cells on each axis.
-        won = durable(
-            best.groupBy(*keys, "r")
-            .count()
-            .where(F.col("count") == 16)
-            .select(*keys, "r.det_idx", *[F.col(f"r.{c}") for c in CORNERS])
+        placed = rest.withColumn("own", own).withColumn("tile", F.explode(every))
+        best = Window.partitionBy(*keys, "tile").orderBy(-F.col("confidence"), "det_idx")
+        top = placed.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= TILE_ROWS)
+        row = F.struct("_n", "det_idx", *CORNERS, (F.col("own") == F.col("tile")).alias("mine"))
+        tiles = top.groupBy(*keys, "tile").agg(F.array_sort(F.collect_list(row)).alias("b"))
+        sides = [F.col("b")[c] for c in (*CORNERS, "mine")]
+        sure = tiles.withColumn("s", _first_choice(threshold)(*sides)).select(
+            *keys, F.explode(F.filter("b", lambda b, i: F.get(F.col("s"), i))).alias("k")
         )
+        won = durable(sure.select(*keys, "k.det_idx", *[F.col(f"k.{c}") for c in CORNERS]))
         kept.append(won.select(*keys, "det_idx"))
-        winners = won.withColumn("cell", F.explode(_overlap_cells(threshold))).select(
+        winners = won.withColumn("cell", F.explode(around)).select(
             *keys, "cell", F.struct("det_idx", *CORNERS).alias("k")
         )
         beaten = (
-            skew_join(placed, winners, keys + ["cell"])
+            skew_join(rest.withColumn("cell", cell), winners, keys + ["cell"])
             .where(
                 (F.col("det_idx") == F.col("k.det_idx"))
                 | (iou(_box(F.col("k")), CORNERS) > threshold)
@@ -156,7 +205,8 @@ def _suppress_large(dets, keys, threshold, limit):
             .select(*keys, "det_idx")
             .distinct()
         )
-        todo = skew_join(todo, beaten, keys + ["det_idx"], "left_anti")
+        last, todo = todo, durable(skew_join(rest, beaten, keys + ["det_idx"], "left_anti"))
+        discard(last)
     names = kept[0]
     for more in kept[1:]:
         names = names.unionByName(more)

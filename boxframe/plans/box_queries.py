@@ -95,6 +95,63 @@ def cluster_merge(spark, sf):
     return merged(spark, sf).drop("class_name")
 
 
+# Images with more boxes than this are large in the queries named `_cells`.
+FEW = 60
+
+
+@query(sql_over("boxes", f"{MERGE} select {MERGED_COLUMNS} from merged"))
+def cluster_merge_cells(spark, sf):
+    """The same merge, nearly all of it by cells."""
+    out = cluster.merge_clusters(
+        boxes(spark, sf), SIZE, target_class_id=TARGET, target_class_name="ecoli_cluster", limit=FEW
+    )
+    return out.drop("class_name")
+
+
+# Boxes of which some have no class, and sizes that some images lack.
+GAPS = """, gaps as (select image_id, det_idx, x1, y1, x2, y2, confidence,
+    case when mod(det_idx, 6) <> 5 then class_id end as class_id from boxes)"""
+
+
+def _gaps(spark, sf):
+    return boxes(spark, sf).withColumn(
+        "class_id", F.when(F.col("det_idx") % 6 != 5, F.col("class_id"))
+    )
+
+
+def _merged_gaps(spark, sf, **more):
+    rows = _gaps(spark, sf)
+    sizes = (
+        rows.where("image_id % 4 <> 3")
+        .groupBy("image_id")
+        .agg(F.lit(SIZE[0]).alias("width"), F.lit(SIZE[1]).alias("height"))
+    )
+    out = cluster.merge_clusters(rows, sizes, target_class_id=TARGET, **more)
+    return out.drop("class_name")
+
+
+MERGED_GAPS = sql_over(
+    "boxes",
+    GAPS
+    + merge_sql("gaps", "coalesce(class_id = 0, false)", TARGET, 0.01).replace(
+        "count(*) filter (not is_other) >= 3 and 3 >= 2",
+        "count(*) filter (not is_other) >= 3 and mod(image_id, 4) <> 3",
+    )
+    + f" select {MERGED_COLUMNS} from merged",
+)
+
+
+@query(MERGED_GAPS)
+def cluster_merge_gaps(spark, sf):
+    """Boxes without a class and images without a size pass through."""
+    return _merged_gaps(spark, sf)
+
+
+@query(MERGED_GAPS)
+def cluster_merge_gaps_cells(spark, sf):
+    return _merged_gaps(spark, sf, limit=FEW)
+
+
 @query(
     sql_over(
         "boxes",
@@ -132,6 +189,13 @@ def box_components(spark, sf):
     return cluster.box_components(_grown_sources(spark, sf))
 
 
+@query(
+    sql_over("boxes", f"{MERGE} select image_id, det_idx, comp from comps")
+)
+def box_components_cells(spark, sf):
+    return cluster.box_components(_grown_sources(spark, sf), limit=FEW)
+
+
 @query(
     sql_over(
         "boxes",
@@ -244,6 +308,12 @@ def suppressed_boxes(spark, sf):
     return suppress(boxes(spark, sf), 0.45)
 
 
+@query(sql_over("boxes", suppress_sql(["image_id", "class_id"], 0.45)))
+def suppressed_cells(spark, sf):
+    """The same suppression, nearly all of it by tiles."""
+    return suppress(boxes(spark, sf), 0.45, limit=FEW)
+
+
 @query(sql_over("boxes", suppress_sql(["image_id"], 0.2)))
 def suppressed_any_class(spark, sf):
     return suppress(boxes(spark, sf), 0.2, agnostic=True)
@@ -318,13 +388,13 @@ def nested_predictions(spark, sf):
     sql_over(
         "boxes classes",
         """select image_id, det_idx, b.class_id, coalesce(class_name, 'cls_' || cast(b.class_id as varchar)) as class_name
-        from (select image_id, det_idx, cast(mod(det_idx, 4) as int) as class_id from boxes) b
+        from (select image_id, det_idx, cast(mod(det_idx, 8) as int) as class_id from boxes) b
         left join classes c on b.class_id = c.class_id""",
     )
 )
 def named_detections(spark, sf):
     rows = boxes(spark, sf).select(
-        "image_id", "det_idx", (F.col("det_idx") % 4).cast("int").alias("class_id")
+        "image_id", "det_idx", (F.col("det_idx") % 8).cast("int").alias("class_id")
     )
     return cl.name_classes(rows, view(spark, sf, "classes")).select(
         "image_id", "det_idx", "class_id", "class_name"

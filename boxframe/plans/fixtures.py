@@ -61,8 +61,7 @@ else '.png' end) as filename, o_orderdate as created_at from orders
 """
 
 CLASSES = """
-select cast(r_regionkey as int) as class_id, lower(r_name) as class_name from region where
-r_regionkey < 2
+select cast(r_regionkey as int) as class_id, lower(r_name) as class_name from region
 """
 
 FRAMES = """

@@ -22,22 +22,8 @@ SIDE = 8
 LEVEL = "cast(least(255, greatest(0, floor(cast({e} as double) * 512) + 128)) as int)"
 
 
-def pixels(spark, sf):
-    """Rows of id, x, y, v with the raster's size."""
-    vectors = table(spark, sf, "embeddings")
-    each = vectors.select("vec_id", F.posexplode("embedding").alias("p", "e"))
-    return each.select(
-        F.col("vec_id").alias("id"),
-        (F.col("p") % SIDE).alias("x"),
-        F.floor(F.col("p") / SIDE).cast("int").alias("y"),
-        F.expr(LEVEL.format(e="e")).alias("v"),
-        F.lit(SIDE).alias("width"),
-        F.lit(SIDE).alias("height"),
-    )
-
-
 def images(spark, sf):
-    """The same rasters as image rows: three equal channels per pixel."""
+    """Rasters made from the vectors, as image rows: three equal channels per pixel."""
     level = F.expr("transform(embedding, e -> " + LEVEL.format(e="e") + ")")
     hexed = F.transform(level, lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), F.lit(3)))
     return table(spark, sf, "embeddings").select(
@@ -76,7 +62,7 @@ SPOTS = """, spots as (select id as image_id, cast(row_number() over (partition
 )
 def scored_images(spark, sf):
     classes = vocabulary(spark, ["ecoli", "ecoli_cluster"])
-    return dt.detect(images(spark, sf), bright_spots, 0.8, classes).select(
+    return dt.detect(images(spark, sf), bright_spots, 0.8, classes)[0].select(
         "image_id", "det_idx", "x1", "y1", "x2", "y2", "confidence", "class_id", "class_name"
     )
 
@@ -96,7 +82,7 @@ def predicted_images(spark, sf):
     """Scoring, then the configured merge."""
     merge = ClusterParams(enabled=True, margin=0.02, min_size=2)
     out = dt.predict(images(spark, sf), bright_spots, 0.8, ["ecoli", "ecoli_cluster"], merge)
-    return out.drop("class_name")
+    return out[0].drop("class_name")
 
 
 @query(
@@ -136,36 +122,66 @@ def file_kinds(spark, sf):
 
 TILES = 2
 CLIP = 3.0
-EQUALISED = f""", hist as (select id, x * {TILES} // {SIDE} as tx, y * {TILES} // {SIDE} as ty, v, count(*) as n from px group by all),
-  tile as (select id, tx, ty, sum(n) as pixels, greatest(floor({CLIP}e0 * sum(n) / 256), 1) as top from hist group by id, tx, ty),
-  clipped as (select h.*, pixels, top, least(n, top) as c, greatest(n - top, 0) as over from hist h join tile using (id, tx, ty)),
-  extra as (select id, tx, ty, any_value(pixels) as pixels, sum(over) as excess from clipped group by id, tx, ty),
-  even as (select *, floor(excess / 256) as share, excess - floor(excess / 256) * 256 as rest from extra),
-  levels as (select e.*, i.v, coalesce(c.c, 0) + share + case when rest > 0 and i.v % greatest(floor(256 / rest), 1) = 0
-      and floor(i.v / greatest(floor(256 / rest), 1)) < rest then 1 else 0 end as n
-    from even e cross join range(256) i(v) left join clipped c on c.id = e.id and c.tx = e.tx and c.ty = e.ty and c.v = i.v),
-  lut as (select id, tx, ty, v, least(floor(sum(n) over (partition by id, tx, ty order by v) * 255.0e0 / pixels + 0.5e0), 255) as o from levels),
+EQUALISED = f""", placed as (select *, x * {TILES} // {SIDE} as tx, y * {TILES} // {SIDE} as ty from px),
+  tile as (select id, tx, ty, list(v) as l, count(*) as pixels from placed group by all),
+  hist as (select *, [len(list_filter(l, lambda a: a = v)) for v in range(256)] as h,
+    greatest(floor({CLIP}e0 * pixels / 256), 1) as top from tile),
+  clipped as (select id, tx, ty, pixels, [least(n, top) for n in h] as c,
+    list_sum([greatest(n - top, 0) for n in h]) as excess from hist),
+  even as (select *, floor(excess / 256) as share, excess - floor(excess / 256) * 256 as rest from clipped),
+  spread as (select *, greatest(floor(256 / greatest(rest, 1)), 1) as step from even),
+  levels as (select id, tx, ty, pixels, [c[v + 1] + share + case when v % step = 0 and floor(v / step) < rest
+      then 1 else 0 end for v in range(256)] as n from spread),
+  tables as (select id, tx, ty, [least(floor(list_sum(n[1:v + 1]) * 255.0e0 / pixels + 0.5e0), 255)
+      for v in range(256)] as o from levels),
+  grid as (select id, list(o order by ty, tx) as g from tables group by id),
   spot as (select *, (x + 0.5e0) * {TILES} / {SIDE} - 0.5e0 as fx, (y + 0.5e0) * {TILES} / {SIDE} - 0.5e0 as fy from px),
-  near as (select *, fx - floor(fx) as ax, fy - floor(fy) as ay, greatest(floor(fx), 0) as l, least(floor(fx) + 1, {TILES} - 1) as r,
-    greatest(floor(fy), 0) as t, least(floor(fy) + 1, {TILES} - 1) as b from spot)
-  select n.id, n.x, n.y, n.v, cast(floor((a.o * (1 - ax) + b1.o * ax) * (1 - ay) + (c.o * (1 - ax) + d.o * ax) * ay + 0.5e0) as int) as out
-  from near n join lut a on a.id = n.id and a.tx = l and a.ty = t and a.v = n.v join lut b1 on b1.id = n.id and b1.tx = r and b1.ty = t and b1.v = n.v
-  join lut c on c.id = n.id and c.tx = l and c.ty = n.b and c.v = n.v join lut d on d.id = n.id and d.tx = r and d.ty = n.b and d.v = n.v"""
+  near as (select *, fx - floor(fx) as ax, fy - floor(fy) as ay, cast(greatest(floor(fx), 0) as int) as l,
+    cast(least(floor(fx) + 1, {TILES} - 1) as int) as r, cast(greatest(floor(fy), 0) as int) as t,
+    cast(least(floor(fy) + 1, {TILES} - 1) as int) as b from spot)
+  select id, x, y, v, cast(floor((g[t * {TILES} + l + 1][v + 1] * (1 - ax) + g[t * {TILES} + r + 1][v + 1] * ax) * (1 - ay)
+    + (g[b * {TILES} + l + 1][v + 1] * (1 - ax) + g[b * {TILES} + r + 1][v + 1] * ax) * ay + 0.5e0) as int) as out
+  from near join grid using (id)"""
+
+
+def _levels(data):
+    """The bytes of a column as an array of numbers."""
+    hexed = F.regexp_extract_all(F.hex(data), F.lit("(..)"), 1)
+    return F.transform(hexed, lambda h: F.conv(h, 16, 10).cast("int"))
 
 
 @query(f"{PIXELS} {EQUALISED}")
 def equalised_pixels(spark, sf):
-    return raster.tile_equalize(pixels(spark, sf), TILES, CLIP).select("id", "x", "y", "v", "out")
+    grey = images(spark, sf).withColumns(
+        {
+            "nChannels": F.lit(1),
+            "before": F.transform(
+                F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)),
+                lambda i: F.get(_levels(F.col("data")), i * 3),
+            ),
+        }
+    )
+    grey = grey.withColumn("data", F.unhex(F.array_join(F.transform("before", lambda v: F.lpad(F.hex(v), 2, "0")), "")))
+    done = raster.equalize_images(grey, TILES, CLIP)
+    both = F.arrays_zip(F.col("before").alias("v"), _levels(F.col("data")).alias("out"))
+    rows = done.select(F.col("image_id").alias("id"), F.posexplode(both).alias("p", "b"))
+    return rows.select(
+        "id",
+        (F.col("p") % SIDE).alias("x"),
+        F.floor(F.col("p") / SIDE).cast("int").alias("y"),
+        F.col("b.v").alias("v"),
+        F.col("b.out").alias("out"),
+    )
 
 
 @query()
 def equalised_colours(spark, sf):
-    v = F.col("v")
-    colour = pixels(spark, sf).select(
-        "id", "x", "y", "width", "height",
-        v.alias("b"), (v * 7 % 256).alias("g"), (255 - v).alias("r"),
-    )
-    return raster.equalize_colour(colour, TILES, CLIP).select("id", "x", "y", "b", "g", "r")
+    """Colour images in and out; the channels differ."""
+    turned = F.transform(_levels(F.col("data")), lambda v, i: F.pmod(v * (1 + 6 * (i % 3)), F.lit(256)))
+    hexed = F.transform(turned, lambda v: F.lpad(F.hex(v), 2, "0"))
+    colour = images(spark, sf).withColumn("data", F.unhex(F.array_join(hexed, "")))
+    done = raster.equalize_images(colour, TILES, CLIP)
+    return done.select("image_id", F.hex("data").alias("data"))
 
 
 # Streams: the view is written in parts to the shared folder and followed after

@@ -178,7 +178,7 @@ FOUND = ASKED + """, found as (
     )
 )
 def found_entries(spark, sf):
-    return _ms(store.find_entries(asked(spark, sf), images(spark, sf), labels(spark, sf))[0])
+    return _ms(store.find_entries(asked(spark, sf), images(spark, sf), lines(spark, sf))[0])
 
 
 @query(
@@ -188,7 +188,7 @@ def found_entries(spark, sf):
     )
 )
 def found_boxes(spark, sf):
-    return store.find_entries(asked(spark, sf), images(spark, sf), labels(spark, sf))[1]
+    return store.find_entries(asked(spark, sf), images(spark, sf), lines(spark, sf))[1]
 
 
 @query(sql_over("images", f"{ASKED} select filename from asked where filename in (select filename from images)"))
@@ -282,7 +282,7 @@ def training_rows(spark, sf):
 @query()
 def training_boxes(spark, sf):
     """A training set with letterboxing, flips, turns and the visibility rule."""
-    rows = store.training_set(images(spark, sf), labels(spark, sf), "train").where("line_no is not null")
+    rows = store.training_set(images(spark, sf), labels(spark, sf), "train")
     rows = rows.withColumns({"width": F.lit(1280), "height": F.lit(720)})
     boxed = geo.letterbox_boxes(rows, 640).withColumns({"width": F.lit(640), "height": F.lit(640)})
     key = ("split", "stem")
@@ -290,10 +290,12 @@ def training_boxes(spark, sf):
         boxed, geo.random_angle(geo.chance(1, *key), geo.chance(2, *key))
     )
     flipped = geo.flip_boxes(turned, geo.chance(3, *key), geo.chance(4, *key))
-    return geo.visible_boxes(flipped).select(
-        "split", "stem", "line_no", "class_id",
-        *[micro(c) for c in SHAPE],
+    kept = geo.visible_boxes(flipped.where("line_no is not null")).select(
+        "split", "stem", "line_no", "class_id", *[micro(c) for c in SHAPE]
     )
+    # An image without boxes is one to learn from, too.
+    empty = [F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in kept.columns[2:]]
+    return kept.unionByName(rows.where("line_no is null").select("split", "stem", *empty))
 
 
 @query(

@@ -12,19 +12,7 @@ MAX_CLASS_NAME = 50
 FALLBACK_CLASSES = ("ecoli",)
 SOURCE_CLASS = "ecoli"
 TARGET_CLASS = "ecoli_cluster"
-
-DETECTIONS = T.StructType(
-    [
-        T.StructField("image_id", T.StringType()),
-        T.StructField("det_idx", T.IntegerType()),
-        T.StructField("x1", T.DoubleType()),
-        T.StructField("y1", T.DoubleType()),
-        T.StructField("x2", T.DoubleType()),
-        T.StructField("y2", T.DoubleType()),
-        T.StructField("confidence", T.DoubleType()),
-        T.StructField("class_id", T.IntegerType()),
-    ]
-)
+MOST_EVERY = 30
 
 LABELS = T.StructType(
     [
@@ -56,6 +44,16 @@ def _require(ok, message):
         raise ValueError(message)
 
 
+def require_share(name, value):
+    """Check a threshold: above 0, at most 1."""
+    _require(0.0 < value <= 1.0, f"{name} is {value}, not above 0 and at most 1")
+
+
+def require_every(n):
+    """Check how many frames share one detection."""
+    _require(1 <= n <= MOST_EVERY, f"detection on every {n}-th frame is not in 1 to {MOST_EVERY}")
+
+
 @dataclass(frozen=True)
 class ClusterParams:
     """Settings of the cluster merge."""
@@ -80,40 +78,7 @@ class DetectorParams:
         _require(len(self.classes) > 0, "at least one class is needed")
         _require(
             self.imgsz > 0 and self.imgsz % 32 == 0,
-            "imgsz must be a positive multiple of 32",
+            f"the network's input side {self.imgsz} is no positive multiple of 32",
         )
         for name in ("conf_threshold", "iou_threshold"):
-            _require(0.0 < getattr(self, name) <= 1.0, f"{name} must be in (0, 1]")
-
-
-@dataclass(frozen=True)
-class StreamParams:
-    """Settings of the live stream."""
-
-    infer_every: int = 1
-    annotate: bool = True
-
-    def __post_init__(self):
-        _require(1 <= self.infer_every <= 30, "infer_every must be in 1..30")
-
-
-@dataclass(frozen=True)
-class TrainParams:
-    """Settings of a training request."""
-
-    weights: str = "yolov9c.pt"
-    epochs: int = 100
-    batch: int = 16
-    imgsz: int = 640
-    device: str = "auto"
-    name: str | None = None
-
-    def __post_init__(self):
-        for name, low, high in (
-            ("epochs", 1, 2000),
-            ("batch", 1, 256),
-            ("imgsz", 64, 2048),
-        ):
-            _require(
-                low <= getattr(self, name) <= high, f"{name} must be in {low}..{high}"
-            )
+            require_share(name, getattr(self, name))

@@ -7,8 +7,10 @@ Paths must be reachable from every executor.
 """
 
 import os
+import uuid
 
 import yaml
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -86,31 +88,48 @@ def read_bytes(spark, path) -> DataFrame:
 
 
 class _LabelWriter(DataSourceWriter):
+    """Writes through pyarrow's file systems, so `root` may be a shared store."""
+
     def __init__(self, root):
         self.root = root
 
     def write(self, rows):
-        current, out, final = None, None, None
-        for row in rows:
-            key = (row["split"], row["stem"])
-            if key != current:
-                self._finish(out, final)
-                current = key
-                folder = os.path.join(self.root, "labels", key[0])
-                os.makedirs(folder, exist_ok=True)
-                final = os.path.join(folder, key[1] + ".txt")
-                out = open(f"{final}.{os.getpid()}.part", "w", encoding="utf-8", newline="\n")
-            if row["line"] is not None:
-                out.write(row["line"] + "\n")
-        self._finish(out, final)
+        files, root = _file_system(self.root)
+        # Another attempt of this task has other names.
+        mark, current, out, final = uuid.uuid4().hex, None, None, None
+        try:
+            for row in rows:
+                key = (row["split"], row["stem"])
+                if key != current:
+                    self._finish(files, out, final, mark)
+                    current, out = key, None
+                    folder = f"{root}/labels/{key[0]}"
+                    files.create_dir(folder, recursive=True)
+                    final = f"{folder}/{key[1]}.txt"
+                    out = files.open_output_stream(f"{final}.{mark}.part")
+                if row["line"] is not None:
+                    out.write((row["line"] + "\n").encode())
+            self._finish(files, out, final, mark)
+        except BaseException:
+            if out is not None:
+                out.close()
+                files.delete_file(f"{final}.{mark}.part")
+            raise
         return WriterCommitMessage()
 
     @staticmethod
-    def _finish(out, final):
+    def _finish(files, out, final, mark):
         """A file appears under its name only when it is complete."""
         if out is not None:
             out.close()
-            os.replace(out.name, final)
+            files.move(f"{final}.{mark}.part", final)
+
+
+def _file_system(root):
+    """The file system of a path or URI, and the path in it."""
+    if "://" in root or root.startswith("file:"):
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), root
 
 
 class LabelFiles(DataSource):
@@ -127,18 +146,21 @@ class LabelFiles(DataSource):
         return _LabelWriter(self.options["root"])
 
 
-def write_labels(labels: DataFrame, root, images: DataFrame | None = None):
+def write_labels(labels: DataFrame, root, images: DataFrame | None = None) -> DataFrame:
     """Write label files; images without boxes get an empty file.
 
     A file is written by one task, row by row from sorted input, and replaces
-    the old one when complete, so a task that runs twice does no harm.
+    the old one when complete, so a task that runs twice does no harm. Returns
+    the label rows (and images) that were not written, because their split or
+    stem is not allowed: split, stem, line_no.
     """
     lines = labels.select(
         *LABEL_KEY, "line_no", label_line("class_id", "cx", "cy", "w", "h").alias("line")
     )
     if images is not None:
-        lines = images.select(*LABEL_KEY).distinct().join(lines, LABEL_KEY, "left")
+        lines = images.select(*LABEL_KEY).distinct().join(lines, LABEL_KEY, "full")
     safe = F.col("split").isin(*SPLITS) & F.col("stem").rlike(r"^[A-Za-z0-9 ._-]+\z")
+    safe = F.coalesce(safe, F.lit(False))
     labels.sparkSession.dataSource.register(LabelFiles)
     (
         lines.where(safe)
@@ -150,6 +172,7 @@ def write_labels(labels: DataFrame, root, images: DataFrame | None = None):
         .mode("append")
         .save()
     )
+    return lines.where(~safe).select(*LABEL_KEY, "line_no")
 
 
 def write_label_table(labels, path):
@@ -182,6 +205,24 @@ def write_manifest(path, root, names):
     return True
 
 
+def extend_manifest(path, names):
+    """Put a new list of names into a manifest; what else it says stays.
+
+    The file is replaced in one step.
+    """
+    try:
+        with open(path, encoding="utf-8") as file:
+            content = yaml.safe_load(file)
+    except (FileNotFoundError, yaml.YAMLError):
+        content = None
+    content = content if isinstance(content, dict) else {}
+    content["names"] = dict(enumerate(names))
+    aside = f"{path}.{uuid.uuid4().hex}.part"
+    with open(aside, "w", encoding="utf-8") as file:
+        yaml.safe_dump(content, file, sort_keys=False)
+    os.replace(aside, path)
+
+
 def read_coco(spark, path, offset=0):
     """Label boxes from COCO annotation files, keyed by image file name.
 

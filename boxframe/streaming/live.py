@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_line
 from ..operators import frames as fr
 from ..operators.detect import predict
-from ..operators.groups import BROADCAST_KEYS, SLICE_ROWS, salted_join
+from ..operators.groups import BROADCAST_KEYS, SLICE_ROWS, remove, salted_join
 
 
 def _folder(path, batch):
@@ -38,6 +38,8 @@ def _keep_state(rows, state, path, batch, **settings):
     if state is not None:
         new = new.unionByName(state.join(new.select("source"), "source", "left_anti"))
     new.write.mode("overwrite").parquet(_folder(f"{path}/state", batch))
+    # A batch that is run again needs the state before it; what is older has served.
+    remove(rows.sparkSession, _folder(f"{path}/state", batch - 2))
 
 
 def frame_batch(rows, batch, path, infer_every=1, streak=fr.EMPTY_FRAMES, entries=fr.RATE_ENTRIES,
@@ -76,12 +78,13 @@ def follow_frames(stream: DataFrame, path, checkpoint, trigger=None, **settings)
 
 
 def follow_detections(stream, make_scorer, names, merge, path, checkpoint, conf=0.25,
-                      infer_every=1, trigger=None, cutoff=fr.FAILED_READS):
+                      infer_every=1, trigger=None, cutoff=fr.FAILED_READS, contrast=None):
     """Score every n-th good frame of each source and merge dense groups.
 
     `stream` has source, read_idx, ok, dt_s, n_dets and height, width, nChannels,
-    data. Detections go to `path`/detections by source and frame; `path`/log says
-    for each frame whose detections it shows.
+    data. `contrast` (tiles, clip) equalises each frame first. Detections go to
+    `path`/detections by source and frame, frames that could not be scored to
+    `path`/unusable; `path`/log says for each frame whose detections it shows.
     """
 
     def handle(rows, batch):
@@ -99,13 +102,18 @@ def follow_detections(stream, make_scorer, names, merge, path, checkpoint, conf=
         images = rows.join(due, ["source", "read_idx"]).select(
             image, "height", "width", "nChannels", "data"
         )
-        merged = predict(images, make_scorer, conf, names, merge)
+        merged, unusable = predict(images, make_scorer, conf, names, merge, contrast)
         kind = rows.schema["source"].dataType
-        merged.select(
+        frame = [
             F.regexp_extract("image_id", r"(?s)^(.*)/\d+$", 1).cast(kind).alias("source"),
             F.regexp_extract("image_id", r"(\d+)$", 1).cast("bigint").alias("frame_number"),
-            *merged.columns[1:],
-        ).write.mode("overwrite").parquet(_folder(f"{path}/detections", batch))
+        ]
+        merged.select(*frame, *merged.columns[1:]).write.mode("overwrite").parquet(
+            _folder(f"{path}/detections", batch)
+        )
+        unusable.select(*frame).write.mode("overwrite").parquet(
+            _folder(f"{path}/unusable", batch)
+        )
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -119,8 +127,8 @@ def read_results(spark, path, name="log"):
 def follow_log(stream, path, checkpoint, trigger=None):
     """Clean log lines of a stream and append them to `path`.
 
-    Each line is cleaned on its own, so a bad line does not stop the others; the
-    tail is a query on the sink.
+    Each line is cleaned on its own, so a bad line does not stop the others. Lines
+    keep their `seq`, so the tail of a run is `runs.log_tail` over the sink.
     """
     cleaned = stream.withColumn("line", clean_line("line"))
     writer = cleaned.writeStream.format("parquet").outputMode("append")

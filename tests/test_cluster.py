@@ -163,3 +163,50 @@ def test_components_of_a_long_path(spark):
     labels = {(r.k, r.node): r.comp for r in got.collect()}
     assert all(labels[0, i] == 0 for i in range(201))
     assert labels[1, 5] == 5 and labels[1, 7] == 7 and labels[1, 8] == 7
+
+
+def rounds_of(monkeypatch, spark, boxes, limit):
+    """Components, rounds of cutting, and the most cells a round had."""
+    cuts, cells = [], []
+    cut = cluster._cut_cells
+
+    def counted(todo, cell):
+        out = cut(todo, cell)
+        cuts.append(1)
+        cells.append(out.select(*cell).distinct().count())
+        return out
+
+    monkeypatch.setattr(cluster, "_cut_cells", counted)
+    df = spark.createDataFrame(boxes, "image_id long, det_idx int, x1 double, y1 double, x2 double, y2 double")
+    got = {r.det_idx: r.comp for r in cluster.box_components(df, limit).collect()}
+    return got, len(cuts), max(cells, default=0)
+
+
+def test_boxes_that_end_on_one_line(spark, monkeypatch):
+    rng = random.Random(5)
+    boxes = [(0, i, 100.0 - rng.random() * 50, rng.random() * 300, 100.0, 0.0) for i in range(5000)]
+    boxes = [(*b[:5], b[3] + 5 + rng.random()) for b in boxes]
+    boxes += [(0, 5000 + i, 500.0 + 3 * i, 0.0, 501.0 + 3 * i, 1.0) for i in range(50)]
+    got, cuts, cells = rounds_of(monkeypatch, spark, boxes, 50)
+    assert len(set(got.values())) == 51 and got[4999] == 0
+    assert cuts <= 8 and cells <= 20000
+
+
+def test_thin_boxes_that_cross(spark, monkeypatch):
+    n = 60
+    boxes = [(0, i, 0.0, 10.0 * i, 1000.0, 10.0 * i + 1) for i in range(n)]
+    boxes += [(0, n + i, 10.0 * i, -5.0, 10.0 * i + 1, 1000.0) for i in range(n)]
+    got, cuts, cells = rounds_of(monkeypatch, spark, boxes, 15)
+    assert set(got.values()) == {0} and len(got) == 2 * n
+    # No more cells than a few per crossing.
+    assert cuts <= 10 and cells <= 10 * n * n
+
+
+def test_same_rows_at_every_limit(spark):
+    """Boxes without a class, images without a size: nothing is lost on either way."""
+    boxes = [(i % 3, i, (i * 7) % 50 * 1.0, 0.0, (i * 7) % 50 + 9.0, 9.0, i / 64, None if i % 4 == 3 else i % 2) for i in range(60)]
+    df = spark.createDataFrame(boxes, "image_id long, det_idx int, x1 double, y1 double, x2 double, y2 double, confidence double, class_id int")
+    sizes = spark.createDataFrame([(0, 100, 50), (1, 100, 50)], "image_id long, width int, height int")
+    rows = [sorted(map(tuple, cluster.merge_clusters(df, sizes, limit=k).collect()), key=repr) for k in (1000, 5)]
+    assert rows[0] == rows[1]
+    assert sum(r[9] for r in rows[0]) == len(boxes)

@@ -38,6 +38,10 @@ def test_label_files_round_trip(spark, tmp_path):
     assert sorted((e.filename, e.num_boxes) for e in entries.collect()) == [("a - 1.png", 3), ("empty.png", 0)]
     out = f"{root}/out"
     files.write_labels(good, out, images)
+    odd = good.withColumn("stem", F.when(F.col("line_no") == 2, "../x").otherwise(F.col("stem")))
+    left = files.write_labels(odd, f"file://{root}/odd")
+    assert [tuple(r) for r in left.collect()] == [("train", "../x", 2)]
+    assert sorted(os.listdir(f"{root}/odd/labels/train")) == ["a - 1.txt"]
     files.write_labels(good, out, images)
     with open(f"{out}/labels/train/a - 1.txt") as f:
         assert f.read() == "0 0.500000 0.500000 0.100000 0.100000\n1 0.250000 0.123456 0.100000 0.100000\n"
@@ -65,6 +69,12 @@ def test_manifest_and_coco(spark, tmp_path):
     assert files.write_manifest(path, str(tmp_path), ["a", "b"])
     assert not files.write_manifest(path, str(tmp_path), ["c"])
     assert [r.class_name for r in files.read_classes(spark, path).collect()] == ["a", "b"]
+    with open(path, "a") as f:
+        f.write("extra: 5\n")
+    files.extend_manifest(path, ["a", "b", "c"])
+    assert [r.class_name for r in files.read_classes(spark, path).collect()] == ["a", "b", "c"]
+    with open(path) as f:
+        assert "extra: 5" in f.read()
     doc = {
         "images": [{"id": 7, "file_name": "x y.png", "width": 100, "height": 50}],
         "annotations": [{"id": 1, "image_id": 7, "category_id": 3, "bbox": [10, 5, 20, 10]}],
@@ -89,12 +99,17 @@ def test_scorer_and_nested(spark):
 
         return score
 
-    dets = dt.detect(images, scorer, 0.5)
+    broken = spark.createDataFrame([("c", -1, -1, -1, None, None)], images.schema)
+    dets, unusable = dt.detect(images.unionByName(broken), scorer, 0.5)
+    assert [r.image_id for r in unusable.collect()] == ["c"]
     assert [tuple(r) for r in dets.collect()] == [("a", 0, 2.0, 1.0, 3.0, 2.0, 0.9, 4)]
     shown = dets.withColumn("out_pos", F.col("det_idx")).withColumn("class_name", F.lit("n"))
     nested = {r.image_id: r for r in dt.nest_predictions(shown, images).collect()}
     assert len(nested["a"].detections) == 1 and nested["b"].detections == []
     assert nested["a"].image_size.width == 4
+    many = shown.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("out_pos"), *shown.columns[2:-2], "class_name")
+    parts = dt.nest_predictions(many, images, part_rows=4).collect()
+    assert sorted((r.image_id, r.part, len(r.detections)) for r in parts) == [("a", 0, 4), ("a", 1, 3), ("b", 0, 0)]
 
 
 def test_run_states_and_tail(spark):

@@ -35,16 +35,33 @@ def equalise(image, tiles, clip):
     return out
 
 
-def test_equals_loops_and_keeps_grey_grey(spark):
+IMAGES = "image_id int, height int, width int, nChannels int, data binary"
+
+
+def test_grey_equals_loops(spark):
     rng = np.random.default_rng(3)
-    image = rng.integers(60, 120, (12, 18))
-    rows = [(1, x, y, int(image[y, x]), 18, 12) for y in range(12) for x in range(18)]
-    pixels = spark.createDataFrame(rows, "id int, x int, y int, v int, width int, height int")
-    want = equalise(image, 3, 40.0)
-    for r in raster.tile_equalize(pixels, 3, 40.0).collect():
-        assert r.out == want[r.y, r.x]
-    grey = pixels.selectExpr("id", "x", "y", "width", "height", "v as b", "v as g", "v as r")
-    done = raster.equalize_colour(grey, 3, 40.0).collect()
-    assert len(done) == len(rows)
-    assert all(max(r.b, r.g, r.r) - min(r.b, r.g, r.r) <= 1 for r in done)
-    assert np.std([r.g for r in done]) > np.std(image)
+    shapes = [(12, 18, 3), (5, 7, 3), (2, 2, 2), (40, 9, 4)]
+    planes = [rng.integers(60, 120, s[:2]).astype(np.uint8) for s in shapes]
+    for plane, (_, _, tiles) in zip(planes, shapes):
+        row = (1, *plane.shape, 1, plane.tobytes())
+        got = raster.equalize_images(spark.createDataFrame([row], IMAGES), tiles, 40.0).first()
+        want = equalise(plane.astype(int), tiles, 40.0)
+        assert np.frombuffer(got.data, np.uint8).reshape(plane.shape).tolist() == want.tolist()
+
+
+def test_colour_keeps_grey_grey_and_other_rows_as_they_are(spark):
+    rng = np.random.default_rng(4)
+    plane = rng.integers(60, 120, (20, 30)).astype(np.uint8)
+    grey = np.repeat(plane[:, :, None], 3, 2)
+    rows = [(1, 20, 30, 3, grey.tobytes()), (2, -1, -1, -1, None), (3, 1, 2, 4, bytes(8))]
+    images = spark.createDataFrame(rows, IMAGES)
+    got = {r.image_id: r.data for r in raster.equalize_images(images, 3, 40.0).collect()}
+    assert got[2] is None and bytes(got[3]) == bytes(8)
+    out = np.frombuffer(got[1], np.uint8).reshape(20, 30, 3).astype(int)
+    assert (out.max(2) - out.min(2) <= 1).all()
+    assert out[:, :, 1].std() > plane.std()
+
+
+def test_more_tiles_than_pixels():
+    plane = np.arange(6, dtype=np.uint8).reshape(2, 3) * 9
+    assert raster.equalize_plane(plane, 8, 2.0).shape == (2, 3)

@@ -7,7 +7,7 @@ from boxframe.functions import text
 from boxframe.operators import classes as cl
 from boxframe.operators import store
 from boxframe.operators.naming import unique_names
-from boxframe.schema import DetectorParams, StreamParams, TrainParams
+from boxframe.schema import DetectorParams, require_every
 from pyspark.sql import functions as F
 
 LINES = "split string, stem string, line_no int, line string"
@@ -56,7 +56,7 @@ def test_raw_and_valid_counts_and_shared_stem(spark):
     found, boxes = store.find_entries(
         spark.createDataFrame([("a.png",), ("none.png",)], "filename string"),
         images,
-        store.valid_labels(store.parse_label_lines(lines)),
+        lines,
     )
     assert [(e.filename, e.split, e.num_boxes) for e in found.collect()] == [("a.png", "train", 1)]
     assert boxes.count() == 1
@@ -178,8 +178,8 @@ def test_parameters():
         lambda: DetectorParams(classes=()),
         lambda: DetectorParams(classes=("a",), imgsz=100),
         lambda: DetectorParams(classes=("a",), conf_threshold=0.0),
-        lambda: StreamParams(infer_every=31),
-        lambda: TrainParams(epochs=0),
+        lambda: require_every(31),
+        lambda: require_every(0),
         lambda: text.require_split("dev"),
     ):
         with pytest.raises(ValueError):

@@ -56,3 +56,28 @@ def test_cap_keeps_the_best(spark):
         assert sorted(b[1] for b in best) == sorted(
             r.det_idx for r in got.collect() if r.image_id == image
         )
+
+
+def test_no_class_no_area_and_bad_threshold(spark):
+    data = boxes(80, 40, seed=5)
+    data = [(*b[:2], None if b[2] else 0, *b[3:]) for b in data]
+    data += [(0, 500 + i, 0, 30.0, 30.0, 10.0, 10.0, 0.9) for i in range(30)]
+    df = spark.createDataFrame(data, SCHEMA)
+    rows = lambda limit: sorted(map(tuple, suppress(df, limit=limit).collect()), key=repr)
+    assert rows(1000) == rows(10)
+    for threshold in (0.0, 1.5):
+        with pytest.raises(ValueError):
+            suppress(df, threshold)
+
+
+def test_a_falling_chain_takes_few_rounds(spark, monkeypatch):
+    """Each box beats the next, so box after box is kept and dropped."""
+    from boxframe.operators import suppress as module
+
+    data = [(0, i, 0, i * 3.0, 0.0, i * 3.0 + 10.0, 10.0, 1 - i / 400) for i in range(200)]
+    rounds = []
+    split = module.split_hot
+    monkeypatch.setattr(module, "split_hot", lambda *a: rounds.append(1) or split(*a))
+    got = suppress(spark.createDataFrame(data, SCHEMA), 0.45, limit=5)
+    assert sorted(r.det_idx for r in got.collect()) == [b[1] for b in greedy(data, 0.45)]
+    assert len(rounds) <= 10
