@@ -14,7 +14,7 @@ empty documents go out once; repeated rows decide alike, as the hash sees only
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.groups import durable, skew_join
+from ..operators.groups import durable, same_join, skew_join
 from .tables import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -112,11 +112,9 @@ def with_rates(docs: DataFrame, targets: DataFrame) -> DataFrame:
     size = targets.agg(
         F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + F.lit(32))
     ).first()[0]
-    t = targets.select(F.col("source").alias("_source"), *targets.columns[1:])
-    on = F.col("source").eqNullSafe(F.col("_source"))
     if (size or 0) <= BROADCAST_BYTES:
-        return docs.join(F.broadcast(t), on).drop("_source")
-    return skew_join(docs, t, on).drop("_source")
+        return same_join(docs, F.broadcast(targets), ["source"])
+    return skew_join(docs, targets, ["source"])
 
 
 def copies():

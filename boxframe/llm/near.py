@@ -45,7 +45,7 @@ SAMPLES = 192
 BITS = 512
 FLOOR = 0.72
 # Most members, and shingles of all members, of a block that one task compares.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 512
 BLOCK_SHINGLES = 4 << 20
 # Ids of documents to fetch again are sent to all executors up to this number.
 BROADCAST_IDS = 1_000_000
@@ -183,27 +183,30 @@ def _differing(a, b):
     return sum(bits[1:], bits[0])
 
 
-def _with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`wanted` (id and more, one row per id) with the document's shingles as `members`."""
+def _with_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """`rows` (with doc_id) and the document's shingles as `members`.
+
+    Only the ids go to the texts; the sets then meet the rows by shuffle.
+    """
+    ids = rows.select("doc_id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if wanted.count() <= BROADCAST_IDS:
-        rows = docs.join(F.broadcast(wanted), "doc_id")
-    else:
-        rows = docs.join(wanted.hint("merge"), "doc_id")
-    more = [c for c in wanted.columns if c != "doc_id"]
-    schema = wanted.select("doc_id", *more).schema.add("members", "binary")
 
     def add(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 made = pa.array([s.tobytes() for s in sets(part.column("text"))], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *[part.column(c) for c in more], made],
-                    ["doc_id", *more, "members"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), made], ["doc_id", "members"])
+
+    full = docs.join(ids, "doc_id", "left_semi").mapInArrow(add, "doc_id long, members binary")
+    return skew_join(full, rows, ["doc_id"])
+
 
-    # Rows of one id: the first set stands for it, as its signature does.
-    return rows.select("doc_id", *more, "text").mapInArrow(add, schema)
+def _dealt(rows, cell):
+    """Dealt by cell to as many tasks as are set: the work grows faster than the bytes,
+    so partitions are not to be merged by size."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *cell).groupBy(*cell)
 
 
 def _linked(a, b):
@@ -330,18 +333,10 @@ def _star(docs, members, reps):
             F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"),
         )
     )
-    cells = durable(
-        rows.groupBy("doc_id").agg(F.collect_set(F.struct("centre", "block")).alias("cells"))
-    )
-    full = _with_sets(docs, cells)
-    links = (
-        full.select("doc_id", F.explode("cells").alias("cell"), "members")
-        .select("doc_id", "cell.*", "members")
-        .groupBy("centre", "block")
-        .applyInArrow(_star_links, LINKS)
-    )
+    rows = durable(rows.distinct())
+    links = _dealt(_with_sets(docs, rows), ["centre", "block"]).applyInArrow(_star_links, LINKS)
     links = durable(links.distinct())
-    discard(pairs, cells)
+    discard(pairs, rows)
     return links
 
 
@@ -385,20 +380,10 @@ def _rest(docs, members, reps, labels):
     for name in ("bands", "sketch"):
         schema = schema.add(full.schema[name])
     rows = skew_join(rows, full, ["doc_id"]).select(*[f.name for f in schema])
-    possible = durable(rows.groupBy(*cell).applyInArrow(_possible, schema))
-    fields = [f.name for f in schema if f.name != "doc_id"]
-    wanted = durable(
-        possible.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("cells"))
-    )
-    links = (
-        _with_sets(docs, wanted)
-        .select("doc_id", F.explode("cells").alias("cell"), "members")
-        .select("doc_id", "cell.*", "members")
-        .groupBy(*cell)
-        .applyInArrow(_new_links, LINKS)
-    )
+    possible = durable(_dealt(rows, cell).applyInArrow(_possible, schema))
+    links = _dealt(_with_sets(docs, possible), cell).applyInArrow(_new_links, LINKS)
     links = durable(links.distinct())
-    discard(possible, wanted)
+    discard(possible)
     return links
 
 
