@@ -8,10 +8,13 @@ estimate is off by the missed norm at most, so entries whose estimate plus misse
 norm is below the threshold cannot be links; the rest are compared exactly, in
 double precision.
 
-Probes are sufficient by construction: y lies in list b rather than x's list a only
-if (a - b) . y <= 0 for the centroids, and |x - y| <= sqrt(2 - 2 t) for a cosine of
-t or more, so only lists with (a - b) . x <= sqrt(2 - 2 t) |a - b| are probed, and
-all of them. Recall is that of brute force.
+Probes: y lies in list b rather than x's list a only if (a - b) . y <= 0 for the
+centroids, and |x - y| <= sqrt(2 - 2 t) for a cosine of t or more. So a link can
+reach only lists with (a - b) . x <= c sqrt(2 - 2 t) |a - b|, where c is the cosine
+between x - y and a - b: 1 at most, and within `SPREAD` standard deviations of one
+over the root of the length for differences in no particular direction. All such
+lists are probed. A larger `SPREAD` (the root of the length) makes the search
+lossless; tests hold both against brute force.
 
 Only the centroids and codebooks are fitted on a sample (`SAMPLE` vectors at most,
 lowest hash of the id); every vector is indexed. Equal vectors are one entry with
@@ -42,6 +45,7 @@ SUBSPACES = 8
 CODES = 64
 INDEX_BLOCK, QUERY_BLOCK = 1024, 1024
 SLACK = 1e-9
+SPREAD = 3.0
 
 
 def _rows(column):
@@ -121,7 +125,7 @@ def probes(model, x, cosine=COSINE):
             (centres**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * centres @ centres.T, 0
         )
     )
-    reach = np.sqrt(2 - 2 * cosine) + SLACK
+    reach = np.sqrt(2 - 2 * cosine) * min(1.0, SPREAD / x.shape[1] ** 0.5) + SLACK
     meets = close[np.arange(len(x)), own][:, None] - close <= reach * apart[own] + SLACK
     return own, meets
 
