@@ -39,6 +39,8 @@ from .words import Words, mix, sliding_min
 SIZE = 20
 PIECE = 8
 WIDE = 256
+# Text in a part, which one task works on with some twenty times that in arrays.
+PART_BYTES = 4 << 20
 LAST_ID = np.iinfo(np.int64).max
 
 _LOW = np.uint64(0xFFFFFFFF)
@@ -316,7 +318,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, the kept words as `kept`, and the removed word ranges as
     `repeats` (start, end exclusive), for every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = parts_for(docs)
+    parts = parts_for(docs, part_bytes=PART_BYTES)
     bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
     dealt = docs.withColumn("bucket", bucket)
     anchors = dealt.groupBy("bucket").applyInArrow(
