@@ -84,7 +84,7 @@ def test_manifest_and_coco(spark, tmp_path):
     assert tuple(row) == ("x y.png", "x y", 1, 2, 0.2, 0.2, 0.2, 0.2)
 
 
-def test_scorer_and_nested(spark):
+def test_scorer_and_nested(spark, tmp_path):
     data = np.zeros((4, 4, 3), dtype=np.uint8)
     data[1, 2] = 255
     rows = [("a", 4, 4, 3, data.tobytes(), 1.5), ("b", 4, 4, 3, bytes(48), 2.5)]
@@ -107,6 +107,8 @@ def test_scorer_and_nested(spark):
     nested = {r.image_id: r for r in dt.nest_predictions(shown, images).collect()}
     assert len(nested["a"].detections) == 1 and nested["b"].detections == []
     assert nested["a"].image_size.width == 4
+    dt.write_predictions(shown, images, f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
     many = shown.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("out_pos"), *shown.columns[2:-2], "class_name")
     parts = dt.nest_predictions(many, images, part_rows=4).collect()
     assert sorted((r.image_id, r.part, len(r.detections)) for r in parts) == [("a", 0, 4), ("a", 1, 3), ("b", 0, 0)]

@@ -184,3 +184,15 @@ def test_parameters():
     ):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_training_set_is_written_by_split_once_both_have_images(spark, tmp_path):
+    images = spark.createDataFrame([("train", "a.png", when(1)), ("train", "b.png", when(2)), ("val", "c.png", when(3))], IMAGES)
+    lines = spark.createDataFrame([("train", "a", 1, "0 0.5 0.5 0.1 0.1")], LINES)
+    labels = store.valid_labels(store.parse_label_lines(lines))
+    store.write_training_set(images, labels, f"{tmp_path}/set")
+    rows = spark.read.parquet(f"{tmp_path}/set").collect()
+    assert sorted((r.split, r.filename, r.line_no) for r in rows if r.line_no) == [("train", "a.png", 1)]
+    assert len(rows) == 3
+    with pytest.raises(ValueError, match="val"):
+        store.write_training_set(images.where("split = 'train'"), labels, f"{tmp_path}/none")

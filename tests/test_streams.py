@@ -1,6 +1,9 @@
+import os
+
 import numpy as np
 
 from boxframe.operators import frames as fr
+from boxframe.operators import runs
 from boxframe.schema import ClusterParams
 from boxframe.sources.frames import stream_frames, stream_lines
 from boxframe.streaming import live
@@ -21,6 +24,8 @@ def test_follow_equals_batch_and_counts_late_reads(spark, tmp_path):
     whole = fr.frame_log(spark.createDataFrame(data, SCHEMA), **args)
     got = live.read_results(spark, f"{root}/out").select(*whole.columns)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+    # Only what a batch that is run again needs.
+    assert sorted(os.listdir(f"{root}/out/state")) == ["batch=1", "batch=2"]
     late = live.read_results(spark, f"{root}/out", "late").groupBy().sum("late").first()[0]
     assert late == 2 * len([r for r in data if r[1] < 20])
 
@@ -51,3 +56,5 @@ def test_detections_and_log_lines(spark, tmp_path):
     lines = spark.read.parquet(f"{root}/lines").collect()
     assert {r.run for r in lines} == {"run 1.txt"} and len(lines) == 3
     assert "one" in {r.line for r in lines}
+    tail = runs.log_tail(spark.read.parquet(f"{root}/lines"), 1).collect()
+    assert [(r.seq, r.line) for r in tail] == [(3, "three")]
