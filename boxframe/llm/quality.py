@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import held_out, slices, table
+from .tables import bounded_sample, held_out, slices, table
 from .words import text_buffer
 
 PER_LABEL = 3000
@@ -122,16 +122,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_label=PER_LABEL):
     chosen = []
     for label in (0, 1):
         rows = labels.where(F.col("label") == label).select(
-            "doc_id", "label", F.xxhash64("doc_id").alias("h")
+            F.xxhash64("doc_id").alias("h"), "doc_id", "label"
         )
-        # A bounded top-n: at most `per_label` ids, then their texts.
-        chosen += rows.orderBy("h", "doc_id").limit(per_label).collect()
-    spark = docs.sparkSession
-    use = {0: 0, 1: 0}
-    picked = []
-    for r in chosen:
-        picked.append((r.doc_id, r.label, use[r.label] % 2 == 0))
-        use[r.label] += 1
+        # At most `per_label` ids, every other one for the dictionaries.
+        chosen += [
+            (i, label, at % 2 == 0)
+            for at, (_, i, label) in enumerate(bounded_sample(rows, per_label))
+        ]
+    spark, picked = docs.sparkSession, chosen
     picked = F.broadcast(spark.createDataFrame(picked, "doc_id long, label int, learn boolean"))
     texts = docs.select("doc_id", "text").join(picked, "doc_id").where("length(text) > 0")
     place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SNIPPET, F.lit(1)))
