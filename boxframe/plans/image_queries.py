@@ -155,10 +155,7 @@ def equalised_pixels(spark, sf):
     grey = images(spark, sf).withColumns(
         {
             "nChannels": F.lit(1),
-            "before": F.transform(
-                F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)),
-                lambda i: F.get(_levels(F.col("data")), i * 3),
-            ),
+            "before": F.filter(_levels(F.col("data")), lambda v, i: i % 3 == 0),
         }
     )
     grey = grey.withColumn("data", F.unhex(F.array_join(F.transform("before", lambda v: F.lpad(F.hex(v), 2, "0")), "")))
