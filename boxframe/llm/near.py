@@ -4,8 +4,11 @@ A document is the set of its distinct runs of five words (lower-cased A-Z). MinH
 samples of the set go into bands, whose equal values bring documents together, and
 are folded into an odd sketch: each sample flips one bit of a bitmap, so the bits in
 which two bitmaps differ tell how many samples differ, precisely so when few do.
-Pairs whose estimate is below `FLOOR` (five standard errors below the threshold) go
-no further; the rest are compared by their full sets.
+Pairs whose estimate is more than five standard errors below the threshold go no
+further; the rest are compared by their full sets.
+
+The threshold is a parameter, in percent: `PERCENT` unless given. The bands bring a
+pair of similarity s together but for a share (1 - s^6)^32: 6e-5 at 0.80, 2e-7 at 0.85.
 
 What is asked for is the components of the links, so pairs are not listed:
 
@@ -38,12 +41,11 @@ from .tables import slices, table
 from .words import Words, join_runs, mix
 
 SHINGLE = 5
-# Links have 100 * intersection >= PERCENT * union.
+# Links have 100 * intersection >= percent * union.
 PERCENT = 85
-BANDS, ROWS = 24, 6
+BANDS, ROWS = 32, 6
 SAMPLES = 192
 BITS = 512
-FLOOR = 0.72
 # Most members, and shingles of all members, of a block that one task compares.
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 4 << 20
@@ -55,8 +57,11 @@ _XOR = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint32)
 _MUL = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 
 
-def most_bits(floor=FLOOR):
-    """Differing bits of two odd sketches whose estimate is still `floor`."""
+def most_bits(percent=PERCENT):
+    """Differing bits of two odd sketches that may still be linked: those of an estimate
+    five standard errors below the threshold."""
+    share = percent / 100
+    floor = share - 5 * (share * (1 - share) / SAMPLES) ** 0.5
     return int(BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - floor) / BITS)))
 
 
@@ -209,13 +214,13 @@ def _dealt(rows, cell):
     return rows.repartition(n, *cell).groupBy(*cell)
 
 
-def _linked(a, b):
+def _linked(a, b, percent=PERCENT):
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if 100 * len(small) < PERCENT * len(large):
+    if 100 * len(small) < percent * len(large):
         return False
     at = np.minimum(np.searchsorted(large, small), len(large) - 1)
     both = int((large[at] == small).sum())
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _find(parent, i):
@@ -225,22 +230,32 @@ def _find(parent, i):
     return i
 
 
-def _star_links(group: pa.Table) -> pa.Table:
+def _star_links(percent):
     """Links between a star's centre and the other rows of a cell."""
-    ids = group.column("doc_id").to_pylist()
-    centre = group.column("centre")[0].as_py()
-    members = [np.frombuffer(m, np.uint64) for m in group.column("members").to_pylist()]
-    own = [m for i, m in zip(ids, members, strict=True) if i == centre]
-    found = sorted(
-        {i for i, m in zip(ids, members, strict=True) if own and i != centre and _linked(own[0], m)}
-    )
-    return pa.table({"src": pa.array(found, pa.int64()), "dst": pa.array([centre] * len(found), pa.int64())})
+
+    def run(group: pa.Table) -> pa.Table:
+        ids = group.column("doc_id").to_pylist()
+        centre = group.column("centre")[0].as_py()
+        members = [np.frombuffer(m, np.uint64) for m in group.column("members").to_pylist()]
+        own = [m for i, m in zip(ids, members, strict=True) if i == centre]
+        found = sorted(
+            {
+                i
+                for i, m in zip(ids, members, strict=True)
+                if own and i != centre and _linked(own[0], m, percent)
+            }
+        )
+        return pa.table(
+            {"src": pa.array(found, pa.int64()), "dst": pa.array([centre] * len(found), pa.int64())}
+        )
+
+    return run
 
 
-def _close_pairs(ids, comp, side, diagonal, sketch, bands, band):
+def _close_pairs(percent, ids, comp, side, diagonal, sketch, bands, band):
     """Index pairs of a block that may be linked: components differ, estimate high
     enough, and `band` the first one they share."""
-    limit = most_bits()
+    limit = most_bits(percent)
     left = np.arange(len(ids)) if diagonal else np.flatnonzero(side == 0)
     right = left if diagonal else np.flatnonzero(side == 1)
     sketch = sketch.view(np.uint64)
@@ -272,39 +287,46 @@ def _cell_columns(group):
     )
 
 
-def _possible(group: pa.Table) -> pa.Table:
+def _possible(percent):
     """The members of a cell that have a possible link."""
-    columns = _cell_columns(group)
-    found = np.zeros(group.num_rows, bool)
-    for i, j in _close_pairs(*columns):
-        found[i] = found[j] = True
-    return group.filter(pa.array(found))
 
+    def run(group: pa.Table) -> pa.Table:
+        found = np.zeros(group.num_rows, bool)
+        for i, j in _close_pairs(percent, *_cell_columns(group)):
+            found[i] = found[j] = True
+        return group.filter(pa.array(found))
 
-def _new_links(group: pa.Table) -> pa.Table:
+    return run
+
+
+def _new_links(percent):
     """Links of a cell, on full sets, that connect components."""
-    columns = _cell_columns(group)
-    ids, comp = columns[0], columns[1]
-    members = [np.frombuffer(m, np.uint64) for m in group.column("members").to_pylist()]
-    parent = {c: c for c in comp.tolist()}
-    found = []
-    for i, j in _close_pairs(*columns):
-        a, b = _find(parent, comp[i].item()), _find(parent, comp[j].item())
-        if a != b and _linked(members[i], members[j]):
-            parent[max(a, b)] = min(a, b)
-            found.append((ids[i].item(), ids[j].item()))
-    return pa.table(
-        {
-            "src": pa.array([max(p) for p in found], pa.int64()),
-            "dst": pa.array([min(p) for p in found], pa.int64()),
-        }
-    )
+
+    def run(group: pa.Table) -> pa.Table:
+        columns = _cell_columns(group)
+        ids, comp = columns[0], columns[1]
+        members = [np.frombuffer(m, np.uint64) for m in group.column("members").to_pylist()]
+        parent = {c: c for c in comp.tolist()}
+        found = []
+        for i, j in _close_pairs(percent, *columns):
+            a, b = _find(parent, comp[i].item()), _find(parent, comp[j].item())
+            if a != b and _linked(members[i], members[j], percent):
+                parent[max(a, b)] = min(a, b)
+                found.append((ids[i].item(), ids[j].item()))
+        return pa.table(
+            {
+                "src": pa.array([max(p) for p in found], pa.int64()),
+                "dst": pa.array([min(p) for p in found], pa.int64()),
+            }
+        )
+
+    return run
 
 
 LINKS = "src long, dst long"
 
 
-def _star(docs, members, reps):
+def _star(docs, members, reps, percent):
     """Links to the smallest member of each bucket."""
     centres = members.groupBy("key").agg(F.min("rep").alias("centre"))
     pairs = (
@@ -316,7 +338,7 @@ def _star(docs, members, reps):
     one = reps.select("rep", F.col("sketch").alias("_a"))
     two = reps.select(F.col("rep").alias("centre"), F.col("sketch").alias("_b"))
     pairs = skew_join(skew_join(pairs, one, ["rep"]), two, ["centre"])
-    pairs = pairs.where(_differing(F.col("_a"), F.col("_b")) <= most_bits())
+    pairs = pairs.where(_differing(F.col("_a"), F.col("_b")) <= most_bits(percent))
     pairs = durable(
         pairs.select(
             "centre", "rep", F.pmod(F.xxhash64("rep"), F.lit(1 << 16)).cast("int").alias("salt")
@@ -334,13 +356,13 @@ def _star(docs, members, reps):
         )
     )
     rows = durable(rows.distinct())
-    links = _dealt(_with_sets(docs, rows), ["centre", "block"]).applyInArrow(_star_links, LINKS)
+    links = _dealt(_with_sets(docs, rows), ["centre", "block"]).applyInArrow(_star_links(percent), LINKS)
     links = durable(links.distinct())
     discard(pairs, rows)
     return links
 
 
-def _rest(docs, members, reps, labels):
+def _rest(docs, members, reps, labels, percent):
     """Links between components that a bucket still holds."""
     labelled = members.join(labels.hint("merge"), "rep")
     open_keys = (
@@ -380,15 +402,16 @@ def _rest(docs, members, reps, labels):
     for name in ("bands", "sketch"):
         schema = schema.add(full.schema[name])
     rows = skew_join(rows, full, ["doc_id"]).select(*[f.name for f in schema])
-    possible = durable(_dealt(rows, cell).applyInArrow(_possible, schema))
-    links = _dealt(_with_sets(docs, possible), cell).applyInArrow(_new_links, LINKS)
+    possible = durable(_dealt(rows, cell).applyInArrow(_possible(percent), schema))
+    links = _dealt(_with_sets(docs, possible), cell).applyInArrow(_new_links(percent), LINKS)
     links = durable(links.distinct())
     discard(possible)
     return links
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every document."""
+def near_groups(docs: DataFrame, percent=PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every document; links have a
+    similarity of `percent` or more."""
     signed = durable(signatures(docs))
     reps = durable(
         signed.where("set_hash is not null and doc_id is not null")
@@ -403,11 +426,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     every = reps.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
     shared = every.groupBy("key").count().where("count > 1").select("key")
     members = durable(skew_join(every, shared, ["key"]).dropDuplicates(["key", "rep"]))
-    stars = _star(docs, members, reps)
+    stars = _star(docs, members, reps, percent)
     alone = members.select(F.col("rep").alias("src"), F.col("rep").alias("dst")).distinct()
     first = durable(connected_components(stars.unionByName(alone), []))
     labels = first.select(F.col("node").alias("rep"), "comp")
-    more = _rest(docs, members, reps, labels)
+    more = _rest(docs, members, reps, labels, percent)
     labels = connected_components(
         more.unionByName(first.select(F.col("node").alias("src"), F.col("comp").alias("dst"))), []
     ).select(F.col("node").alias("rep"), "comp")
@@ -427,12 +450,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent=PERCENT) -> DataFrame:
     """The rows of `docs` without those whose group has a smaller id.
 
     Rows of one id are one document and stay together.
     """
-    gone = durable(near_groups(docs).where("not kept").select("doc_id").distinct())
+    gone = durable(near_groups(docs, percent).where("not kept").select("doc_id").distinct())
     gone = gone.withColumnRenamed("doc_id", "_gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)

@@ -10,6 +10,9 @@ from boxframe.llm import langid, mixing, near, pii, templates
 from boxframe.llm.tables import table
 from boxframe.operators.groups import durable
 
+# Near duplicates of the pipeline share so many percent of their shingles, or more.
+NEAR_PERCENT = 80
+
 
 def recognised(spark, docs, sf_dir):
     """Documents whose language is recognised; texts without letters go."""
@@ -18,7 +21,7 @@ def recognised(spark, docs, sf_dir):
 
 def deduplicated(spark, docs, sf_dir):
     """One document of each group of near duplicates: the one with the smallest id."""
-    return near.one_of_each(docs)
+    return near.one_of_each(docs, NEAR_PERCENT)
 
 
 def decontaminated(spark, docs, sf_dir):

@@ -134,3 +134,25 @@ def test_minima_are_those_of_each_text():
         for i in range(3):
             part = h[edges[i] : edges[i + 1]]
             assert (got[i] == ((part[:, None] ^ near._XOR) * near._MUL).min(0)).all()
+
+
+def test_lower_threshold_equals_all_pairs(corpus):
+    rows = corpus_rows()
+    _, sets = components(rows)
+    want = {i: {i} for i in sets}
+    for i in sets:
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if want[i] is not want[j] and 100 * len(a & b) >= 80 * len(a | b):
+                want[i] |= want[j]
+                for k in want[i]:
+                    want[k] = want[i]
+    got = {r.doc_id: r.component_id for r in near.near_groups(corpus(rows), 80).collect()}
+    assert got == {i: min(g) for i, g in want.items()}
+    at_85 = {r.component_id for r in near.near_groups(corpus(rows)).collect()}
+    assert len(set(got.values())) < len(at_85)
+
+
+def test_bands_bring_pairs_of_the_lower_threshold_together():
+    assert (1 - 0.8**near.ROWS) ** near.BANDS < 1e-4
+    assert near.BANDS * near.ROWS <= near.SAMPLES

@@ -54,3 +54,14 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path, corpus, odd_
 def test_one_query_for_each_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registered.QUERIES)
     assert numbers == list(range(1, 11))
+
+
+def test_near_duplicates_of_80_percent_go(spark, corpus):
+    words = [f"b{i}" for i in range(154)]
+    # Three words apart change 15 of 150 shingles: 135 of 165 are shared, 0.82.
+    near = [f"w{i}" if i in (30, 70, 110) else w for i, w in enumerate(words)]
+    # Four change 20: 130 of 170, 0.76.
+    far = [f"v{i}" if i in (20, 50, 90, 130) else w for i, w in enumerate(words)]
+    docs = corpus([(i, " ".join(t)) for i, t in enumerate((words, near, far))])
+    kept = corpus_pipeline.deduplicated(spark, docs, None).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 2]
