@@ -11,10 +11,11 @@ double precision.
 Probes: y lies in list b rather than x's list a only if (a - b) . y <= 0 for the
 centroids, and |x - y| <= sqrt(2 - 2 t) for a cosine of t or more. So a link can
 reach only lists with (a - b) . x <= c sqrt(2 - 2 t) |a - b|, where c is the cosine
-between x - y and a - b: 1 at most, and within `SPREAD` standard deviations of one
-over the root of the length for differences in no particular direction. All such
-lists are probed. A larger `SPREAD` (the root of the length) makes the search
-lossless; tests hold both against brute force.
+between x - y and a - b, 1 at most. All lists within that bound are probed, so no
+link is lost, whatever the vectors; the price is that vectors without structure meet
+nearly all lists. Callers who know that differences point in no particular direction
+can give a `spread`: c is then that many standard deviations of one over the root of
+the length, which is cheaper but loses links of vectors that vary in few dimensions.
 
 Only the centroids and codebooks are fitted on a sample (`SAMPLE` vectors at most,
 lowest hash of the id); every vector is indexed. Equal vectors are one entry with
@@ -113,8 +114,9 @@ def fit(x, lists, seed=11):
     return {"centres": centres, "books": books, "cuts": cuts}
 
 
-def probes(model, x, cosine=COSINE):
-    """The list of each unit vector, and a matrix of the lists it has to meet."""
+def probes(model, x, cosine=COSINE, spread=SPREAD):
+    """The list of each unit vector, and a matrix of the lists it has to meet: of all
+    that a link can reach if `spread` is None."""
     centres = model["centres"]
     close = x @ centres.T
     own = close.argmax(1)
@@ -125,7 +127,8 @@ def probes(model, x, cosine=COSINE):
             (centres**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * centres @ centres.T, 0
         )
     )
-    reach = np.sqrt(2 - 2 * cosine) * min(1.0, SPREAD / x.shape[1] ** 0.5) + SLACK
+    share = 1.0 if spread is None else min(1.0, spread / x.shape[1] ** 0.5)
+    reach = np.sqrt(2 - 2 * cosine) * share + SLACK
     meets = close[np.arange(len(x)), own][:, None] - close <= reach * apart[own] + SLACK
     return own, meets
 
@@ -145,14 +148,14 @@ def encode(model, x, own):
 CODED = "vec_id long, weight long, unit binary, list int, probes array<int>, codes binary, missed double"
 
 
-def _coded(model, cosine):
+def _coded(model, cosine, spread):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 raw = part.column("unit")
                 x = np.stack([np.frombuffer(u, np.float64) for u in raw.to_pylist()])
-                own, meets = probes(model, x, cosine)
+                own, meets = probes(model, x, cosine, spread)
                 codes, missed = encode(model, x, own)
                 # A pair of lists is met from the lower one.
                 meets &= np.arange(meets.shape[1])[None] >= own[:, None]
@@ -240,11 +243,11 @@ def _sampled(entries, n, lists):
     return np.stack([np.frombuffer(u, np.float64) for _, u in rows])
 
 
-def _found(entries: DataFrame, n, cosine) -> DataFrame:
+def _found(entries: DataFrame, n, cosine, spread) -> DataFrame:
     """Links per entry and a forest of them, for entries of one length."""
     lists = int(np.clip(round(n**0.5), 1, MOST_LISTS))
     model = fit(_sampled(entries, n, lists), lists)
-    coded = durable(entries.mapInArrow(_coded(model, cosine), CODED))
+    coded = durable(entries.mapInArrow(_coded(model, cosine, spread), CODED))
     blocks = lambda count, size: F.ceil(F.col(count) / size).cast("int")
     index_sizes = coded.groupBy("list").agg(F.count("*").alias("n_index"))
     query_sizes = coded.select(F.explode("probes").alias("list")).groupBy("list").agg(
@@ -280,8 +283,9 @@ def _found(entries: DataFrame, n, cosine) -> DataFrame:
     )
 
 
-def near_vectors(vectors: DataFrame, cosine=COSINE) -> DataFrame:
-    """vec_id, n_links, component_id and kept for every vector."""
+def near_vectors(vectors: DataFrame, cosine=COSINE, spread=None) -> DataFrame:
+    """vec_id, n_links, component_id and kept for every vector; all links are found
+    unless a `spread` is given."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     keyed = durable(rows.mapInArrow(_keyed, "vec_id long, key binary, size int, unit binary"))
     entries = durable(
@@ -292,7 +296,8 @@ def near_vectors(vectors: DataFrame, cosine=COSINE) -> DataFrame:
     )
     found = None
     for r in sorted(entries.groupBy("size").count().collect()):
-        part = _found(entries.where(F.col("size") == r["size"]).select("vec_id", "weight", "unit"), r["count"], cosine)
+        some = entries.where(F.col("size") == r["size"]).select("vec_id", "weight", "unit")
+        part = _found(some, r["count"], cosine, spread)
         found = part if found is None else found.unionByName(part)
     spark = vectors.sparkSession
     found = durable(found if found is not None else spark.createDataFrame([], FOUND))

@@ -121,3 +121,17 @@ def test_odd_rows(spark):
     twice = vectors.near_vectors(spark.createDataFrame([(1, one, 0), (1, one, 0), (2, one, 0)], SCHEMA))
     assert sorted(map(tuple, twice.collect())) == [(1, 1, 1, True)] * 2 + [(2, 1, 1, False)]
     assert vectors.near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def low_rank(rng, n, rank, size=64):
+    x = rng.normal(0, 1, (n, rank)) @ rng.normal(0, 1, (rank, size))
+    return [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(x)]
+
+
+def test_vectors_of_few_dimensions_lose_no_link(spark):
+    rows = low_rank(np.random.default_rng(5), 2500, 4)
+    x = np.array([v for _, v, _ in rows], np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    got = vectors.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist()))
