@@ -9,8 +9,10 @@ a shorter one) and its slots are consistent: equal item values stand for equal
 document values and unequal for unequal, as in a question with new numbers or
 names. Everything is DataFrame code.
 
-Windows need `LITERALS` words outside slots to be looked for. Benchmark windows go
-to all executors up to `BROADCAST_WINDOWS`; more are joined by shuffle.
+All windows are looked for. An alignment needs `LITERALS` words outside slots in what
+it covers, or the very slot values of the item: a bare pattern of numbers is met
+everywhere, the numbers themselves are not. Benchmark windows go to all executors up
+to `BROADCAST_WINDOWS`; more are joined by shuffle.
 
 Defined results: null text counts as empty; items of fewer than `WINDOW` tokens are
 never found; a null id is reported as null, each text of its own; repeated rows
@@ -98,15 +100,22 @@ def windows(rows: DataFrame) -> DataFrame:
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """Windows of the items with words enough: hash, item_id, item_place, ..."""
+    """All windows of the items: hash, item_id, item_place, ...; where a window has too
+    few words outside slots, `item_words` has their places in the item."""
     rows = windows(items.select("item_id", "text").distinct())
-    slots = F.size(F.filter(F.split("slots", "\x02"), lambda s: s != ""))
-    return rows.where(slots <= WINDOW - LITERALS).select(
+    words = F.filter(
+        F.transform(
+            F.split("slots", "\x02"), lambda s, i: F.when(s == "", F.col("place") + i)
+        ),
+        lambda p: p.isNotNull(),
+    )
+    return rows.select(
         "hash",
         "item_id",
         F.col("n_tokens").alias("item_tokens"),
         F.col("place").alias("item_place"),
         F.col("slots").alias("item_slots"),
+        F.when(F.size(words) < LITERALS, words).alias("item_words"),
     )
 
 
@@ -130,13 +139,17 @@ def _text_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     ).agg(
         F.count_distinct("item_place").alias("n_windows"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
+        F.bool_or(F.col("item_words").isNull()).alias("wordy"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("item_words")))).alias("n_words"),
     )
+    verbatim = F.forall("pairs", lambda p: p["item"] == p["doc"])
     sides = [F.size(F.array_distinct(F.col("pairs")[side])) for side in ("item", "doc")]
     covered = (F.col("n_windows") + WINDOW - 1).cast("long")
     return (
         aligned.withColumn("covered", covered)
         .where(F.col("covered") >= F.least(F.lit(LEAST), F.col("item_tokens") - 1))
         .where((sides[0] == F.size("pairs")) & (sides[1] == F.size("pairs")))
+        .where(F.col("wordy") | (F.col("n_words") >= LITERALS) | verbatim)
     )
 
 

@@ -66,3 +66,21 @@ def test_odd_rows(corpus, items, odd_rows, spark):
     none = spark.createDataFrame([], items.schema)
     assert templates.without_leaks(docs, none).count() == len(odd_rows) + 2
     assert templates.leaks(corpus([]), items).collect() == []
+
+
+def test_items_full_of_slots(corpus, spark):
+    rng = random.Random(5)
+    mean = "Find the mean of 4, 8, 15, 16, 23 and 42"
+    add = "Add 3 and 5 and 7 and 9 and 11 and 13"
+    bare = "17 4 99 23 8 61 5 70 31 2"
+    mixed = "The boxes hold 4 kg, 8 kg, 15 kg, 16 kg, 23 kg and 42 kg of flour"
+    rows = list(enumerate((mean, add, bare, mixed), 1))
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    wrap = lambda t: f"{filler(rng)}. {t} {filler(rng)}"
+    other = mean.replace("15", "77").replace("42", "90")
+    docs = [(10 * i, wrap(t)) for i, t in rows]
+    docs += [(11, wrap(other)), (12, wrap(other.replace("8", "4"))), (31, wrap(bare.replace("61", "62")))]
+    docs += [(50, " ".join(str(rng.randrange(10**6)) for _ in range(200))), (60, filler(rng, 200))]
+    assert found(corpus, items, docs) == {(10, 1), (20, 2), (30, 3), (40, 4), (11, 1)}
+    kept = templates.without_leaks(corpus(docs), items).collect()
+    assert {r.doc_id for r in kept} == {12, 31, 50, 60}
