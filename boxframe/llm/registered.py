@@ -8,6 +8,7 @@ from . import (
     pii,
     quality,
     repeats,
+    resample,
     templates,
     vectors,
     warc,
@@ -21,6 +22,7 @@ MODULES = (
     pii,
     quality,
     repeats,
+    resample,
     templates,
     vectors,
     warc,
