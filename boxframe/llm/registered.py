@@ -12,6 +12,7 @@ from . import (
     templates,
     vectors,
     warc,
+    whitening,
 )
 
 MODULES = (
@@ -26,6 +27,7 @@ MODULES = (
     templates,
     vectors,
     warc,
+    whitening,
 )
 QUERIES = {name: make for m in MODULES for name, make in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
