@@ -3,6 +3,7 @@
 from . import (
     counts,
     langid,
+    licences,
     mixing,
     near,
     pii,
@@ -18,6 +19,7 @@ from . import (
 MODULES = (
     counts,
     langid,
+    licences,
     mixing,
     near,
     pii,
