@@ -216,11 +216,14 @@ def _index(batches, rank, threshold):
 
 def _blocks(step, number):
     begins = F.sequence(F.lit(0), F.size("words") - 1, F.lit(step))
+
+    def words(i):
+        # Word by word: a slice would copy the whole text for each block.
+        last = F.least(i + 2 * step, F.size("words")) - 1
+        return F.transform(F.sequence(i, last), lambda j: F.get(F.col("words"), j))
+
     return F.transform(
-        begins,
-        lambda i: F.struct(
-            F.lit(number).alias("batch"), i.alias("block"), F.slice("words", i + 1, 2 * step).alias("words")
-        ),
+        begins, lambda i: F.struct(F.lit(number).alias("batch"), i.alias("block"), words(i).alias("words"))
     )
 
 

@@ -4,15 +4,22 @@ Texts become token lists in which numbers, names (capitalised words within a
 sentence, neighbouring ones as one) and units after a number are typed slots; other
 tokens are lower-cased words. Windows of `WINDOW` tokens are hash-joined between
 documents and benchmark items. Hits of one document, item and offset form an
-alignment. It is a leak if it covers `LEAST` tokens of the item (or all but one of
-a shorter one) and its slots are consistent: equal item values stand for equal
+alignment. It is a leak if its windows cover `LEAST` tokens of the item (or all but
+one of a shorter one) and its slots are consistent: equal item values stand for equal
 document values and unequal for unequal, as in a question with new numbers or
 names. Everything is DataFrame code.
 
 All windows are looked for. An alignment needs `LITERALS` words outside slots in what
 it covers, or the very slot values of the item: a bare pattern of numbers is met
-everywhere, the numbers themselves are not. Benchmark windows go to all executors up
-to `BROADCAST_WINDOWS`; more are joined by shuffle.
+everywhere, the numbers themselves are not.
+
+The search has two steps. Hashes of all windows of all documents meet the set of
+benchmark hashes, which lists places and multiplies nothing. Slots are only built at
+those places. There, windows of nothing but slots meet on their values; such windows
+with other values are then looked up at the one place that an alignment found
+otherwise puts them. So a text and an item full of numbers do not meet on all pairs of
+places. Benchmark windows go to all executors up to `BROADCAST_WINDOWS`, places up to
+`BROADCAST_ROWS`; more are joined by shuffle.
 
 Defined results: null text counts as empty; items of fewer than `WINDOW` tokens are
 never found; a null id is reported as null, each text of its own; repeated rows
@@ -24,7 +31,7 @@ the search, kept by the filter.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.groups import computed_once, durable, skew_join
+from ..operators.groups import computed_once, durable, same_join, skew_join
 from .tables import table
 
 WINDOW = 8
@@ -43,14 +50,16 @@ UNITS = (
     "w kw v"
 ).split()
 
-NAME = r"([\p{Ll}0-9,;)][ \t\n])(\p{Lu}\p{Ll}+(?:[ \t\n]\p{Lu}\p{Ll}+)*)"
-TOKEN = r"\x01[^\x04]*\x04|[0-9]+(?:[.,:/][0-9]+)*|\p{L}+"
+# The repeated groups are possessive: nothing after them needs a retry, and they are
+# then matched in a loop, where a plain repeat takes stack for each of a thousand names.
+NAME = r"([\p{Ll}0-9,;)][ \t\n])(\p{Lu}\p{Ll}+(?:[ \t\n]\p{Lu}\p{Ll}+)*+)"
+TOKEN = r"\x01[^\x04]*\x04|[0-9]+(?:[.,:/][0-9]+)*+|\p{L}+"
 # What a slot of each kind looks like in a template.
 NUMBER, NAMED, UNIT = "<number>", "<name>", "<unit>"
 
 
 def _tokens(rows: DataFrame) -> DataFrame:
-    """Add `raw` tokens, `canon` (slots typed), and `slot` (raw value or '')."""
+    """Replace `text` by `raw` tokens and `canon` (slots typed)."""
     marked = F.regexp_replace(
         F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x01\x04]", " "),
         NAME,
@@ -71,85 +80,137 @@ def _tokens(rows: DataFrame) -> DataFrame:
             .otherwise(low)
         )
 
-    rows = computed_once(rows.drop("_marked"), {"canon": F.transform("raw", typed)})
-    slot = F.transform(
-        F.arrays_zip("raw", "canon"),
-        lambda t: F.when(F.startswith(t["canon"], F.lit("<")), t["raw"]).otherwise(""),
-    )
-    return computed_once(rows, {"slot": slot}).drop("text")
+    return computed_once(rows.drop("_marked"), {"canon": F.transform("raw", typed)}).drop("text")
+
+
+def _window(array, place):
+    """The elements of a window. A slice would copy the whole array each time."""
+    return [F.get(F.col(array), place + (k - 1)) for k in range(WINDOW)]
 
 
-def windows(rows: DataFrame) -> DataFrame:
-    """One row per window: place (from 1), hash, and its slots in order."""
-    rows = _tokens(rows)
-    last = F.size("canon") - WINDOW + 1
+def _window_hashes(rows: DataFrame) -> DataFrame:
+    """Tokens and `hashes`, one per window in order."""
+    rows = computed_once(_tokens(rows), {"_hash": F.transform("canon", lambda t: F.xxhash64(t))})
+    last = F.size("_hash") - WINDOW + 1
     places = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(
         F.array().cast("array<int>")
     )
-    made = F.transform(
-        places,
-        lambda i: F.struct(
-            i.alias("place"),
-            F.xxhash64(F.slice("canon", i, WINDOW)).alias("hash"),
-            F.array_join(F.slice("slot", i, WINDOW), "\x02").alias("slots"),
-        ),
-    )
-    keep = [c for c in rows.columns if c not in ("raw", "canon", "slot")]
-    rows = rows.select(*keep, F.size("canon").alias("n_tokens"), F.explode(made).alias("w"))
-    return rows.select(*keep, "n_tokens", "w.*")
+    hashes = F.transform(places, lambda i: F.xxhash64(*_window("_hash", i)))
+    return rows.withColumn("hashes", hashes).drop("_hash")
+
+
+def _slots_at(place):
+    """Raw values of a window's slots, '' for other tokens, joined."""
+    pairs = zip(_window("raw", place), _window("canon", place), strict=True)
+    values = [F.when(F.startswith(c, F.lit("<")), r).otherwise("") for r, c in pairs]
+    return F.array_join(F.array(*values), "\x02")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Add `bare` (a window of slots only) and `key`: its hash, for bare ones with values."""
+    bare = ~F.array_contains(F.split("slots", "\x02"), "")
+    key = F.when(F.col("bare"), F.xxhash64("hash", "slots")).otherwise(F.col("hash"))
+    return rows.withColumn("bare", bare).withColumn("key", key)
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """All windows of the items: hash, item_id, item_place, ...; where a window has too
-    few words outside slots, `item_words` has their places in the item."""
-    rows = windows(items.select("item_id", "text").distinct())
+    """All windows of the items: hash, key, bare, item_id, item_place, ..., and the
+    places in the item of their words outside slots."""
+    rows = _window_hashes(items.select("item_id", "text").distinct())
+    made = F.transform(
+        "hashes",
+        lambda h, i: F.struct(
+            h.alias("hash"), (i + 1).alias("item_place"), _slots_at(i + 1).alias("slots")
+        ),
+    )
+    rows = rows.select("item_id", F.size("canon").alias("item_tokens"), F.explode(made).alias("w"))
     words = F.filter(
         F.transform(
-            F.split("slots", "\x02"), lambda s, i: F.when(s == "", F.col("place") + i)
+            F.split("slots", "\x02"), lambda s, i: F.when(s == "", F.col("item_place") + i)
         ),
         lambda p: p.isNotNull(),
     )
-    return rows.select(
-        "hash",
-        "item_id",
-        F.col("n_tokens").alias("item_tokens"),
-        F.col("place").alias("item_place"),
-        F.col("slots").alias("item_slots"),
-        F.when(F.size(words) < LITERALS, words).alias("item_words"),
+    rows = _keyed(rows.select("item_id", "item_tokens", "w.*")).withColumn("item_words", words)
+    return rows.withColumnRenamed("slots", "item_slots")
+
+
+def _sent(rows: DataFrame, most: int) -> DataFrame:
+    """Written rows, to be sent to all executors up to `most`, else to be merged."""
+    rows = durable(rows)
+    return F.broadcast(rows) if rows.count() <= most else rows.hint("merge")
+
+
+VERSION = ["doc_id", "version"]
+
+
+def _found_windows(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """Windows of documents whose hash is a benchmark window's: place, slots, key, ..."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    known = _sent(bench.select("hash").distinct(), BROADCAST_WINDOWS)
+    placed = _window_hashes(rows).select(*VERSION, F.posexplode("hashes").alias("place", "hash"))
+    hits = placed.join(known, "hash", "left_semi")
+    places = hits.groupBy(*VERSION).agg(
+        F.array_distinct(F.collect_list(F.struct((F.col("place") + 1).alias("place"), "hash"))).alias("at")
+    )
+    places = durable(places)
+    if places.count() <= BROADCAST_ROWS:
+        texts = same_join(rows, F.broadcast(places), VERSION)
+    else:
+        texts = skew_join(rows, places, VERSION)
+    made = F.transform(
+        "at", lambda w: F.struct(w["place"].alias("place"), w["hash"].alias("hash"), _slots_at(w["place"]).alias("slots"))
     )
+    return _keyed(_tokens(texts).select(*VERSION, F.explode(made).alias("w")).select(*VERSION, "w.*"))
+
+
+def _aligned_windows(windows: DataFrame, bench: DataFrame) -> DataFrame:
+    """Pairs of a document's and an item's window on one template, as far as the pair
+    has a word outside slots, equal values, or an alignment with such a pair."""
+    offset = (F.col("place") - F.col("item_place")).alias("offset")
+    sides = ["item_id", "item_tokens", "item_place", "item_slots", "item_words", "slots"]
+    item = bench.drop("hash", "bare")
+    small = bench.count() <= BROADCAST_WINDOWS
+    join = (lambda a, b, on: same_join(a, F.broadcast(b), on)) if small else skew_join
+    pairs = join(windows, item, ["key"]).select(*VERSION, offset, *sides)
+    bare = bench.where("bare").drop("key", "bare")
+    if bare.isEmpty():
+        return pairs
+    pairs = durable(pairs)
+    found = pairs.select(*VERSION, "offset", "item_id", "item_tokens").distinct()
+    expected = join(found, bare, ["item_id", "item_tokens"]).withColumn(
+        "place", F.col("item_place") + F.col("offset")
+    )
+    at = windows.where("bare").select(*VERSION, "place", "hash", "slots")
+    met = skew_join(at, expected, VERSION + ["place", "hash"])
+    return pairs.unionByName(met.select(*VERSION, "offset", *sides))
 
 
 def _text_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Leaked items per document and text (`version`, its hash)."""
     bench = durable(benchmark_windows(items))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    found = windows(rows)
-    if bench.count() <= BROADCAST_WINDOWS:
-        hits = found.join(F.broadcast(bench), "hash")
-    else:
-        hits = skew_join(found, bench, ["hash"])
     pairs = F.filter(
         F.arrays_zip(
             F.split("item_slots", "\x02").alias("item"), F.split("slots", "\x02").alias("doc")
         ),
         lambda p: p["item"] != "",
     )
-    aligned = hits.groupBy(
-        "doc_id", "version", "item_id", "item_tokens", (F.col("place") - F.col("item_place")).alias("offset")
-    ).agg(
-        F.count_distinct("item_place").alias("n_windows"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
-        F.bool_or(F.col("item_words").isNull()).alias("wordy"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("item_words")))).alias("n_words"),
+    covers = F.sequence(F.col("item_place"), F.col("item_place") + (WINDOW - 1))
+    union = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    aligned = (
+        _aligned_windows(durable(_found_windows(docs, bench)), bench)
+        .groupBy(*VERSION, "item_id", "item_tokens", "offset")
+        .agg(
+            F.size(union(covers)).cast("long").alias("covered"),
+            union(pairs).alias("pairs"),
+            F.size(union("item_words")).alias("n_words"),
+        )
     )
     verbatim = F.forall("pairs", lambda p: p["item"] == p["doc"])
     sides = [F.size(F.array_distinct(F.col("pairs")[side])) for side in ("item", "doc")]
-    covered = (F.col("n_windows") + WINDOW - 1).cast("long")
     return (
-        aligned.withColumn("covered", covered)
-        .where(F.col("covered") >= F.least(F.lit(LEAST), F.col("item_tokens") - 1))
+        aligned.where(F.col("covered") >= F.least(F.lit(LEAST), F.col("item_tokens") - 1))
         .where((sides[0] == F.size("pairs")) & (sides[1] == F.size("pairs")))
-        .where(F.col("wordy") | (F.col("n_words") >= LITERALS) | verbatim)
+        .where((F.col("n_words") >= LITERALS) | verbatim)
     )
 
 
@@ -171,8 +232,7 @@ def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = _text_leaks(docs, items).select(
         F.col("doc_id").alias("_leaked"), F.col("version").alias("_version")
     )
-    found = durable(found.distinct())
-    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found.hint("merge")
+    found = _sent(found.distinct(), BROADCAST_ROWS)
     same = F.col("doc_id").eqNullSafe(F.col("_leaked")) & (
         F.xxhash64("text") == F.col("_version")
     )
@@ -180,11 +240,13 @@ def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _sql_tokens(name, source, key):
+    # The SQL engine's patterns never go back, and know no possessive repeat.
+    token_sql, name_sql = (p.replace("*+", "*") for p in (TOKEN, NAME))
     units = ", ".join(f"'{u}'" for u in UNITS)
     return rf"""
 {name}_raw as (
   select {key}, regexp_extract_all(regexp_replace(regexp_replace(coalesce(text, ''), '[\x01\x04]', ' ', 'g'),
-      '{NAME}', '\1' || chr(1) || '\2' || chr(4), 'g'), '{TOKEN}') as raw
+      '{name_sql}', '\1' || chr(1) || '\2' || chr(4), 'g'), '{token_sql}') as raw
   from (select distinct {key}, text from {source})),
 {name}_canon as (
   select {key}, raw, [case when starts_with(raw[i], chr(1)) then '<name>'
@@ -203,21 +265,24 @@ with {_sql_tokens("doc", "(select doc_id, md5(coalesce(text, '')) as version, te
 hits as (
   select d.doc_id, d.version, i.item_id, i.n_tokens as item_tokens, d.place - i.place as shift,
     i.place as item_place, i.slots as item_slots, d.slots as doc_slots
-  from doc_windows d join item_windows i using (label)
-  where len(list_filter(i.slots, lambda s: s <> '')) <= {WINDOW - LITERALS}),
-aligned as (
-  select doc_id, version, item_id, item_tokens, shift,
-    count(distinct item_place) + {WINDOW - 1} as covered from hits group by all),
+  from doc_windows d join item_windows i using (label)),
+covers as (
+  select doc_id, version, item_id, item_tokens, shift, count(distinct place) as covered,
+    count(distinct place) filter (a = '') as n_words
+  from (select *, unnest(range(item_place, item_place + {WINDOW})) as place, unnest(item_slots) as a
+    from hits) group by all),
 pairs as (
   select doc_id, version, item_id, item_tokens, shift, count(distinct (a, b)) as n,
-    count(distinct a) as na, count(distinct b) as nb
+    count(distinct a) as na, count(distinct b) as nb, bool_and(a = b) as verbatim
   from (select *, unnest(item_slots) as a, unnest(doc_slots) as b from hits) where a <> ''
   group by all)
-select doc_id, item_id, max(covered)::bigint as covered, max(item_tokens)::bigint as item_tokens,
+select c.doc_id, c.item_id, max(covered)::bigint as covered, max(c.item_tokens)::bigint as item_tokens,
   max(coalesce(n, 0))::bigint as n_slots
-from aligned left join pairs using (doc_id, version, item_id, item_tokens, shift)
-where covered >= least({LEAST}, item_tokens - 1) and coalesce(n = na and n = nb, true)
-group by doc_id, item_id
+from covers c left join pairs p on c.doc_id is not distinct from p.doc_id and c.version = p.version
+  and c.item_id is not distinct from p.item_id and c.item_tokens = p.item_tokens and c.shift = p.shift
+where covered >= least({LEAST}, c.item_tokens - 1) and coalesce(n = na and n = nb, true)
+  and (n_words >= {LITERALS} or coalesce(verbatim, true))
+group by c.doc_id, c.item_id
 """
 
 

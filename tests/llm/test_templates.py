@@ -84,3 +84,71 @@ def test_items_full_of_slots(corpus, spark):
     assert found(corpus, items, docs) == {(10, 1), (20, 2), (30, 3), (40, 4), (11, 1)}
     kept = templates.without_leaks(corpus(docs), items).collect()
     assert {r.doc_id for r in kept} == {12, 31, 50, 60}
+
+
+def sql_leaks(docs, items):
+    """The registered SQL over small tables."""
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    documents = pd.DataFrame([r[:2] for r in docs], columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
+    benchmark = pd.DataFrame(items, columns=["item_id", "text"]).astype({"item_id": "Int64"})
+    con.register("documents", documents)
+    con.register("benchmark", benchmark)
+    return sorted(con.execute(templates.SQL).fetchall(), key=repr)
+
+
+def test_sql_has_the_same_rule(corpus, odd_rows, spark):
+    rng = random.Random(8)
+    texts = [
+        "Find the mean of 4, 8, 15, 16, 23 and 42",
+        "17 4 99 23 8 61 5 70 31 2 17 4",
+        "The boxes hold 4 kg, 8 kg, 15 kg, 16 kg, 23 kg and 42 kg of flour",
+        ITEM,
+        " ".join(str(rng.randrange(30)) for _ in range(40)),
+    ]
+    items = list(enumerate(texts)) + [(None, texts[0]), (9, None), (9, "a b c")]
+    docs = [r for r in odd_rows if len(r[1] or "") < 10_000]
+    for i in range(150):
+        words = rng.choice(texts).split()
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(words))
+            words[at] = rng.choice(["7", "kg", "Ada", "word", words[rng.randrange(len(words))]])
+        docs.append((100 + i, f"{filler(rng, 20)} {' '.join(words)} {filler(rng, 20)}"))
+    docs.append((None, " ".join(texts)))
+    want = sql_leaks(docs, items)
+    assert len(want) > 60
+    got = templates.leaks(corpus(docs, clashing=True), spark.createDataFrame(items, "item_id long, text string"))
+    columns = ["doc_id", "item_id", "covered", "item_tokens", "n_slots"]
+    assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == want
+
+
+def test_very_long_runs_of_names_and_numbers(corpus, items):
+    rows = [
+        (1, "the " + "Anna Berta " * 90_000 + ITEM),
+        (2, "1." * 500_000 + "1 x. " + ITEM),
+        (3, "1.1,1 " * 100_000 + "one two " * 100_000),
+    ]
+    assert found(corpus, items, rows) == {(1, 1), (2, 1)}
+
+
+def test_one_altered_word_is_found(corpus, spark):
+    words = filler(random.Random(6), 20).split()
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    rows = [(i, " ".join(words[:i] + ["zzz"] + words[i + 1 :])) for i in range(20)]
+    want = {(i, 1) for i in range(20) if sum(max(0, n if n >= 8 else 0) for n in (i, 19 - i)) >= 13}
+    assert len(want) >= 10 and found(corpus, items, rows) == want
+
+
+def test_tables_of_numbers_do_not_meet_on_all_places(corpus, spark):
+    rng = random.Random(7)
+    numbers = [str(rng.randrange(10**6)) for _ in range(4000)]
+    item = " ".join(numbers[1000:1040])
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = corpus([(1, " ".join(numbers)), (2, " ".join(reversed(numbers)))])
+    bench = templates.durable(templates.benchmark_windows(items))
+    windows = templates._found_windows(docs, bench)
+    assert windows.count() == 2 * (4000 - 7)
+    assert templates._aligned_windows(windows, bench).distinct().count() == 33
+    assert found(corpus, items, [(1, " ".join(numbers)), (2, " ".join(reversed(numbers)))]) == {(1, 1)}
