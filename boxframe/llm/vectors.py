@@ -11,14 +11,17 @@ double precision.
 Probes: y lies in list b rather than x's list a only if (a - b) . y <= 0 for the
 centroids, and |x - y| <= sqrt(2 - 2 t) for a cosine of t or more. So a link can
 reach only lists with (a - b) . x <= c sqrt(2 - 2 t) |a - b|, where c is the cosine
-between x - y and a - b, 1 at most. All lists within that bound are probed, so no
-link is lost, whatever the vectors; the price is that vectors without structure meet
-nearly all lists. Callers who know that differences point in no particular direction
-can give a `spread`: c is then that many standard deviations of one over the root of
-the length, which is cheaper but loses links of vectors that vary in few dimensions.
-
-Only the centroids and codebooks are fitted on a sample (`SAMPLE` vectors at most,
-lowest hash of the id); every vector is indexed. Equal vectors are one entry with
+between x - y and a - b, 1 at most. With c = 1 (`lossless`) no link is lost, whatever
+the vectors; the price is that vectors without structure meet nearly all lists, and
+the work grows with the square of the rows. Otherwise c is measured: all links of
+`HELD` vectors are found among all vectors, and c is the least that reaches `RECALL`
+of them, and at least `SPREAD` standard deviations of a direction without preference
+(one over the root of the length). So vectors that vary in few dimensions, whose
+links do prefer directions, get more probes.
+
+The centroids and codebooks are fitted on a sample (`SAMPLE` vectors at most, those
+with the lowest hashes of the id), and c on the links of another; every vector is
+indexed. Equal vectors are one entry with
 its number. Lists are compared in blocks of bounded size; a block returns counts of
 links per vector and a spanning forest, never the pairs.
 
@@ -41,12 +44,16 @@ from .tables import table
 
 COSINE = 0.9
 SAMPLE = 1 << 16
-MOST_LISTS = 4096
+MOST_LISTS = 1 << 14
 SUBSPACES = 8
 CODES = 64
 INDEX_BLOCK, QUERY_BLOCK = 1024, 1024
 SLACK = 1e-9
 SPREAD = 3.0
+HELD = 1024
+RECALL = 0.995
+# Shares of the largest c that are told apart.
+STEPS = 200
 
 
 def _rows(column):
@@ -88,10 +95,17 @@ def _keyed(batches):
         )
 
 
+def _nearest(x, centres, rows=4096):
+    """The nearest centre of each vector, for some rows at a time."""
+    half = (centres**2).sum(1) / 2
+    parts = [(x[i : i + rows] @ centres.T - half).argmax(1) for i in range(0, len(x), rows)]
+    return np.concatenate(parts)
+
+
 def _k_means(x, k, rng, rounds=10):
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = (x @ centres.T - (centres**2).sum(1) / 2).argmax(1)
+        near = _nearest(x, centres)
         n = np.bincount(near, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
@@ -108,29 +122,87 @@ def fit(x, lists, seed=11):
     """Centroids and codebooks from unit vectors."""
     rng = np.random.Generator(np.random.PCG64(seed))
     centres = _k_means(x, lists, rng)
-    rest = x - centres[(x @ centres.T).argmax(1)]
+    rest = x - centres[_nearest(x, centres)]
     cuts = _cuts(x.shape[1])
     books = [_k_means(rest[:, a:b], CODES, rng) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return {"centres": centres, "books": books, "cuts": cuts}
 
 
-def probes(model, x, cosine=COSINE, spread=SPREAD):
-    """The list of each unit vector, and a matrix of the lists it has to meet: of all
-    that a link can reach if `spread` is None."""
+def _apart(model, own):
+    """Distances of some lists' centroids to all."""
     centres = model["centres"]
-    close = x @ centres.T
+    size = (centres**2).sum(1)
+    square = size[own][:, None] + size[None] - 2 * centres[own] @ centres.T
+    return np.sqrt(np.maximum(square, 0))
+
+
+def least_share(size):
+    return min(1.0, SPREAD / size**0.5)
+
+
+def probes(model, x, cosine=COSINE, share=1.0):
+    """The list of each unit vector, and a matrix of the lists it has to meet, for a
+    `share` as c above: 1 for all that a link can reach."""
+    close = x @ model["centres"].T
     own = close.argmax(1)
-    apart = np.sqrt(
-        np.maximum(((centres[:, None] - centres[None]) ** 2).sum(2), 0)
-        if len(centres) <= 256
-        else np.maximum(
-            (centres**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * centres @ centres.T, 0
-        )
-    )
-    share = 1.0 if spread is None else min(1.0, spread / x.shape[1] ** 0.5)
     reach = np.sqrt(2 - 2 * cosine) * share + SLACK
-    meets = close[np.arange(len(x)), own][:, None] - close <= reach * apart[own] + SLACK
-    return own, meets
+    lists, which = np.unique(own, return_inverse=True)
+    limit = reach * _apart(model, lists)[which] + SLACK
+    return own, close[np.arange(len(x)), own][:, None] - close <= limit
+
+
+def _shares_needed(model, cosine, ids, held):
+    """For links of the held vectors, how large a share of the largest c reaches them."""
+    close_held = held @ model["centres"].T
+    own_held = close_held.argmax(1)
+    reach = np.sqrt(2 - 2 * cosine)
+
+    def run(batches):
+        counts = np.zeros(STEPS + 1, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                x = np.stack([np.frombuffer(u, np.float64) for u in part.column("unit").to_pylist()])
+                close = x @ model["centres"].T
+                own = close.argmax(1)
+                i, j = np.nonzero(x @ held.T >= cosine)
+                other = part.column("vec_id").to_numpy()[i] != ids[j]
+                i, j = i[other], j[other]
+                # A pair of lists is met from the lower one.
+                low = own[i] <= own_held[j]
+                a, b = np.where(low, own[i], own_held[j]), np.where(low, own_held[j], own[i])
+                gap = np.where(low, close[i, a] - close[i, b], close_held[j, a] - close_held[j, b])
+                apart = np.sqrt(((model["centres"][a] - model["centres"][b]) ** 2).sum(1))
+                need = np.where(a == b, 0, gap / np.maximum(reach * apart, 1e-300))
+                step = np.ceil(np.clip(need, 0, 1) * STEPS).astype(np.int64)
+                counts += np.bincount(step, minlength=STEPS + 1)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["step", "n"])
+
+    return run
+
+
+def measured_share(entries: DataFrame, model, cosine=COSINE, recall=RECALL) -> float:
+    """The share of c that reaches `recall` of all links of `HELD` vectors, which are
+    those with the lowest hashes of another seed."""
+    held = (
+        entries.select("vec_id", "unit", F.xxhash64("vec_id", F.lit("held")).alias("h"))
+        .orderBy("h", "vec_id")
+        .limit(HELD)
+        .collect()
+    )
+    ids = np.array([r.vec_id for r in held], np.int64)
+    units = np.stack([np.frombuffer(bytes(r.unit), np.float64) for r in held])
+    run = _shares_needed(model, cosine, ids, units)
+    steps = entries.select("vec_id", "unit").mapInArrow(run, "step long, n long")
+    counts = np.zeros(STEPS + 1, np.int64)
+    for r in steps.groupBy("step").agg(F.sum("n").alias("n")).collect():
+        counts[r.step] = r.n
+    least = least_share(units.shape[1])
+    if not counts.sum():
+        return least
+    step = np.searchsorted(np.cumsum(counts), recall * counts.sum())
+    return float(max(least, step / STEPS))
 
 
 def encode(model, x, own):
@@ -148,14 +220,14 @@ def encode(model, x, own):
 CODED = "vec_id long, weight long, unit binary, list int, probes array<int>, codes binary, missed double"
 
 
-def _coded(model, cosine, spread):
+def _coded(model, cosine, share):
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 raw = part.column("unit")
                 x = np.stack([np.frombuffer(u, np.float64) for u in raw.to_pylist()])
-                own, meets = probes(model, x, cosine, spread)
+                own, meets = probes(model, x, cosine, share)
                 codes, missed = encode(model, x, own)
                 # A pair of lists is met from the lower one.
                 meets &= np.arange(meets.shape[1])[None] >= own[:, None]
@@ -234,20 +306,21 @@ def _find(parent, i):
 
 
 def _sampled(entries, n, lists):
+    """The vectors with the lowest hashes of the id, `SAMPLE` at most."""
     most = min(SAMPLE, max(16 * lists, 8192))
-    rows = entries.select("vec_id", "unit")
+    rows = entries.select("vec_id", "unit", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)).alias("h"))
     if n > most:
-        share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * 1.2 * most / n)
-        rows = rows.where(share)
-    rows = sorted((r.vec_id, bytes(r.unit)) for r in rows.limit(most).collect())
-    return np.stack([np.frombuffer(u, np.float64) for _, u in rows])
+        rows = rows.where(F.col("h") < int((1 << 30) * 1.2 * most / n))
+    rows = rows.orderBy("h", "vec_id").limit(most).collect()
+    return np.stack([np.frombuffer(bytes(r.unit), np.float64) for r in rows])
 
 
-def _found(entries: DataFrame, n, cosine, spread) -> DataFrame:
+def _found(entries: DataFrame, n, cosine, lossless) -> DataFrame:
     """Links per entry and a forest of them, for entries of one length."""
     lists = int(np.clip(round(n**0.5), 1, MOST_LISTS))
     model = fit(_sampled(entries, n, lists), lists)
-    coded = durable(entries.mapInArrow(_coded(model, cosine, spread), CODED))
+    share = 1.0 if lossless else measured_share(entries, model, cosine)
+    coded = durable(entries.mapInArrow(_coded(model, cosine, share), CODED))
     blocks = lambda count, size: F.ceil(F.col(count) / size).cast("int")
     index_sizes = coded.groupBy("list").agg(F.count("*").alias("n_index"))
     query_sizes = coded.select(F.explode("probes").alias("list")).groupBy("list").agg(
@@ -283,9 +356,9 @@ def _found(entries: DataFrame, n, cosine, spread) -> DataFrame:
     )
 
 
-def near_vectors(vectors: DataFrame, cosine=COSINE, spread=None) -> DataFrame:
-    """vec_id, n_links, component_id and kept for every vector; all links are found
-    unless a `spread` is given."""
+def near_vectors(vectors: DataFrame, cosine=COSINE, lossless=False) -> DataFrame:
+    """vec_id, n_links, component_id and kept for every vector; about `RECALL` of the
+    links are found, or all if `lossless`."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     keyed = durable(rows.mapInArrow(_keyed, "vec_id long, key binary, size int, unit binary"))
     entries = durable(
@@ -297,7 +370,7 @@ def near_vectors(vectors: DataFrame, cosine=COSINE, spread=None) -> DataFrame:
     found = None
     for r in sorted(entries.groupBy("size").count().collect()):
         some = entries.where(F.col("size") == r["size"]).select("vec_id", "weight", "unit")
-        part = _found(some, r["count"], cosine, spread)
+        part = _found(some, r["count"], cosine, lossless)
         found = part if found is None else found.unionByName(part)
     spark = vectors.sparkSession
     found = durable(found if found is not None else spark.createDataFrame([], FOUND))
