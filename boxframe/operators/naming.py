@@ -10,6 +10,8 @@ stem: who wins a name is settled one depth above, where its number could also be
 handed out.
 """
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,13 +106,63 @@ def unique_names(images: DataFrame, requests: DataFrame) -> DataFrame:
     return out
 
 
+class WinMap:
+    """What a run of numbers makes of the wins before it.
+
+    A number wins if the wins before it are fewer than its room. As a function of the
+    wins w before a run, the wins after it rise by 0 or 1 with each w, so it is
+    `base`, its value at 0, plus w, less the `flat` steps below w where it does not
+    rise. A further number adds one up to the step that takes the function from below
+    its room to its room, and that step becomes flat.
+    """
+
+    def __init__(self):
+        self.base, self.flat = 0, []
+
+    def add(self, room):
+        rising = room - 1 - self.base
+        if rising >= 0:
+            bisect.insort(self.flat, self._rising_step(rising))
+            self.base += 1
+
+    def _rising_step(self, k):
+        """The k-th step (from 0) that is not flat."""
+        low, high = 0, len(self.flat)
+        while low < high:
+            mid = (low + high) // 2
+            if self.flat[mid] - mid <= k:
+                low = mid + 1
+            else:
+                high = mid
+        return k + low
+
+
+def wins_after(before, base, flat):
+    return base + before - bisect.bisect_left(flat, before)
+
+
+# Numbers of one parent whose map is made by one pass.
+RUN = 1 << 14
+
+
+def _runs(batches):
+    """Batches of sorted marks as (parent, range, run) and its marks in order."""
+    for batch in batches:
+        yield from zip(
+            batch["filename"], batch["_range"], batch["_run"], batch["name"], batch["first"], batch["room"]
+        )
+
+
 def _winners(rivals, over, used):
     """Numbered names whose first request comes before the number is handed out.
 
     A number n is the u-th to be handed out, where u is n less the used and the
     won numbers below it. Its request wins if fewer than u requests for the
-    parent found it taken before. Only the count of wins runs from number to
-    number; it is the sole state of a pass over the sorted numbers.
+    parent found it taken before, that is if fewer numbers below it won than that
+    leaves room for. The sorted numbers of a parent are cut into runs; each task
+    turns its runs into maps from wins before to wins after; the maps alone are
+    gone through in order, and with the wins before each run known, the runs are
+    decided apart from one another.
     """
     marks = rivals.where("n is not null").select(
         F.col("parent").alias("filename"), F.col("filename").alias("name"), "n", "first"
@@ -119,28 +171,62 @@ def _winners(rivals, over, used):
     events = over.select("filename", F.col("req_id").alias("first"), F.lit(1).alias("weight"))
     marks = sum_before(marks, events, ["filename"], "first", "before")
     room = F.col("n") - F.col("below") - F.col("before")
-    ordered = (
+    ranged = durable(
         marks.select("filename", "name", "n", "first", room.alias("room"))
-        .repartition("filename")
-        .sortWithinPartitions("filename", "n")
+        .repartitionByRange("filename", "n")
+        .withColumn("_range", F.spark_partition_id())
     )
-
-    def count(batches):
+    place = F.row_number().over(Window.partitionBy("filename", "_range").orderBy("n"))
+    cut = durable(ranged.withColumn("_run", F.floor((place - 1) / RUN).cast("int")))
+    key = ["filename", "_range", "_run"]
+    ordered = cut.repartition(*key).sortWithinPartitions(*key, "n")
+
+    def maps(batches):
+        current, map_ = None, None
+
+        def row():
+            return pd.DataFrame([(*current, map_.base, map_.flat)], columns=[*key, "base", "flat"])
+
+        for *at, _, _, room in _runs(batches):
+            if at != current:
+                if current is not None:
+                    yield row()
+                current, map_ = at, WinMap()
+            map_.add(room)
+        if current is not None:
+            yield row()
+
+    def scan(batches):
         parent, wins = None, 0
+        for batch in batches:
+            before = []
+            for name, base, flat in zip(batch["filename"], batch["base"], batch["flat"]):
+                if name != parent:
+                    parent, wins = name, 0
+                before.append(wins)
+                wins = wins_after(wins, base, flat)
+            yield batch[key].assign(wins=before)
+
+    def decide(batches):
+        current, wins = None, 0
         for batch in batches:
             out = []
-            for key, name, first, room in zip(
-                batch["filename"], batch["name"], batch["first"], batch["room"]
+            for *at, name, first, room, before in zip(
+                *[batch[c] for c in [*key, "name", "first", "room", "wins"]]
             ):
-                if key != parent:
-                    parent, wins = key, 0
+                if at != current:
+                    current, wins = at, before
                 if wins < room:
                     wins += 1
                     out.append((name, first))
             yield pd.DataFrame(out, columns=["filename", "first"])
 
+    made = ordered.mapInPandas(maps, "filename string, _range int, _run int, base long, flat array<long>")
+    made = made.repartition("filename").sortWithinPartitions(*key)
+    before = durable(made.mapInPandas(scan, "filename string, _range int, _run int, wins long"))
+    known = skew_join(cut, before, key).repartition(*key).sortWithinPartitions(*key, "n")
     kind = rivals.schema["first"].dataType.simpleString()
-    won = ordered.mapInPandas(count, f"filename string, first {kind}")
+    won = known.mapInPandas(decide, f"filename string, first {kind}")
     # Numbers too long to be handed out have no rival.
     return won.unionByName(rivals.where("n is null").select("filename", "first"))
 

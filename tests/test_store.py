@@ -5,9 +5,11 @@ import pytest
 
 from boxframe.functions import text
 from boxframe.operators import classes as cl
-from boxframe.operators import store
+from boxframe.operators import naming, store
 from boxframe.operators.naming import unique_names
 from boxframe.schema import DetectorParams, require_every
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 LINES = "split string, stem string, line_no int, line string"
@@ -196,3 +198,49 @@ def test_training_set_is_written_by_split_once_both_have_images(spark, tmp_path)
     assert len(rows) == 3
     with pytest.raises(ValueError, match="val"):
         store.write_training_set(images.where("split = 'train'"), labels, f"{tmp_path}/none")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(-2, 40), max_size=60), st.lists(st.integers(0, 60), max_size=6))
+def test_maps_of_wins_equal_the_loop(rooms, cuts):
+    def loop(wins, rooms):
+        for room in rooms:
+            wins += wins < room
+        return wins
+
+    for start in range(0, 45):
+        map_ = naming.WinMap()
+        for room in rooms:
+            map_.add(room)
+        assert naming.wins_after(start, map_.base, map_.flat) == loop(start, rooms)
+    wins, bounds = 0, sorted({0, len(rooms), *[min(c, len(rooms)) for c in cuts]})
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        map_ = naming.WinMap()
+        for room in rooms[a:b]:
+            map_.add(room)
+        wins = naming.wins_after(wins, map_.base, map_.flat)
+    assert wins == loop(0, rooms)
+
+
+def test_runs_of_one_hot_parent(spark, monkeypatch):
+    monkeypatch.setattr(naming, "RUN", 7)
+    rng = random.Random(3)
+    pool = ["a.png"] * 40 + [f"a - {n}.png" for n in range(1, 120)] + ["b.png", "b - 2.png", "a - 3 - 1.png"]
+    asked = [(i, rng.choice(pool)) for i in range(400)]
+    existing = [f"a - {n}.png" for n in range(5, 90, 9)] + ["b.png"]
+    got = naming.unique_names(
+        spark.createDataFrame([(n,) for n in existing], "filename string"),
+        spark.createDataFrame(asked, "req_id long, filename string"),
+    )
+    assert sorted(map(tuple, got.collect())) == one_by_one(existing, asked)
+
+
+def test_mixed_file_names_query(spark):
+    from boxframe.plans import QUERIES, store_queries
+
+    sf = "/root/testdata/sf0.001"
+    held, _ = store_queries._names(spark, sf)
+    rows = QUERIES["mixed_file_names"](spark, sf).collect()
+    asked = sorted((r.req_id, r.filename) for r in rows)
+    want = one_by_one([r.filename for r in held.collect()], asked)
+    assert sorted((r.req_id, r.filename, r.final_name) for r in rows) == want and len(want) > 100
