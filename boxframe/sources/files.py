@@ -6,8 +6,11 @@
 Paths must be reachable from every executor.
 """
 
+import json
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import yaml
 from pyarrow import fs
@@ -87,42 +90,113 @@ def read_bytes(spark, path) -> DataFrame:
     return files.select(F.col("path").alias("image_id"), "length", "content")
 
 
+@dataclass
+class _Staged(WriterCommitMessage):
+    """The folder below the job's in which a task has left its files."""
+
+    folder: str
+
+
 class _LabelWriter(DataSourceWriter):
-    """Writes through pyarrow's file systems, so `root` may be a shared store."""
+    """Writes through pyarrow's file systems, so `root` may be a shared store.
+
+    Tasks stage files in a folder of the job. When all have ended, the job notes the
+    folders that count in a journal, and only then do files appear under their names.
+    A job that fails leaves none; one that dies while it publishes has its journal, and
+    `finish_writes` does the rest.
+    """
 
     def __init__(self, root):
-        self.root = root
+        self.root, self.job = root, uuid.uuid4().hex
 
     def write(self, rows):
         files, root = _file_system(self.root)
-        # Another attempt of this task has other names.
-        mark, current, out, final = uuid.uuid4().hex, None, None, None
+        # Another attempt of this task has another folder, which no message names.
+        folder, current, out = uuid.uuid4().hex, None, None
         try:
             for row in rows:
                 key = (row["split"], row["stem"])
                 if key != current:
-                    self._finish(files, out, final, mark)
-                    current, out = key, None
-                    folder = f"{root}/labels/{key[0]}"
-                    files.create_dir(folder, recursive=True)
-                    final = f"{folder}/{key[1]}.txt"
-                    out = files.open_output_stream(f"{final}.{mark}.part")
+                    if out is not None:
+                        out.close()
+                    current = key
+                    place = f"{root}/{STAGED}/{self.job}/{folder}/{key[0]}"
+                    files.create_dir(place, recursive=True)
+                    out = files.open_output_stream(f"{place}/{key[1]}.txt")
                 if row["line"] is not None:
                     out.write((row["line"] + "\n").encode())
-            self._finish(files, out, final, mark)
-        except BaseException:
+        finally:
             if out is not None:
                 out.close()
-                files.delete_file(f"{final}.{mark}.part")
-            raise
-        return WriterCommitMessage()
+        return _Staged(folder)
+
+    def commit(self, messages):
+        self.note(messages)
+        files, root = _file_system(self.root)
+        _publish(files, root, self.job)
+
+    def note(self, messages):
+        """Leave the journal, complete or not at all."""
+        files, root = _file_system(self.root)
+        staged = f"{root}/{STAGED}/{self.job}"
+        files.create_dir(staged, recursive=True)
+        with files.open_output_stream(f"{staged}/{JOURNAL}.part") as out:
+            out.write(json.dumps([m.folder for m in messages if m is not None]).encode())
+        files.move(f"{staged}/{JOURNAL}.part", f"{staged}/{JOURNAL}")
+
+    def abort(self, messages):
+        files, root = _file_system(self.root)
+        _forget(files, f"{root}/{STAGED}/{self.job}")
+
 
-    @staticmethod
-    def _finish(files, out, final, mark):
-        """A file appears under its name only when it is complete."""
-        if out is not None:
-            out.close()
-            files.move(f"{final}.{mark}.part", final)
+# Below a root: folders of jobs that have not ended, and a job's list of task folders.
+STAGED, JOURNAL = ".staged", "journal.json"
+PUBLISHERS = 32
+
+
+def _found(files, folder, recursive=False):
+    return files.get_file_info(fs.FileSelector(folder, allow_not_found=True, recursive=recursive))
+
+
+def _forget(files, folder):
+    if files.get_file_info(folder).type == fs.FileType.Directory:
+        files.delete_dir(folder)
+
+
+def _publish(files, root, job):
+    """Move the files a journal names; those moved before are no longer staged."""
+    staged = f"{root}/{STAGED}/{job}"
+    with files.open_input_stream(f"{staged}/{JOURNAL}") as journal:
+        folders = json.loads(journal.read())
+
+    def move(path, split, name):
+        files.move(path, f"{root}/labels/{split}/{name}")
+
+    with ThreadPoolExecutor(PUBLISHERS) as pool:
+        for folder in folders:
+            found = [f for f in _found(files, f"{staged}/{folder}", True) if f.is_file]
+            places = [(f.path, *f.path.split("/")[-2:]) for f in found]
+            for split in {split for _, split, _ in places}:
+                files.create_dir(f"{root}/labels/{split}", recursive=True)
+            list(pool.map(move, *zip(*places, strict=True)) if places else [])
+    _forget(files, staged)
+
+
+def finish_writes(root, abandoned=False):
+    """Publish what jobs had decided on when they died; returns their number.
+
+    With `abandoned`, what undecided jobs have staged is deleted as well: give it only
+    when no job is writing.
+    """
+    files, root = _file_system(root)
+    done = 0
+    for job in [f for f in _found(files, f"{root}/{STAGED}") if f.type == fs.FileType.Directory]:
+        if files.get_file_info(f"{job.path}/{JOURNAL}").is_file:
+            _publish(files, root, job.base_name)
+            done += 1
+        elif abandoned:
+            _forget(files, job.path)
+    return done
 
 
 def _file_system(root):
@@ -150,8 +224,8 @@ def write_labels(labels: DataFrame, root, images: DataFrame | None = None) -> Da
     """Write label files; images without boxes get an empty file.
 
     A file is written by one task, row by row from sorted input, and replaces
-    the old one when complete, so a task that runs twice does no harm. Returns
-    the label rows (and images) that were not written, because their split or
+    the old one when the whole job has ended, so neither a task that runs twice nor
+    a job that fails changes what is there. Returns the label rows (and images) that were not written, because their split or
     stem is not allowed: split, stem, line_no.
     """
     lines = labels.select(

@@ -2,6 +2,7 @@ import json
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from boxframe.operators import detect as dt
@@ -130,3 +131,41 @@ def test_run_states_and_tail(spark):
     assert status["k"] == ["l7", "l8"] and status["f"] == []
     spans = spark.createDataFrame([("a", 0, 50), ("b", 10, 20), ("c", 60, None), ("d", 200, 210)], "run string, started long, finished long")
     assert sorted(r.run for r in runs.overlapping_runs(spans, 16).collect()) == ["b", "d"]
+
+
+BOX = "split string, stem string, line_no int, class_id int, cx double, cy double, w double, h double"
+
+
+def test_a_label_job_that_fails_leaves_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    rows = [("train", f"img {i}", 1, i, 0.5, 0.5, 0.1, 0.1) for i in range(60)]
+    good = spark.createDataFrame(rows, BOX)
+    put(f"{root}/labels/train/img 3.txt", b"old\n")
+    long = F.when(F.col("class_id") == 41, F.repeat(F.lit("x"), 300)).otherwise(F.col("stem"))
+    with pytest.raises(Exception, match="too long"):
+        files.write_labels(good.withColumn("stem", long), root)
+    assert os.listdir(f"{root}/labels/train") == ["img 3.txt"]
+    assert os.listdir(f"{root}/.staged") == []
+    files.write_labels(good, root)
+    assert len(os.listdir(f"{root}/labels/train")) == 60 and os.listdir(f"{root}/.staged") == []
+    with open(f"{root}/labels/train/img 3.txt") as f:
+        assert f.read() == "3 0.500000 0.500000 0.100000 0.100000\n"
+
+
+def test_a_label_job_that_dies_is_finished_later(spark, tmp_path):
+    root = str(tmp_path)
+    rows = [{"split": "val", "stem": s, "line": line} for s, line in (("a", "1"), ("a", "2"), ("b", None))]
+    dead, undecided = files._LabelWriter(root), files._LabelWriter(root)
+    lost = dead.write(iter([{"split": "val", "stem": "c", "line": "of a lost attempt"}]))
+    staged = [dead.write(iter(rows)), None, dead.write(iter([]))]
+    undecided.write(iter([{"split": "val", "stem": "d", "line": "x"}]))
+    assert lost.folder != staged[0].folder and not os.path.exists(f"{root}/labels")
+    dead.note(staged)
+    # It dies after its first file.
+    os.makedirs(f"{root}/labels/val")
+    os.rename(f"{root}/.staged/{dead.job}/{staged[0].folder}/val/a.txt", f"{root}/labels/val/a.txt")
+    assert files.finish_writes(root) == 1
+    assert sorted(os.listdir(f"{root}/labels/val")) == ["a.txt", "b.txt"]
+    assert os.path.getsize(f"{root}/labels/val/b.txt") == 0
+    assert os.listdir(f"{root}/.staged") == [undecided.job]
+    assert files.finish_writes(root, abandoned=True) == 0 and os.listdir(f"{root}/.staged") == []
