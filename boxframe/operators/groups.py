@@ -4,6 +4,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +66,30 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
+def put_new(spark, source: str, target: str) -> bool:
+    """Move a file or folder to a path that must be new; False if it is there.
+
+    In stores whose renames are atomic only one of several callers succeeds.
+    """
+    jvm = spark._jvm
+    old, _ = _hadoop_path(spark, source)
+    new, files = _hadoop_path(spark, target)
+    files.mkdirs(new.getParent())
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.NONE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        files.getUri(), spark._jsc.hadoopConfiguration()
+    )
+    try:
+        context.rename(files.makeQualified(old), files.makeQualified(new), how)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def remove(spark, path: str) -> None:
     """Delete a folder, if it is there."""
     path, files = _hadoop_path(spark, path)

@@ -1,10 +1,14 @@
 """Queries over the annotation store: label lines, listings, saves, names."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import text
-from ..operators import store
+from ..operators import store, versions
+from ..operators.groups import scratch_path
 from ..operators.naming import unique_names
 from ..sources.files import coco_labels
 from .box_queries import SHAPE, micro
@@ -435,6 +439,64 @@ def rejected_saves(spark, sf):
     return _saved(spark, sf)[2]
 
 
+# The store after a save, a deletion and an edit, each a commit.
+COMMITS = f"""{PARSED} {GONE} {REQUESTS_SQL},
+  images1 as (select split, filename, stem from images union all
+    select split, final_name, replace(final_name, '.png', '') from saved),
+  labels1 as (select * from good union all select split, replace(final_name, '.png', ''), n,
+    case when n = 1 then cast(mod(req_id, 2) as int) else 1 end, case when n = 1 then 0.5e0 else 0.75e0 end,
+    case when n = 1 then 0.25e0 else 0.5e0 end, case when n = 1 then 0.125e0 else 0.25e0 end, 0.5e0
+    from saved, (values (1), (2)) v(n) where kind <> 0),
+  images2 as (select * from images1 i where not exists (select 1 from gone g where g.split = i.split and g.filename = i.filename)),
+  labels2 as (select * from labels1 l where not exists (select 1 from gone g where g.split = l.split and g.stem = l.stem)),
+  labels3 as (select * from labels2 where split <> 'test' and line_no <> 2)"""
+
+
+def _versions_sql(body):
+    """The body over each version's images and labels."""
+    of = (("images", "good"), ("images1", "labels1"), ("images2", "labels2"), ("images2", "labels3"))
+    return sql_over(
+        VIEWS,
+        COMMITS + " union all ".join(body.format(v=v, images=i, labels=b) for v, (i, b) in enumerate(of)),
+    )
+
+
+def _store_of_commits(spark, sf):
+    root = scratch_path(spark, "store")
+    versions.create(images(spark, sf), labels(spark, sf), root)
+    versions.save(requests(spark, sf), root)
+    versions.delete(_gone(spark, sf), root)
+    second = versions.read(spark, root, 0)[1].where("line_no = 2")
+    test = spark.createDataFrame([("test",)], "split string").join(
+        versions.read(spark, root)[1].select("split", "stem").distinct(), "split"
+    )
+    late = versions.read(spark, root)[1].where("line_no = 2")
+    versions.edit(root, removed=second.unionByName(late), cleared=test)
+    return root
+
+
+@query(_versions_sql(" select {v} as version, split, filename from {images}"))
+def images_by_version(spark, sf):
+    """The images of every snapshot of a store."""
+    root = _store_of_commits(spark, sf)
+    parts = [
+        versions.read(spark, root, v)[0].select(F.lit(v).alias("version"), "split", "filename")
+        for v in versions.versions(spark, root)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(_versions_sql(" select {v} as version, split, stem, line_no, class_id, cx, cy, w, h from {labels}"))
+def labels_by_version(spark, sf):
+    """The label boxes of every snapshot of a store."""
+    root = _store_of_commits(spark, sf)
+    parts = [
+        versions.read(spark, root, v)[1].select(F.lit(v).alias("version"), "split", "stem", "line_no", "class_id", "cx", "cy", "w", "h")
+        for v in versions.versions(spark, root)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # Names asked for again and again over a store with gaps in its numbers.
 NAMES_SPARK = {
     "images": """select distinct concat('part ', p_size, case when p_partkey % 4 = 0 then '' else concat(' - ', p_partkey % 60 + 1) end, '.png') as filename
