@@ -3,6 +3,7 @@
 import uuid
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import detect as dt
@@ -11,7 +12,7 @@ from ..operators.classes import vocabulary
 from ..operators.groups import shared_folder
 from ..schema import ClusterParams
 from ..sources.frames import stream_frames, stream_lines
-from ..streaming import live
+from ..streaming import live, tails
 from .box_queries import MERGED_COLUMNS, merge_sql
 from .fixtures import sql_over, table, view
 from .frame_queries import ALERTS, CUTOFF, EVERY, LOG, RATES, STREAK
@@ -269,3 +270,24 @@ def streamed_log_lines(spark, sf):
     return lines.groupBy("line").agg(F.count("*").alias("n"))
 
 
+@query(
+    r"""with l as (select mod(conv_id, 40) as run, conv_id * 100 + turn as seq, role || ' ' || text as line from conversations),
+      n as (select *, row_number() over (partition by run order by seq desc) as n from l)
+    select run, seq, line from n where n <= 25"""
+)
+def streamed_log_tails(spark, sf):
+    """The last 25 lines of each run, followed over several batches."""
+    root = f"{shared_folder(spark)}/tails-{uuid.uuid4().hex}"
+    lines = table(spark, sf, "conversations").select(
+        (F.col("conv_id") % 40).alias("run"),
+        (F.col("conv_id") * 100 + F.col("turn")).alias("seq"),
+        F.concat(F.lit("\x1b[1;32m"), F.col("role"), F.lit("\x1b[0m "), F.col("text")).alias("line"),
+    )
+    part = F.ntile(3).over(Window.orderBy("low"))
+    cuts = lines.groupBy(F.floor(F.col("seq") / 5000).alias("low")).count().select("low", part.alias("part"))
+    dealt = lines.withColumn("low", F.floor(F.col("seq") / 5000)).join(cuts, "low").drop("low")
+    for n in (1, 2, 3):
+        dealt.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    tails.follow_tails(stream, f"{root}/out", f"{root}/checkpoint", shown=25, kept=60).awaitTermination()
+    return tails.read_tails(spark, f"{root}/out")
