@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import frames as fr
 from ..operators import runs
+from ..operators.asof import asof_join
 from .fixtures import sql_over, table, view
 from .registry import query
 
@@ -223,3 +224,28 @@ def overlapping_runs(spark, sf):
         F.when(key % 997 != 0, started + key * 31 % 9000).alias("finished"),
     )
     return runs.overlapping_runs(spans, slice_width=30 * 86400)
+
+
+# Detections that come some reads after their frame, at uneven times.
+LATE_SQL = """select source, read_idx + mod(read_idx * 7, 11) as due, read_idx as det_id, n_dets as shown
+  from frames where n_dets > 0"""
+
+
+def _late(spark, sf):
+    return view(spark, sf, "frames").where("n_dets > 0").selectExpr(
+        "source", "read_idx + (read_idx * 7) % 11 as due", "read_idx as det_id", "n_dets as shown"
+    )
+
+
+@query(
+    sql_over(
+        "frames",
+        f""", late as ({LATE_SQL}), last as (select source, due, max(det_id) as det_id, arg_max(shown, det_id) as shown from late group by source, due)
+        select f.source, f.read_idx, l.det_id, l.shown from frames f asof left join last l on f.source = l.source and f.read_idx >= l.due""",
+    )
+)
+def asof_detections(spark, sf):
+    """For each read the latest detections known by then."""
+    reads = view(spark, sf, "frames").select("source", "read_idx", F.col("read_idx").alias("due"))
+    joined = asof_join(reads, _late(spark, sf), ["source"], "due", "det_id")
+    return joined.select("source", "read_idx", "match.det_id", "match.shown")
