@@ -15,6 +15,7 @@ import bisect
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.text import stem, suffix
 from .groups import durable, number_rows, same_join, skew_join
@@ -59,7 +60,13 @@ def sum_before(marks, events, keys, order, out):
         .select(*keys, "_range", F.coalesce(earlier, F.lit(0)).alias("_offset"))
     )
     below = Window.partitionBy(*keys, "_range").orderBy(order)
-    inside = F.sum("weight").over(below.rangeBetween(Window.unboundedPreceding, -1))
+    if isinstance(both.schema[order].dataType, IntegralType):
+        inside = F.sum("weight").over(below.rangeBetween(Window.unboundedPreceding, -1))
+    else:
+        # A step of 1 is no next value here: what is equal is taken off again.
+        equal = Window.partitionBy(*keys, "_range", order)
+        inside = F.sum("weight").over(below.rangeBetween(Window.unboundedPreceding, 0))
+        inside = inside - F.sum("weight").over(equal)
     return (
         same_join(both, offsets, [*keys, "_range"])
         .withColumn(out, F.col("_offset") + F.coalesce(inside, F.lit(0)))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import text
 from ..operators import classes as cl
-from ..operators import cluster, detect
+from ..operators import cluster, degree, detect
 from ..operators.suppress import suppress
 from .fixtures import SIZE, sql_over, table, view
 from .registry import query
@@ -209,6 +209,21 @@ def touching_boxes(spark, sf):
     return comps.join(size, ["image_id", "comp"]).select("image_id", "det_idx")
 
 
+@query(
+    sql_over(
+        "boxes",
+        """, g as (select image_id, det_idx, x1 - m as x1, y1 - m as y1, x2 + m as x2, y2 + m as y2
+          from (select *, 1e-2 * greatest(1280, 720) as m from boxes where class_id = 0))
+        select a.image_id, a.det_idx, count(b.det_idx) as degree from g a left join g b on a.image_id = b.image_id
+          and a.det_idx <> b.det_idx and a.x1 <= b.x2 and b.x1 <= a.x2 and a.y1 <= b.y2 and b.y1 <= a.y2
+        group by a.image_id, a.det_idx""",
+    )
+)
+def touch_degrees(spark, sf):
+    """How many boxes each box meets; counted, no pair is made."""
+    return degree.touch_degrees(_grown_sources(spark, sf))
+
+
 @query(
     sql_over(
         "boxes",
