@@ -209,7 +209,12 @@ class Identifier:
 
 
 def sample(docs: DataFrame, per_language=PER_LANGUAGE):
-    """The bounded training sample: (text, lang) of rows that are not held out."""
+    """The bounded training sample: (text, lang) of rows that are not held out.
+
+    Rows are taken by hash. Up to `LANGUAGES` languages have `per_language` rows each,
+    more share the same number of rows evenly; where there are more languages than
+    rows, a share of them by hash is learned.
+    """
     place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SNIPPET, F.lit(1)))
     rows = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()
@@ -218,12 +223,17 @@ def sample(docs: DataFrame, per_language=PER_LANGUAGE):
         "lang",
         F.substring("text", place.cast("int") + 1, F.lit(SNIPPET)).alias("text"),
     )
+    most = per_language * LANGUAGES
+    n = rows.agg(F.count_distinct("lang")).first()[0]
+    if n > most:
+        rows = rows.where(F.pmod(F.xxhash64("lang"), F.lit(n)) < most)
+    share = max(1, min(per_language, most // max(n, 1)))
     # Each language is ranked in slices of the hash, so no task gets one whole.
-    order = Window.partitionBy("lang", F.pmod("h", F.lit(SLICES))).orderBy("h", "text")
+    parts = min(SLICES, share)
+    order = Window.partitionBy("lang", F.pmod("h", F.lit(parts))).orderBy("h", "text")
     rows = rows.withColumn("_n", F.row_number().over(order))
-    rows = rows.where(F.col("_n") <= -(-per_language // SLICES))
-    rows = rows.select("text", "lang").limit(per_language * LANGUAGES).collect()
-    return sorted((r.text, r.lang) for r in rows)
+    rows = rows.where(F.col("_n") <= -(-share // parts))
+    return sorted((r.text, r.lang) for r in rows.select("text", "lang").collect())
 
 
 def identify(docs: DataFrame, model, keep=("doc_id",)) -> DataFrame:

@@ -88,3 +88,13 @@ def test_odd_rows(corpus, odd_rows):
     assert langid.accepted(corpus([])).collect() == []
     blank = langid.identify(corpus([(1, "abc")]), langid.fit(langid.sample(corpus([(1, "abc")]))))
     assert [tuple(r) for r in blank.collect()] == [(1, "und", 0.0)]
+
+
+def test_more_languages_than_the_sample_has_room_for(corpus, monkeypatch):
+    rows = [(i, f"text {i}", f"l{i % 30:02}", "a", 1) for i in range(1200)]
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    some = langid.sample(corpus(rows), 20)
+    names = [lang for _, lang in some]
+    assert set(names) == {f"l{i:02}" for i in range(30)} and max(map(names.count, names)) == 2
+    assert some == langid.sample(corpus(rows).repartition(5, "text"), 20)
+    assert 0 < len({lang for _, lang in langid.sample(corpus(rows), 4)}) <= 16
