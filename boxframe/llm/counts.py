@@ -7,9 +7,10 @@ by source, language and tokenizer version are the batch's delta, a few rows howe
 large the batch. A store holds one folder per committed batch; totals are the sum
 over the folders.
 
-A commit writes aside and then renames to the batch's folder, so a batch is there
-whole or not at all, and a repeated commit of the same batch changes nothing. On
-stores whose rename is not atomic, commits of one batch must not run at once.
+A commit writes aside and then renames to the batch's folder, which must be new, so a
+batch is there whole or not at all, and a repeated commit of the same batch changes
+nothing; of two at once, one succeeds. On stores whose rename is not atomic, commits of
+one batch must not run at once. A compacted store remembers the batches it was made of.
 
 Defined results: null text counts 0 tokens but 1 document; a null source or language
 is a key of its own; a change without images counts nothing; repeated changes count
@@ -25,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.groups import _hadoop_path, scratch_path
+from ..operators.groups import _hadoop_path, put_new, remove, scratch_path
 from .tables import table
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -108,9 +109,22 @@ def delta(changes: DataFrame, tokenizers=None) -> DataFrame:
     return sums.select("source", "lang", F.explode(each).alias("e")).select("source", "lang", "e.*")
 
 
+# Batches that a compacted store was made of; readers of the sums pass over the name.
+MERGED = "_merged"
+
+
 def committed(spark, store, batch) -> bool:
+    """Whether a batch is in the store, by itself or among those merged."""
     path, files = _hadoop_path(spark, f"{store}/batch={batch}")
-    return files.exists(path)
+    if files.exists(path):
+        return True
+    merged = _merged(spark, store)
+    return merged is not None and not merged.where(F.col("batch") == str(batch)).isEmpty()
+
+
+def _merged(spark, store):
+    path, files = _hadoop_path(spark, f"{store}/{MERGED}")
+    return spark.read.schema("batch string").parquet(f"{store}/{MERGED}") if files.exists(path) else None
 
 
 def commit(store, batch, changes: DataFrame, tokenizers=None) -> bool:
@@ -120,10 +134,10 @@ def commit(store, batch, changes: DataFrame, tokenizers=None) -> bool:
         return False
     aside = scratch_path(spark, "delta")
     delta(changes, tokenizers).write.parquet(aside)
-    target, files = _hadoop_path(spark, f"{store}/batch={batch}")
-    files.mkdirs(target.getParent())
-    source, _ = _hadoop_path(spark, aside)
-    return bool(files.rename(source, target))
+    if put_new(spark, aside, f"{store}/batch={batch}"):
+        return True
+    remove(spark, aside)
+    return False
 
 
 def totals(spark, store) -> DataFrame:
@@ -138,7 +152,18 @@ def totals(spark, store) -> DataFrame:
 
 
 def compact(spark, store, into) -> str:
-    """Write all batches' sums as the one batch of a new store, and return it."""
+    """Write all batches' sums as the one batch of a new store, and return it.
+
+    The new store keeps the names of the batches, so none can be committed again. No
+    commit may run meanwhile.
+    """
+    path, files = _hadoop_path(spark, store)
+    found = [f.getPath().getName() for f in files.listStatus(path)]
+    names = [(n.removeprefix("batch="),) for n in found if n.startswith("batch=")]
+    merged, before = spark.createDataFrame(names, "batch string"), _merged(spark, store)
+    if before is not None:
+        merged = merged.unionByName(before)
+    merged.write.parquet(f"{into}/{MERGED}")
     totals(spark, store).write.parquet(f"{into}/batch=compacted")
     return into
 

@@ -64,3 +64,26 @@ def test_byte_pair_counts(spark, corpus):
     rows = [(1, "hello there, straße 12", "en", "a"), (2, None, "en", "a"), (3, "", "en", "a")]
     got = counts.delta(counts.inserts(corpus(rows)), {"bpe-1": counts.ranked_counter(RANKS, pattern)})
     assert [(r.n_docs, r.n_tokens) for r in got.collect()] == [(3, len(coder.encode_ordinary(rows[0][1])))]
+
+
+def test_a_compacted_store_knows_its_batches(spark, corpus, odd_rows):
+    store = scratch_path(spark, "test")
+    docs = counts.inserts(corpus(odd_rows))
+    assert counts.commit(store, "1", docs)
+    packed = counts.compact(spark, store, scratch_path(spark, "test"))
+    want = read(spark, packed)
+    assert not counts.commit(packed, "1", docs) and read(spark, packed) == want
+    assert counts.commit(packed, "2", docs)
+    again = counts.compact(spark, packed, scratch_path(spark, "test"))
+    assert not counts.commit(again, "1", docs) and not counts.commit(again, "2", docs)
+    assert read(spark, again) == {k: 2 * n for k, n in want.items()}
+
+
+def test_of_two_commits_at_once_one_counts(spark, corpus, odd_rows, monkeypatch):
+    store = scratch_path(spark, "test")
+    docs = counts.inserts(corpus(odd_rows))
+    # Both look before either has ended.
+    monkeypatch.setattr(counts, "committed", lambda *_: False)
+    assert counts.commit(store, "1", docs)
+    want = read(spark, store)
+    assert not counts.commit(store, "1", docs) and read(spark, store) == want
