@@ -6,6 +6,7 @@ from ..functions import geometry as geo
 from ..functions import text
 from ..operators import classes as cl
 from ..operators import cluster, degree, detect
+from ..operators.groups import durable, skew_join
 from ..operators.suppress import suppress
 from .fixtures import SIZE, sql_over, table, view
 from .registry import query
@@ -611,6 +612,28 @@ def latency(spark, sf):
     )
 
 
+@query("""select event_type as source, count(value) as runs, min(value) as least,
+  max(value) as greatest, true as near_quantiles
+from events where value is not null group by event_type""")
+def latency_by_source(spark, sf):
+    """Daily sketches merged by source; quantiles are held against the ranks of all rows."""
+    rows = table(spark, sf, "events").select(
+        F.col("event_type").alias("source"), F.to_date("ts").alias("day"), "value"
+    )
+    daily = durable(detect.latency_sketches(rows, ["source", "day"], "value"))
+    shares = (0.5, 0.95, 0.99)
+    merged = durable(detect.sketched_latency(daily, ["source"], shares))
+    both = skew_join(rows, merged, ["source"]).where("value is not null")
+    error = 2 * detect.rank_error()
+    near = F.lit(True)
+    for i, share in enumerate(shares):
+        q = F.col("quantiles")[i]
+        below = F.avg((F.col("value") < q).cast("int"))
+        up_to = F.avg((F.col("value") <= q).cast("int"))
+        near = near & (below <= share + error) & (up_to >= share - error)
+    return both.groupBy("source", "runs", "least", "greatest").agg(near.alias("near_quantiles"))
+
+
 # Vocabulary and new names from the part table.
 VOCABULARY = """with keyed as (
   select p_brand as class_name, min(p_partkey) as key from part group by p_brand),
