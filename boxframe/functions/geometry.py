@@ -99,9 +99,9 @@ def drag_to_box(drags, x1="x1", y1="y1", x2="x2", y2="y2", min_side=MIN_DRAG):
 
 
 def chance(seed, *key):
-    """A repeatable number in [0, 1) from the key."""
-    spread = F.pmod(F.xxhash64(*[col(k) for k in key], F.lit(seed)), F.lit(1 << 20))
-    return spread / F.lit(float(1 << 20))
+    """A repeatable number in [0, 1) from the key: 20 bits of the MD5 of seed and key."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
 
 
 def letterbox_boxes(labels, imgsz, width="width", height="height"):

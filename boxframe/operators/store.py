@@ -26,7 +26,8 @@ LABEL_KEY = ["split", "stem"]
 IMAGE_KEY = ["split", "filename"]
 
 # Numbers as Python reads them from text, without the words for NaN and infinity.
-_DIGITS = r"\d+(_\d+)*"
+# Possessive: a repeated group that could give back is matched by recursion in the JVM.
+_DIGITS = r"\d+(_\d+)*+"
 INT_PATTERN = rf"^[+-]?{_DIGITS}\z"
 FLOAT_PATTERN = rf"^[+-]?({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?\z"
 
@@ -342,14 +343,18 @@ def write_training_set(images, labels, path):
 
     Refused, with the reason, unless both splits have images.
     """
-    stats = with_stem(images).groupBy("split").agg(F.count("*").alias("images"))
-    gate = training_ready(stats).first()
-    if not gate.ready:
-        raise ValueError(gate.reason)
+    require_both(images)
     sets = [training_set(images, labels, s) for s in ("train", "val")]
     sets[0].unionByName(sets[1]).write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def require_both(images):
+    """Refuse, with the reason, unless train and val have images."""
+    gate = training_ready(images.groupBy("split").agg(F.count("*").alias("images"))).first()
+    if not gate.ready:
+        raise ValueError(gate.reason)
+
+
 def training_set(images, labels, split):
     """Images of one split with their boxes; an image without boxes stays."""
     chosen = with_stem(images).where(F.col("split") == split)

@@ -591,7 +591,20 @@ def visible_boxes(spark, sf):
     return _rounded(geo.visible_boxes(_turned(spark, sf), 0.3))
 
 
-@query()
+def drawn(seed, *key):
+    """SQL of `geometry.chance`."""
+    text = " || '|' || ".join([f"'{seed}'", *[f"{k}::varchar" for k in key]])
+    return f"(('0x' || substr(md5({text}), 1, 5))::bigint / 1048576e0)"
+
+
+@query(
+    sql_over(
+        "boxes",
+        SIZED
+        + f""", o as (select image_id, det_idx, case when {drawn(11, "image_id")} < 0.5e0 then 1 - cx else cx end as cx,
+        case when {drawn(12, "image_id")} < 0.5e0 then 1 - cy else cy end as cy, w, h from sized) select {ROUNDED} from o""",
+    )
+)
 def hashed_flips(spark, sf):
     """Flips with chances from the image key, as a training job takes them."""
     rows = sized(spark, sf)

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import text
-from ..operators import store, versions
+from ..operators import shards, store, versions
 from ..operators.groups import scratch_path
 from ..operators.naming import unique_names
 from ..sources.files import coco_labels
-from .box_queries import SHAPE, micro
+from .box_queries import SHAPE, drawn, micro
 from .fixtures import sql_over, table, view
 from .registry import query
 
@@ -283,25 +283,80 @@ def training_rows(spark, sf):
     )
 
 
-@query()
+AUGMENTED = (
+    PARSED
+    + f""", drawn as (
+    select i.filename, g.*, {drawn(1, "g.split", "g.stem")} as c1, {drawn(2, "g.split", "g.stem")} as c2,
+      {drawn(3, "g.split", "g.stem")} as c3, {drawn(4, "g.split", "g.stem")} as c4
+    from images i join good g on i.split = g.split and i.stem = g.stem),
+  boxed as (select * replace ((cy * 0.5625e0 * 640 + 140) / 640 as cy, h * 0.5625e0 as h),
+    radians(case when c1 < 0.8e0 then (c2 * 2 - 1) * 180 else 0 end) as r from drawn),
+  turned as (select * replace (
+    ((cx - 0.5e0) * 640 * cos(r) - (cy - 0.5e0) * 640 * sin(r)) / 640 + 0.5e0 as cx,
+    ((cx - 0.5e0) * 640 * sin(r) + (cy - 0.5e0) * 640 * cos(r)) / 640 + 0.5e0 as cy,
+    (abs(w * 320 * cos(r)) + abs(h * 320 * sin(r))) * 2 / 640 as w,
+    (abs(w * 320 * sin(r)) + abs(h * 320 * cos(r))) * 2 / 640 as h) from boxed),
+  flipped as (select * replace (case when c3 < 0.5e0 then 1 - cx else cx end as cx,
+    case when c4 < 0.5e0 then 1 - cy else cy end as cy) from turned),
+  edges as (select *, greatest(0, least(1, cx - w / 2)) as x0, greatest(0, least(1, cx + w / 2)) as x1,
+    greatest(0, least(1, cy - h / 2)) as y0, greatest(0, least(1, cy + h / 2)) as y1 from flipped),
+  visible as (select split, filename, stem, line_no, class_id, (x0 + x1) / 2 as cx, (y0 + y1) / 2 as cy,
+    x1 - x0 as w, y1 - y0 as h from edges
+    where (x1 - x0) * (y1 - y0) / (w * h) >= 0.3e0 and x1 > x0 and y1 > y0)"""
+)
+
+
+def sized_images(spark, sf):
+    return images(spark, sf).withColumns({"width": F.lit(1280), "height": F.lit(720)})
+
+
+@query(
+    sql_over(
+        VIEWS,
+        AUGMENTED
+        + " select split, stem, line_no, class_id, "
+        + ", ".join(f"cast(floor({c} * 1e6 + 0.37e0) as bigint) as {c}" for c in SHAPE)
+        + """ from visible where split = 'train' union all
+        select i.split, i.stem, null, null, null, null, null, null from images i
+        where split = 'train' and not exists (from good g where g.split = i.split and g.stem = i.stem)""",
+    )
+)
 def training_boxes(spark, sf):
-    """A training set with letterboxing, flips, turns and the visibility rule."""
-    rows = store.training_set(images(spark, sf), labels(spark, sf), "train")
-    rows = rows.withColumns({"width": F.lit(1280), "height": F.lit(720)})
-    boxed = geo.letterbox_boxes(rows, 640).withColumns({"width": F.lit(640), "height": F.lit(640)})
-    key = ("split", "stem")
-    turned = geo.rotate_boxes(
-        boxed, geo.random_angle(geo.chance(1, *key), geo.chance(2, *key))
-    )
-    flipped = geo.flip_boxes(turned, geo.chance(3, *key), geo.chance(4, *key))
-    kept = geo.visible_boxes(flipped.where("line_no is not null")).select(
+    """A training set with letterboxing, turns, flips and the visibility rule."""
+    kept = shards.augmented(sized_images(spark, sf), labels(spark, sf), "train").select(
         "split", "stem", "line_no", "class_id", *[micro(c) for c in SHAPE]
     )
     # An image without boxes is one to learn from, too.
+    rows = store.training_set(images(spark, sf), labels(spark, sf), "train")
     empty = [F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in kept.columns[2:]]
     return kept.unionByName(rows.where("line_no is null").select("split", "stem", *empty))
 
 
+SHARD_BYTES = 20_000
+
+
+@query(
+    sql_over(
+        VIEWS,
+        AUGMENTED
+        + f""", records as (
+          select i.split, i.filename, count(v.line_no) as n, octet_length(i.filename::blob) + 40 * count(v.line_no) as bytes,
+            md5('0|' || i.split || '|' || i.filename || '|0') as draw
+          from images i left join visible v on i.split = v.split and i.filename = v.filename
+          where i.split in ('train', 'val') group by i.split, i.filename),
+        placed as (select *, coalesce(sum(bytes) over (partition by split order by draw, filename
+          rows between unbounded preceding and 1 preceding), 0) // {SHARD_BYTES} as shard from records)
+        select split, shard::bigint as shard, count(*) as records, sum(n)::bigint as boxes, sum(bytes)::bigint as bytes
+        from placed group by split, shard""",
+    )
+)
+def training_shards(spark, sf):
+    """The index of the shards of a training set that was written."""
+    return shards.write_training_shards(
+        sized_images(spark, sf), labels(spark, sf), scratch_path(spark, "shards"), SHARD_BYTES
+    )
+
+
 @query(
     sql_over(
         VIEWS,
