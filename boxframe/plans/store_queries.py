@@ -10,6 +10,7 @@ from ..functions import text
 from ..operators import shards, store, versions
 from ..operators.groups import scratch_path
 from ..operators.naming import unique_names
+from ..sources import coco
 from ..sources.files import coco_labels
 from .box_queries import SHAPE, drawn, micro
 from .fixtures import sql_over, table, view
@@ -597,15 +598,15 @@ def mixed_file_names(spark, sf):
     return unique_names(held, asked_names.withColumn("filename", mixed))
 
 
-@query(
-    """with ann as (select l_orderkey as image_id, l_linenumber as ann_id, cast(1 + mod(l_partkey, 3) as int) as category_id,
+COCO_TABLES = """with ann as (select l_orderkey as image_id, l_linenumber as ann_id, cast(1 + mod(l_partkey, 3) as int) as category_id,
       l_quantity * 4 as x, l_quantity * 2 as y, l_quantity + 8 as w, l_quantity + 4 as h from lineitem),
     img as (select o_orderkey as id, 'shot ' || cast(o_orderkey as varchar) || '.png' as file_name,
-      640 + mod(o_orderkey, 4) * 64 as width, 480 + mod(o_orderkey, 3) * 32 as height from orders)
-    select file_name, replace(file_name, '.png', '') as stem, ann_id, category_id - 1 as class_id, (x + w / 2) / width as cx,
+      640 + mod(o_orderkey, 4) * 64 as width, 480 + mod(o_orderkey, 3) * 32 as height from orders)"""
+COCO_LABELS = """file_name, replace(file_name, '.png', '') as stem, ann_id, category_id - 1 as class_id, (x + w / 2) / width as cx,
       (y + h / 2) / height as cy, w / width as w, h / height as h from ann join img on ann.image_id = img.id"""
-)
-def coco_boxes(spark, sf):
+
+
+def _coco_tables(spark, sf):
     ann = table(spark, sf, "lineitem").selectExpr(
         "l_linenumber as id",
         "l_orderkey as image_id",
@@ -618,4 +619,32 @@ def coco_boxes(spark, sf):
         "640 + o_orderkey % 4 * 64 as width",
         "480 + o_orderkey % 3 * 32 as height",
     )
+    return shots, ann
+
+
+@query(f"{COCO_TABLES} select {COCO_LABELS}")
+def coco_boxes(spark, sf):
+    shots, ann = _coco_tables(spark, sf)
     return coco_labels(shots, ann, offset=1)
+
+
+# Images to a COCO document of `coco_documents`, by their ids.
+DOCUMENT_IMAGES = 50_000
+
+
+@query(f"{COCO_TABLES} select cast(floor(ann.image_id / {DOCUMENT_IMAGES}) as bigint) as document, {COCO_LABELS}")
+def coco_documents(spark, sf):
+    """The boxes of coco_boxes, written as COCO documents and read from them in pieces."""
+    shots, ann = _coco_tables(spark, sf)
+    number = lambda c: F.floor(F.col(c) / DOCUMENT_IMAGES)
+    path = scratch_path(spark, "coco")
+    # Objects in an annotation, braces and quotes in strings: what cutting must survive.
+    noted = F.struct(F.lit('"}{[' + "\\").alias("note"), F.struct(F.col("id").alias("n")).alias("inner"))
+    coco.write_documents(
+        shots.withColumn("doc", number("id")),
+        ann.withColumns({"doc": number("image_id"), "more": F.when(F.col("image_id") % 3 == 0, noted)}),
+        path,
+    )
+    boxes, _ = coco.read_labels(spark, path, offset=1)
+    document = F.regexp_extract("doc", r"/doc=(-?[0-9]+)/", 1).cast("bigint").alias("document")
+    return boxes.select(document, *[c for c in boxes.columns if c != "doc"])

@@ -300,8 +300,8 @@ def extend_manifest(path, names):
 def read_coco(spark, path, offset=0):
     """Label boxes from COCO annotation files, keyed by image file name.
 
-    Each file is one JSON document and is parsed by one task; give several
-    files for more.
+    Each file is one JSON document and is parsed by one task; `coco.read_labels` cuts
+    long ones.
     """
     schema = (
         "images array<struct<id:bigint,file_name:string,width:int,height:int>>,"
@@ -313,11 +313,15 @@ def read_coco(spark, path, offset=0):
     )
 
 
-def coco_labels(images, annotations, offset=0) -> DataFrame:
-    """Label boxes from COCO tables; class id is category id minus `offset`."""
+def coco_labels(images, annotations, offset=0, by=()) -> DataFrame:
+    """Label boxes from COCO tables; class id is category id minus `offset`.
+
+    `by` names columns that both tables have and within which image ids are unique.
+    """
     x, y, w, h = [F.get("bbox", F.lit(i)) for i in range(4)]
-    images = images.select(F.col("id").alias("image_id"), "file_name", "width", "height")
-    return annotations.withColumnRenamed("id", "ann_id").join(images, "image_id").select(
+    images = images.select(*by, F.col("id").alias("image_id"), "file_name", "width", "height")
+    return annotations.withColumnRenamed("id", "ann_id").join(images, [*by, "image_id"]).select(
+        *by,
         "file_name",
         stem("file_name").alias("stem"),
         "ann_id",
