@@ -10,7 +10,7 @@ from ..functions import text
 from ..operators import shards, store, versions
 from ..operators.groups import scratch_path
 from ..operators.naming import unique_names
-from ..sources import coco
+from ..sources import coco, files, listing
 from ..sources.files import coco_labels
 from .box_queries import SHAPE, drawn, micro
 from .fixtures import sql_over, table, view
@@ -648,3 +648,24 @@ def coco_documents(spark, sf):
     boxes, _ = coco.read_labels(spark, path, offset=1)
     document = F.regexp_extract("doc", r"/doc=(-?[0-9]+)/", 1).cast("bigint").alias("document")
     return boxes.select(document, *[c for c in boxes.columns if c != "doc"])
+
+
+# Boxes of an image as a label file.
+FILED = (
+    "case mod(image_id, 10) when 8 then 'val' when 9 then 'test' else 'train' end as split",
+    "concat('shot_', cast(image_id as string)) as stem",
+    "cast(det_idx + 1 as int) as line_no",
+    "class_id",
+)
+
+
+@query(sql_over("boxes", f"select {', '.join(FILED)} from boxes"))
+def packed_label_lines(spark, sf):
+    """Boxes written as label files, listed by tasks and read back in packs of 1 MB."""
+    root = scratch_path(spark, "labels")
+    boxes = view(spark, sf, "boxes")
+    share = {"cx": "(x1 + x2) / 2560", "cy": "(y1 + y2) / 1440", "w": "(x2 - x1) / 1280", "h": "(y2 - y1) / 720"}
+    filed = boxes.selectExpr(*FILED, *[f"{e} as {c}" for c, e in share.items()])
+    files.write_labels(filed, root)
+    parsed_lines = store.parse_label_lines(listing.read_label_lines(spark, root, 1 << 20))
+    return store.valid_labels(parsed_lines).select("split", "stem", "line_no", "class_id")
