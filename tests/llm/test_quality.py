@@ -68,3 +68,39 @@ def test_odd_rows_and_missing_labels(spark, corpus, odd_rows):
     none = labels.where("false")
     assert quality.score(corpus(odd_rows), quality.fit(docs, none)).first().score == 0.5
     assert quality.score(corpus([]), model).collect() == []
+
+
+def test_scores_equal_plain_sizes_and_sums(spark, corpus, odd_rows):
+    import math
+
+    import zstandard
+
+    docs, labels = tables(spark, corpus, 120)
+    model = quality.fit(docs, labels)
+    rows = [r.asDict() for r in docs.collect()] + [r.asDict() for r in corpus(odd_rows).collect()]
+
+    def size(data, dictionary):
+        total = 0
+        for at in range(0, len(data), quality.PIECE):
+            # A new compressor for every piece, so nothing is carried over.
+            more = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+            maker = zstandard.ZstdCompressor(
+                level=quality.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False, **more
+            )
+            total += len(maker.compress(data[at : at + quality.PIECE]))
+        return total
+
+    def plain(text):
+        data = (text or "").encode()
+        if data:
+            good, bad, none = (size(data, d) for d in [*model["dictionaries"], None])
+            ratios = [good / len(data), bad / len(data), none / len(data)]
+            inputs = [1, 2 * (bad - good) / (bad + good), *ratios, *[math.log(max(r, 1e-3)) for r in ratios]]
+        else:
+            inputs = [1, 0, 0, 0, 0, 0, 0, 0]
+        z = sum(a * b for a, b in zip(inputs, model["theta"], strict=True))
+        return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+    both = docs.unionByName(corpus(odd_rows))
+    got = sorted((r.score for r in quality.score(both, model).collect()))
+    assert np.allclose(got, sorted(plain(r["text"]) for r in rows), atol=1e-9)
