@@ -12,9 +12,8 @@ sent again as long as what it depends on changes by more than `SETTLED`, so evid
 travels as far as the document goes, and texts that settle soon cost no more for
 longer ones beside them. A message that keeps swinging (loops need not settle) is
 damped more and more after `SWINGS` times, which ends it. Words whose
-label has a marginal of `SURE` or more become added spans; neighbours join. The field runs on texts with a base
-span only: elsewhere there is no evidence to carry over, and numbers that no rule takes
-would only confirm each other by being repeated.
+label has a marginal of `SURE` or more become added spans; neighbours join. The field runs on every text that has
+a digit or an @, whether a rule found something in it or not.
 
 The weights are fitted by pseudo-likelihood on base spans of a bounded sample:
 `SAMPLE` texts that have a digit or an @ (lowest hash of id and text), a snippet of
@@ -321,8 +320,7 @@ def spans_of(weights, texts):
         return base, added
     graph = Graph()
     for i, (text, spans) in enumerate(zip(texts, base, strict=True)):
-        # Without a base span there is no evidence in the document to carry over.
-        if spans:
+        if text:
             graph.add(text, spans, i)
     if not graph.features:
         return base, added

@@ -106,6 +106,20 @@ def test_repeated_mentions_take_the_label(corpus):
     assert pii.spans_of(weights, ["nothing here but 12 things in 2024"])[1] == [[]]
 
 
+def test_texts_without_a_base_span_are_labelled_too(corpus):
+    texts = [f"card 4111 1111 1111 1111 or key{i} and 12 things in {1900 + i}" for i in range(100)]
+    texts += [f"card 4111111111111111 or key{i} and 12 things in {1900 + i}" for i in range(100)]
+    weights = pii.fit(texts)
+    # No rule takes the number, as it fails Luhn.
+    text = "card 4111111111111112 or key7 and 12 things in 1950"
+    base, added = pii.spans_of(weights, [text, "ring +1 (456) 555-2186", None, text])
+    assert base[0] == [] and base[3] == []
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in added[0]] == [("card", "4111111111111112")]
+    assert added[3] == added[0] and added[2] == []
+    got = pii.find_spans(corpus([(1, text)]), weights).first()
+    assert [(s.kind, s.base) for s in got.spans] == [(2, False)]
+
+
 def test_masked_rows(corpus, odd_rows):
     docs = corpus(odd_rows + [(30, "é 1.2.3.4, x@y.zz; 1.2.3.4", "en", "a", 5)], clashing=True)
     rows = pii.masked(docs)
