@@ -18,9 +18,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .cluster import CORNERS
-from .groups import durable, skew_join
+from .groups import GROUP_LIMIT, durable, skew_join, split_hot
 from .naming import sum_before
 
 
@@ -88,18 +89,55 @@ def _sides():
     return [left, right, below, above], [(a, b) for a in (left, right) for b in (below, above)]
 
 
-def touch_degrees(boxes: DataFrame) -> DataFrame:
+def _sound():
+    """Whether a box has four finite corners, the right way round."""
+    finite = [F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in CORNERS]
+    sound = finite[0] & finite[1] & finite[2] & finite[3]
+    return sound & (F.col("x1") <= F.col("x2")) & (F.col("y1") <= F.col("y2"))
+
+
+def touch_degrees(boxes: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """image_id, det_idx and degree, the number of other boxes of the image that the box
     meets; touching counts. `boxes` has image_id, det_idx and CORNERS.
 
     A box with a null, infinite or NaN corner, or with corners the wrong way round,
-    meets none and is met by none. Equal boxes are counted as one with its number.
+    meets none and is met by none. Images up to `limit` boxes are compared as one array
+    each; in larger ones equal boxes are counted as one with its number.
     """
-    finite = [F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in CORNERS]
-    sound = finite[0] & finite[1] & finite[2] & finite[3]
-    sound = sound & (F.col("x1") <= F.col("x2")) & (F.col("y1") <= F.col("y2"))
+    small, large = split_hot(boxes.select("image_id", "det_idx", *CORNERS), ["image_id"], limit)
+    out = _small_degrees(small)
+    return out if large is None else out.unionByName(_large_degrees(large))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _met(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series, sound: pd.Series) -> pd.Series:
+    """Arrays of corners to arrays of how many others each box meets."""
+    out = []
+    for a1, b1, a2, b2, kept in zip(x1, y1, x2, y2, sound, strict=True):
+        kept = np.asarray(kept, bool)
+        a1, b1, a2, b2 = (np.asarray(c, float)[kept] for c in (a1, b1, a2, b2))
+        meets = (a1 <= a2[:, None]) & (a1[:, None] <= a2)
+        meets &= (b1 <= b2[:, None]) & (b1[:, None] <= b2)
+        degree = np.zeros(len(kept), np.int64)
+        degree[kept] = meets.sum(1) - 1
+        out.append(degree)
+    return pd.Series(out)
+
+
+def _small_degrees(boxes):
+    row = F.struct("det_idx", *[F.col(c).cast("double").alias(c) for c in CORNERS], _sound().alias("sound"))
+    packed = boxes.groupBy("image_id").agg(F.collect_list(row).alias("b"))
+    packed = packed.withColumn("d", _met(*[F.col("b")[c] for c in (*CORNERS, "sound")]))
+    each = F.transform(
+        "b", lambda b, i: F.struct(b["det_idx"].alias("det_idx"), F.get(F.col("d"), i).alias("degree"))
+    )
+    return packed.select("image_id", F.explode(each).alias("r")).select("image_id", "r.*")
+
+
+def _large_degrees(boxes):
+    """Degrees in images too large for one task."""
     at = [(F.col(c) + 0.0).alias(c) for c in CORNERS]
-    rows = boxes.select("image_id", "det_idx", *at, sound.alias("_sound"))
+    rows = boxes.select("image_id", "det_idx", *at, _sound().alias("_sound"))
     key = ["image_id", *CORNERS]
     once = rows.where("_sound").groupBy(*key).agg(F.count("*").alias("weight"))
     once = durable(once.withColumn("id", F.monotonically_increasing_id()))

@@ -41,9 +41,19 @@ def test_degrees_equal_all_pairs(spark):
     got = {(r.image_id, r.det_idx): r.degree for r in degree.touch_degrees(df).collect()}
     want = plain_degrees(rows)
     assert got == want and max(want.values()) > 15
+    large = degree.touch_degrees(df, limit=5)
+    assert {(r.image_id, r.det_idx): r.degree for r in large.collect()} == want
+    assert large.dtypes == degree.touch_degrees(df).dtypes
     assert degree.touch_degrees(df.limit(0)).collect() == []
 
 
+def test_degrees_of_small_images_write_nothing(spark, monkeypatch):
+    monkeypatch.setattr(degree, "durable", lambda *a: pytest.fail("rows were written"))
+    rows = [(i % 7, i, i % 9 * 2.0, i % 5 * 2.0, i % 9 * 2.0 + 3, i % 5 * 2.0 + 2) for i in range(140)]
+    got = degree.touch_degrees(spark.createDataFrame(rows, BOXES)).collect()
+    assert {(r.image_id, r.det_idx): r.degree for r in got} == plain_degrees(rows)
+
+
 def test_many_boxes_on_one_spot(spark):
     spot = spark.range(100_000).select(
         F.lit(1).cast("long").alias("image_id"), F.col("id").cast("int").alias("det_idx"),
