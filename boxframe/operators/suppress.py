@@ -37,12 +37,16 @@ def suppress(
 
     Boxes are taken by falling confidence, then det_idx, per image and class
     (per image if `agnostic`). `max_per_image` keeps the best boxes only. Boxes
-    without area, or with a corner missing, overlap nothing.
+    without area, or with a corner missing, overlap nothing. Groups of more than
+    `limit` boxes go by tiles: by one if it can hold the group, else by many, in rounds.
     """
     require_share("threshold", threshold)
     keys = ["image_id"] if agnostic else ["image_id", "class_id"]
     small, large = split_hot(dets, keys, limit)
     out = _suppress_small(small, keys, threshold)
+    if large is not None and limit < TILE_ROWS:
+        tile, large = split_hot(large, keys, TILE_ROWS)
+        out = out.unionByName(_suppress_tile(tile, keys, threshold))
     if large is not None:
         out = out.unionByName(_suppress_large(large, keys, threshold, limit))
     if max_per_image is None:
@@ -82,6 +86,52 @@ def _suppress_small(dets, keys, threshold):
     )
 
 
+def _flat():
+    """Whether a box has no area, or a corner is missing."""
+    flat = (F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1"))
+    return F.coalesce(flat, F.lit(True))
+
+
+def _greedy(threshold):
+    """Arrays of a group's boxes, best first, to those that are kept."""
+
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
+    def kept(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series, flat: pd.Series) -> pd.Series:
+        out = []
+        for a1, b1, a2, b2, none in zip(x1, y1, x2, y2, flat, strict=True):
+            stays = np.ones(len(none), bool)
+            at = np.flatnonzero(~np.asarray(none, bool))
+            a1, b1, a2, b2 = (np.asarray(c, float)[at] for c in (a1, b1, a2, b2))
+            w = np.minimum(a2, a2[:, None]) - np.maximum(a1, a1[:, None])
+            h = np.minimum(b2, b2[:, None]) - np.maximum(b1, b1[:, None])
+            shared = np.maximum(w, 0) * np.maximum(h, 0)
+            area = (a2 - a1) * (b2 - b1)
+            close = np.triu(shared / (area + area[:, None] - shared) > threshold, 1)
+            gone = np.zeros(len(at), bool)
+            for i in np.flatnonzero(close.any(1)):
+                if not gone[i]:
+                    gone |= close[i]
+            stays[at[gone]] = False
+            out.append(stays)
+        return pd.Series(out)
+
+    return kept
+
+
+def _suppress_tile(dets, keys, threshold):
+    """Groups that one tile can hold: it shows every box all its better neighbours, so all
+    are decided in one pass, and the rows are shuffled once."""
+    rest = [c for c in dets.columns if c not in (*keys, "det_idx")]
+    row = F.struct((-F.col("confidence")).alias("_order"), "det_idx", *rest, _flat().alias("_flat"))
+    packed = dets.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("b"))
+    sides = [F.col("b")[c].cast("array<double>") for c in CORNERS]
+    sure = packed.withColumn("s", _greedy(threshold)(*sides, F.col("b")["_flat"]))
+    kept = F.filter("b", lambda b, i: F.get(F.col("s"), i))
+    return sure.select(*keys, F.explode(kept).alias("r")).select(
+        *[c if c in keys else f"r.{c}" for c in dets.columns]
+    )
+
+
 def _reach(threshold, span):
     """Keys of places, such that two boxes that overlap enough have one in common.
 
@@ -162,8 +212,7 @@ def _suppress_large(dets, keys, threshold, limit):
     everywhere: boxes kept near one place do not overlap each other, so a box
     meets few of them. Groups that have become small are finished as arrays.
     """
-    flat = (F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1"))
-    flat = F.coalesce(flat, F.lit(True))
+    flat = _flat()
     boxes = durable(dets)
     if threshold >= 1:
         return boxes

@@ -47,6 +47,29 @@ def test_equals_greedy(spark, limit, threshold, agnostic, count):
     assert sorted(tuple(r) for r in got.select(*df.columns).collect()) == greedy(data, threshold, agnostic)
 
 
+@pytest.mark.parametrize("threshold,agnostic", [(0.45, False), (0.2, True), (1.0, False)])
+def test_many_tiles_equal_one(spark, monkeypatch, threshold, agnostic):
+    from boxframe.operators import suppress as module
+
+    data = boxes(160, 60, seed=7) + [(0, 900 + i, 0, 30.0, 30.0, 10.0, 10.0, 0.9) for i in range(3)]
+    data += [(None, 950 + i, None, i * 4.0, 0.0, i * 4.0 + 10, 9.0, 0.5) for i in range(9)]
+    df = spark.createDataFrame(data, SCHEMA)
+    rows = lambda **more: sorted(map(tuple, suppress(df, threshold, agnostic, **more).collect()), key=repr)
+    one, small = rows(limit=8), rows()
+    monkeypatch.setattr(module, "TILE_ROWS", 20)
+    assert one == small == rows(limit=8)
+
+
+def test_a_group_of_one_tile_is_neither_copied_nor_written(spark, monkeypatch):
+    from boxframe.operators import suppress as module
+
+    monkeypatch.setattr(module, "_reach", lambda *a: pytest.fail("boxes were dealt to tiles"))
+    monkeypatch.setattr(module, "durable", lambda *a: pytest.fail("rows were written"))
+    data = boxes(120, 60, seed=3)
+    got = suppress(spark.createDataFrame(data, SCHEMA), 0.45, limit=5)
+    assert sorted(map(tuple, got.collect())) == greedy(data, 0.45)
+
+
 def test_cap_keeps_the_best(spark):
     data = boxes(60, 400, seed=2)
     got = suppress(spark.createDataFrame(data, SCHEMA), max_per_image=5)
