@@ -14,6 +14,7 @@ from .groups import (
     durable,
     rank_large,
     salted_join,
+    same_join,
     skew_join,
     split_hot,
 )
@@ -166,6 +167,7 @@ def _large_components(boxes, limit):
         & (F.col("y2") >= F.col("cy2"))
     )
     links, todo = [], durable(todo)
+    few, alone = F.col("n") <= limit, F.col("n") == 1
     while True:
         counts = durable(
             todo.groupBy(*cell).agg(
@@ -174,39 +176,34 @@ def _large_components(boxes, limit):
                 F.bool_or(spans).alias("covered"),
             )
         )
-        few = F.col("n") <= limit
-        links.append(
-            salted_join(todo, counts.where("covered").select(*cell, "low"), cell, "rep")
-            .select("image_id", F.col("rep").alias("src"), F.col("low").alias("dst"))
-            .distinct()
-        )
+        # A box that is alone in a cell is linked to itself.
+        direct = skew_join(
+            todo.select(*cell, "rep"), counts.where("covered or n = 1").select(*cell, "low"), cell
+        ).select("image_id", F.col("rep").alias("src"), F.col("low").alias("dst"))
+        shared = counts.where(~F.col("covered") & few & ~alone).select(*cell)
         packed = (
-            salted_join(todo, counts.where(~F.col("covered") & few).select(*cell), cell, "rep")
+            skew_join(todo, shared, cell)
             .groupBy(*cell)
             .agg(F.collect_list(F.struct("rep", *CORNERS)).alias("b"))
             .withColumn("g", linked_boxes()(*_corner_arrays(F.col("b"))))
         )
-        links.append(
-            packed.select(
-                "image_id",
-                F.explode(
-                    F.transform(
-                        "b",
-                        lambda b, i: F.struct(
-                            b["rep"].alias("src"),
-                            F.get(F.col("b"), F.get(F.col("g"), i))["rep"].alias("dst"),
-                        ),
-                    )
-                ).alias("r"),
-            )
-            .select("image_id", "r.*")
-            .distinct()
-        )
-        links[-2:] = [durable(links[-2].unionByName(links[-1]))]
+        solved = packed.select(
+            "image_id",
+            F.explode(
+                F.transform(
+                    "b",
+                    lambda b, i: F.struct(
+                        b["rep"].alias("src"),
+                        F.get(F.col("b"), F.get(F.col("g"), i))["rep"].alias("dst"),
+                    ),
+                )
+            ).alias("r"),
+        ).select("image_id", "r.*")
+        links.append(durable(direct.unionByName(solved)))
         crowded = counts.where(~F.col("covered") & ~few).select(*cell)
         if crowded.isEmpty():
             break
-        last, todo = todo, _cut_cells(salted_join(todo, crowded, cell, "rep"), cell)
+        last, todo = todo, _cut_cells(skew_join(todo, crowded, cell), cell)
         todo = durable(todo)
         discard(last, counts)
     edges = links[0]
@@ -251,7 +248,7 @@ def _cut_cells(todo, cell):
         *cell, along.alias("along"), F.when(along, cuts("x")).otherwise(cuts("y")).alias("cuts")
     )
     pick = lambda x, y: F.when(F.col("along"), F.col(x)).otherwise(F.col(y))
-    todo = salted_join(todo, corners, cell, "rep").withColumns(
+    todo = skew_join(todo, corners, cell).withColumns(
         {"_low": pick("x1", "y1"), "_high": pick("x2", "y2")}
     )
     edges = F.concat(F.array(pick("cx1", "cy1")), "cuts", F.array(pick("cx2", "cy2")))
@@ -393,6 +390,9 @@ def _merge(dets, is_other, info, margin, min_size, limit):
         "image_id", "det_idx", *CORNERS, "confidence", "class_id", "class_name"
     ).withColumn("is_other", is_other)
     small, large = split_hot(dets, ["image_id"], limit)
+    if large is not None:
+        # Both parts are taken from rows that are made once.
+        small, large = split_hot(durable(dets), ["image_id"], limit)
     out = _merge_small(small, info, margin, min_size)
     if large is not None:
         labelled = _label_large(large, info, margin, min_size, limit)
@@ -442,12 +442,10 @@ def _collapse(labelled):
     )
 
 
-def _with_info(df, info, small):
+def _with_info(df, info):
     if not isinstance(info, DataFrame):
         return df.withColumns(info)
-    if small:
-        return df.join(info, "image_id", "left")
-    return salted_join(df, info, ["image_id"], "det_idx", "left")
+    return df.join(info, "image_id", "left")
 
 
 def _merge_small(dets, info, margin, min_size):
@@ -456,7 +454,7 @@ def _merge_small(dets, info, margin, min_size):
         "det_idx", *CORNERS, "confidence", "class_id", "class_name", "is_other"
     )
     packed = dets.groupBy("image_id").agg(F.array_sort(F.collect_list(row)).alias("b"))
-    packed = _with_info(packed, info, small=True)
+    packed = _with_info(packed, info)
     grow = margin_pixels(margin, "width", "height")
     packed = packed.withColumn("s", F.filter("b", lambda b: ~b["is_other"]))
     packed = packed.withColumns(
@@ -542,15 +540,16 @@ def _merge_small(dets, info, margin, min_size):
 
 def _label_large(dets, info, margin, min_size, limit):
     """Label boxes of images larger than one task."""
-    dets = durable(_with_info(dets, info, small=False))
     grow = margin_pixels(margin, "width", "height")
-    image = dets.groupBy("image_id").agg(
-        (
-            F.lit(min_size >= 2)
-            & (F.count_if(~F.col("is_other")) >= min_size)
-            & F.max(grow).isNotNull()
-        ).alias("active")
-    )
+    image = dets.groupBy("image_id").agg(F.count_if(~F.col("is_other")).alias("sources"))
+    if isinstance(info, DataFrame):
+        image = same_join(image, info, ["image_id"], "left")
+    else:
+        image = image.withColumns(info)
+    active = F.lit(min_size >= 2) & (F.col("sources") >= min_size) & grow.isNotNull()
+    image = image.withColumn("active", active).drop("sources")
+    # One row per image and no more: images are joined to their boxes once.
+    dets = durable(skew_join(dets, image, ["image_id"]))
     grown = dets.where(~F.col("is_other") & grow.isNotNull()).select(
         "image_id",
         "det_idx",
@@ -559,9 +558,7 @@ def _label_large(dets, info, margin, min_size, limit):
     comps = durable(box_components(grown, limit))
     sized = comps.groupBy("image_id", "comp").agg(F.count("*").alias("size"))
     comps = skew_join(comps, sized, ["image_id", "comp"])
-    labelled = salted_join(
-        skew_join(dets, comps, ["image_id", "det_idx"], "left"), image, ["image_id"], "det_idx"
-    )
+    labelled = skew_join(dets, comps, ["image_id", "det_idx"], "left")
     return labelled.withColumn(
         "merged", F.col("active") & F.coalesce(F.col("size") >= min_size, F.lit(False))
     )

@@ -2,13 +2,17 @@
 
 The two steps are those of Kiveris et al., "Connected Components in MapReduce
 and Beyond" (2014). Each step is a minimum per node, combined before the
-shuffle, joined back to the edges.
+shuffle, joined back to the edges. Where edges have keys, the edges of a key are
+solved as one array if they are few.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .groups import discard, durable, skew_join
+from .groups import GROUP_LIMIT, discard, durable, skew_join, split_hot
 
 
 def _fingerprint(edges, columns):
@@ -19,12 +23,60 @@ def _fingerprint(edges, columns):
     return row["n"], row["s"]
 
 
-def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
+def connected_components(
+    edges: DataFrame, keys: list[str], limit: int = GROUP_LIMIT
+) -> DataFrame:
     """Label nodes by the smallest node they reach.
 
     `edges` has `keys`, `src`, `dst`; equal ends mark a node without partners.
-    Edges never cross keys. Returns `keys`, `node`, `comp`.
+    Edges never cross keys. Returns `keys`, `node`, `comp`. Keys of up to `limit`
+    edges are solved as one array each; their edges are read twice.
     """
+    if not keys:
+        return _by_rounds(edges, keys)
+    small, large = split_hot(edges, keys, limit)
+    out = _by_arrays(small, keys)
+    return out if large is None else out.unionByName(_by_rounds(large, keys))
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _lowest(nodes: pd.Series, src: pd.Series, dst: pd.Series) -> pd.Series:
+    """Sorted nodes and edges between them to the place of the lowest node each reaches."""
+    out = []
+    for names, one, two in zip(nodes, src, dst, strict=True):
+        low = list(range(len(names)))
+        for a, b in zip(np.searchsorted(names, one).tolist(), np.searchsorted(names, two).tolist(), strict=True):
+            while low[a] != a:
+                low[a] = a = low[low[a]]
+            while low[b] != b:
+                low[b] = b = low[low[b]]
+            low[max(a, b)] = min(a, b)
+        # A node's place is never below the one it points to.
+        for i, a in enumerate(low):
+            low[i] = low[a]
+        out.append(low)
+    return pd.Series(out)
+
+
+def _by_arrays(edges, keys):
+    packed = edges.groupBy(*keys).agg(F.collect_list(F.struct("src", "dst")).alias("e"))
+    known = F.filter("e", lambda e: e["src"].isNotNull() & e["dst"].isNotNull())
+    packed = packed.select(
+        *keys,
+        F.array_sort(F.array_distinct(F.concat(F.col("e.src"), F.col("e.dst")))).alias("n"),
+        known.alias("e"),
+    )
+    # A null is the last of sorted nodes and has no place among the known ones.
+    names = F.filter("n", lambda n: n.isNotNull())
+    solved = packed.withColumn("g", _lowest(names, F.col("e.src"), F.col("e.dst")))
+    each = F.transform(
+        "n",
+        lambda n, i: F.struct(n.alias("node"), F.get(F.col("n"), F.get(F.col("g"), i)).alias("comp")),
+    )
+    return solved.select(*keys, F.explode(each).alias("r")).select(*keys, "r.*")
+
+
+def _by_rounds(edges, keys):
     columns = keys + ["src", "dst"]
     nodes = (
         edges.select(*keys, F.col("src").alias("node"))

@@ -160,14 +160,26 @@ def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how="inner"):
     return same_join(big, small.hint("merge"), keys, how)
 
 
-def rank_large(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
-    """Number rows from 0 within each key when groups exceed one task.
-
-    Rows are range-sorted over all tasks, numbered per key inside each range,
-    and shifted by the rows of the same key in earlier ranges. `order` must put
-    the rows of a key in a definite order. The ranges are written out before
-    they are counted, so a retried task cannot see other bounds.
+def rank_large(
+    df: DataFrame, keys: list[str], order: list, name: str, limit: int = SLICE_ROWS
+) -> DataFrame:
+    """Number rows from 0 within each key when groups may exceed one task.
+
+    Keys of up to `limit` rows are sorted and numbered by one task each, so they are
+    shuffled once, by key. Rows of others are range-sorted over all tasks, numbered per
+    key inside each range, and shifted by the rows of the same key in earlier ranges.
+    `order` must put the rows of a key in a definite order. The ranges are written out
+    before they are counted, so a retried task cannot see other bounds.
     """
+    if not keys:
+        return _rank_ranges(df, keys, order, name)
+    small, large = split_hot(df, keys, limit)
+    line = Window.partitionBy(*keys).orderBy(*order)
+    out = small.withColumn(name, F.row_number().over(line) - 1 + F.lit(0).cast("bigint"))
+    return out if large is None else out.unionByName(_rank_ranges(large, keys, order, name))
+
+
+def _rank_ranges(df, keys, order, name):
     sort = {f"_o{i}": c for i, c in enumerate(order)}
     ranged = durable(
         df.withColumns(sort)

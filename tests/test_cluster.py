@@ -210,3 +210,34 @@ def test_same_rows_at_every_limit(spark):
     rows = [sorted(map(tuple, cluster.merge_clusters(df, sizes, limit=k).collect()), key=repr) for k in (1000, 5)]
     assert rows[0] == rows[1]
     assert sum(r[9] for r in rows[0]) == len(boxes)
+
+
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    from boxframe.operators import graph
+
+    rng = random.Random(5)
+    edges = [(k % 40, rng.randrange(30), rng.randrange(30)) for k in range(700)]
+    edges += [(None, 4, 9), (None, 9, 1), (50, 3, 3), (51, None, 2), (51, 2, 6), (51, 6, 2)]
+    df = spark.createDataFrame(edges, "k long, src int, dst int")
+    rows = lambda **more: sorted(map(tuple, connected_components(df, ["k"], **more).collect()), key=repr)
+    rounds = rows(limit=1)
+    monkeypatch.setattr(graph, "durable", lambda *a: pytest.fail("rows were written"))
+    assert rows() == rounds
+    names = df.selectExpr("k", "concat('é', src) src", "concat('é', dst) dst")
+    assert {(r.k, r.node, r.comp) for r in connected_components(names.where("k is null"), ["k"]).collect()} == {
+        (None, "é1", "é1"), (None, "é4", "é1"), (None, "é9", "é1")
+    }
+
+
+def test_small_keys_are_numbered_without_ranges(spark, monkeypatch):
+    from boxframe.operators import groups
+
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 2, 3, 4]), i if i % 7 else None) for i in range(55)]
+    df = spark.createDataFrame(rows, "k int, v int").dropDuplicates()
+    numbered = lambda limit: groups.rank_large(df, ["k"], [F.col("v")], "n", limit)
+    ranged = numbered(1)
+    want = sorted(map(tuple, ranged.collect()), key=repr)
+    monkeypatch.setattr(groups, "_rank_ranges", lambda *a: pytest.fail("rows were ranged"))
+    assert numbered(100).dtypes == ranged.dtypes
+    assert sorted(map(tuple, numbered(100).collect()), key=repr) == want
