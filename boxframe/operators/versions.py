@@ -71,7 +71,8 @@ def _write(rows: DataFrame, root, name, buckets):
     spark = rows.sparkSession
     top = f"data/{name}-{uuid.uuid4().hex}"
     placed = rows.withColumns({"_split": F.col("split"), "_bucket": _bucket(buckets)})
-    placed.repartition("_split", "_bucket").write.partitionBy("_split", "_bucket").parquet(f"{root}/{top}")
+    # Parts of many rows are written by several tasks.
+    placed.hint("rebalance", "_split", "_bucket").write.partitionBy("_split", "_bucket").parquet(f"{root}/{top}")
     path, files = _hadoop_path(spark, f"{root}/{top}")
     parts = {}
     for split in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "_split=*/_bucket=*")):

@@ -93,3 +93,18 @@ def test_empty_stores_and_other_splits(spark, tmp_path):
         rows = spark.createDataFrame([(split, "a.png", T0)], IMAGES)
         with pytest.raises(Exception, match="no such split"):
             versions.create(rows, none[1], str(tmp_path / f"odd-{split}"))
+
+
+def test_a_part_of_many_rows_is_written_by_several_tasks(spark, tmp_path):
+    from boxframe.operators import versions as module
+
+    rows = spark.range(20_000).repartition(8).selectExpr("'train' split", "concat('s', id) stem", "md5(string(id)) v")
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "64k")
+    try:
+        parts, _ = module._write(rows, str(tmp_path), "labels", 1)
+    finally:
+        spark.conf.unset(key)
+    (folder,) = parts["train/0"]
+    assert len(list((tmp_path / folder).glob("part-*"))) > 1
+    assert spark.read.parquet(str(tmp_path / folder)).count() == 20_000
