@@ -25,6 +25,8 @@ from .files import _file_system, _part
 # Bytes of files that one task reads, and rows to a batch that leaves it.
 PACK = 128 << 20
 FILES_TO_BATCH = 256
+# Tasks to a core that packs are dealt to, at most.
+TASKS = 64
 # What opening a file is counted as, so that empty files fill packs too.
 OPENING = 64 << 10
 
@@ -140,11 +142,15 @@ def _batch(rows, names):
 
 
 def read_packed(listing: DataFrame, size=PACK) -> DataFrame:
-    """Contents of listed files, a pack to a task: root, path, content."""
+    """Contents of listed files, a pack read by one task: root, path, content.
+
+    Where there are very many packs a task reads several, one after the other.
+    """
     packs = durable(packed(listing, size))
     # Numbers that long files have passed over have no pack.
     number = packs.select("pack").distinct().count()
-    dealt = packs.select("root", "path", "pack").repartition(max(number, 1), "pack")
+    most = TASKS * listing.sparkSession.sparkContext.defaultParallelism
+    dealt = packs.select("root", "path", "pack").repartition(min(max(number, 1), most), "pack")
     return dealt.select("root", "path").mapInArrow(
         _read, "root string, path string, content binary"
     )

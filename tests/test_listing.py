@@ -60,3 +60,14 @@ def test_label_lines_as_from_whole_files(spark, tmp_path):
     want = files.read_label_lines(spark, str(tmp_path))
     for size in (1, 100_000):
         assert rows(listing.read_label_lines(spark, str(tmp_path), size)) == rows(want)
+
+
+def test_very_many_packs_do_not_make_as_many_tasks(spark, tmp_path, monkeypatch):
+    from boxframe.sources import listing as module
+
+    for i in range(40):
+        (tmp_path / f"{i}.txt").write_text(str(i))
+    monkeypatch.setattr(module, "TASKS", 1)
+    read = module.read_packed(module.list_files(spark, [str(tmp_path)], ".txt"), 1)
+    assert read.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sorted(int(r.content) for r in read.collect()) == list(range(40))
