@@ -89,3 +89,42 @@ def test_rejects(spark, tmp_path):
         ("whole.json", "annotations", "id"),
         ("whole.json", "annotations", "json"),
     ]
+
+
+def test_pieces_stay_where_they_are_read(spark, tmp_path):
+    """An object over many blocks is whole, one that is too long is rejected, and the
+    texts are found without a shuffle of the pieces."""
+    deep = {"id": 5, "image_id": 1, "category_id": 1, "bbox": [1.0, 2.0, 3.0, 4.0], "x": [{"y": {"}": k}} for k in range(300)]}
+    rest = [dict(deep, id=k, x=[]) for k in range(6, 60)]
+    long = dict(deep, id=4, x=deep["x"] * 3)
+    made = {"images": [{"id": 1, "file_name": "a.png", "width": 100, "height": 50}], "annotations": [deep, *rest, long, deep]}
+    (tmp_path / "a.json").write_text(json.dumps(made))
+    (tmp_path / "b.json").write_text(json.dumps(dict(reversed(made.items()))))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        pieces = coco._measured(coco._pieces(spark, str(tmp_path)))
+        assert pieces.select("doc", "block").distinct().count() > 12
+        blocks = coco._blocks(pieces.drop("piece").mapInArrow(coco._totals, coco.TOTALS))
+        found = coco._found(pieces.drop("size"), coco.durable(blocks), 7000)
+        assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        boxes, rejects = coco.read_labels(spark, str(tmp_path), most=7000)
+        got = sorted((r.doc[-6], r.ann_id) for r in boxes.collect())
+        want = [5, 5, *range(6, 60)]
+        assert got == [(name, k) for name in "ab" for k in want]
+        assert sorted((r.doc[-6], r.section, r.reason) for r in rejects.collect()) == [
+            ("a", "annotations", "long"),
+            ("b", "annotations", "long"),
+        ]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_commas_between_equal_objects(spark, tmp_path):
+    images = spark.createDataFrame([(d, k) for d in (1, 2) for k in (2, 1, 1)], "doc long, id long")
+    coco.write_documents(images, images.withColumn("image_id", coco.F.col("id")), f"{tmp_path}/d")
+    for d in (1, 2):
+        (file,) = (tmp_path / "d" / f"doc={d}").glob("part-*")
+        made = json.loads(file.read_text())
+        assert made["images"] == [{"id": 1}, {"id": 1}, {"id": 2}]
+        assert made["annotations"] == [{"id": k, "image_id": k} for k in (1, 1, 2)]
