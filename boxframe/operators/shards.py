@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from .groups import SLICE_ROWS, durable, same_join
+from .groups import SLICE_ROWS, discard, durable, same_join
 from .store import require_both, training_set
 
 PART_LINES = SLICE_ROWS
 KEY = ["split", "filename", "part"]
 BOX_BYTES = 40
+# Shards of fewer bytes share a folder up to this size: a file each would cost more than its rows.
+FOLDER_BYTES = 32 << 20
 
 
 def augmented(images, labels, split, imgsz=640, min_visibility=0.3, seed=0) -> DataFrame:
@@ -87,9 +89,12 @@ def deal_to_shards(sizes, shard_bytes, seed=0) -> DataFrame:
 
 
 def write_training_shards(images, labels, folder, shard_bytes=128 << 20, seed=0, **how) -> DataFrame:
-    """Write the records of both splits as Parquet, a folder for each split and shard, and
-    an index of the shards; return the index.
+    """Write the records of both splits as Parquet, and an index of the shards; return the
+    index.
 
+    There is a folder for each split and `FOLDER_BYTES` of shards, in order, or for each
+    shard if it is as large; `shards` is the first one of a folder. Its rows are sorted by
+    `shard` and `place`, so a shard is read by its number without the others' row groups.
     `folder`/records is written whole before `folder`/index, so a set without an index is
     not finished. Both must be new.
     """
@@ -98,15 +103,20 @@ def write_training_shards(images, labels, folder, shard_bytes=128 << 20, seed=0,
     records = training_records(images, labels, "train", seed=seed, **how).unionByName(
         training_records(images, labels, "val", seed=seed, **how)
     )
-    records = records.withColumn("bytes", record_bytes(records))
+    # Made once: ranges are sampled from them, dealt and joined.
+    records = durable(records.withColumn("bytes", record_bytes(records)))
     shards = deal_to_shards(records, shard_bytes, seed)
+    each = max(1, FOLDER_BYTES // shard_bytes)
+    first = F.col("shard") - F.col("shard") % each
     (
         same_join(records, shards.hint("merge"), KEY)
-        .repartition("split", "shard")
-        .sortWithinPartitions("split", "shard", "place")
-        .write.partitionBy("split", "shard")
+        .withColumn("shards", first)
+        .repartition("split", "shards")
+        .sortWithinPartitions("split", "shards", "shard", "place")
+        .write.partitionBy("split", "shards")
         .parquet(f"{folder}/records")
     )
+    discard(records)
     index = (
         spark.read.parquet(f"{folder}/records")
         .groupBy("split", F.col("shard").cast("long").alias("shard"))

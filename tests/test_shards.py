@@ -75,3 +75,16 @@ def test_very_long_numbers_in_label_lines(spark):
     number = "1" + "_1" * 200_000
     lines = spark.createDataFrame([("train", "a", 1, f"{number} 0.5 0.5 0.1 0.1"), ("train", "a", 2, f"0 {number}.5 1 1 1")], LINES)
     assert store.valid_labels(store.parse_label_lines(lines)).count() == 0
+
+
+def test_small_shards_share_folders_and_large_ones_have_their_own(spark, tmp_path, monkeypatch):
+    images, labels = some(spark)
+    rows = {}
+    for name, most in (("one", 1 << 20), ("some", 4000), ("own", 10)):
+        monkeypatch.setattr(shards, "FOLDER_BYTES", most)
+        index = shards.write_training_shards(images, labels, f"{tmp_path}/{name}", 1000).collect()
+        rows[name] = written(spark, f"{tmp_path}/{name}")
+        folders = {(p.parent.name, p.name) for p in (tmp_path / name / "records").glob("split=*/shards=*")}
+        each = max(1, most // 1000)
+        assert folders == {(f"split={r.split}", f"shards={r.shard - r.shard % each}") for r in index}
+    assert rows["one"] == rows["some"] == rows["own"]
