@@ -6,7 +6,7 @@ differ only in extension share their labels.
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import (
@@ -19,7 +19,14 @@ from ..functions.text import (
     wanted_split,
 )
 from ..schema import LABEL_BOXES, SPLITS
-from .groups import BROADCAST_KEYS, computed_once, durable, number_rows
+from .groups import (
+    BROADCAST_KEYS,
+    SLICE_ROWS,
+    computed_once,
+    durable,
+    number_rows,
+    split_hot,
+)
 from .naming import unique_names
 
 LABEL_KEY = ["split", "stem"]
@@ -320,22 +327,69 @@ def save_annotations(images, requests):
 def edit_boxes(labels, removed=None, cleared=None, added=None):
     """Apply edits: rows by (split, stem, line_no), whole images, new boxes.
 
-    New boxes go behind the boxes that remain, in order of their line_no.
+    New boxes go behind the boxes that remain, in order of their line_no. Label files with
+    new boxes are edited by one task each, after one shuffle, unless they are very long.
     """
-    out = labels
+    if added is None:
+        return _remaining(labels, removed, cleared)
+    tables = {"box": labels, "new": added.select(*labels.columns)}
+    if removed is not None:
+        tables["removed"] = removed.select(*LABEL_KEY, "line_no")
     if cleared is not None:
-        out = out.join(cleared.select(*LABEL_KEY), LABEL_KEY, "left_anti")
+        tables["cleared"] = cleared.select(*LABEL_KEY)
+    marked = [t.withColumn("_kind", F.lit(k)) for k, t in tables.items()]
+    marked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
+    small, large = split_hot(marked, LABEL_KEY, SLICE_ROWS)
+    out = _edited_files(small)
+    if large is not None:
+        large = durable(large)
+        parts = {k: large.where(F.col("_kind") == k).select(*t.columns) for k, t in tables.items()}
+        boxes, new = parts.pop("box"), parts.pop("new")
+        out = out.unionByName(_edited_long_files(_remaining(boxes, **parts), new))
+    return out.select(*labels.columns)
+
+
+def _remaining(labels, removed=None, cleared=None):
+    if cleared is not None:
+        labels = labels.join(cleared.select(*LABEL_KEY), LABEL_KEY, "left_anti")
     if removed is not None:
         key = LABEL_KEY + ["line_no"]
-        out = out.join(removed.select(*key), key, "left_anti")
-    if added is None:
-        return out
-    last = out.groupBy(*LABEL_KEY).agg(F.max("line_no").alias("_last"))
+        labels = labels.join(removed.select(*key), key, "left_anti")
+    return labels
+
+
+def _edited_files(marked):
+    """Boxes that remain and new ones, from rows of all tables with `_kind`."""
+    is_kind = lambda k: F.col("_kind") == k
+    file = Window.partitionBy(*LABEL_KEY)
+    lines = file.orderBy("line_no")
+    # As in joins, a null is equal to nothing; new boxes are numbered all the same.
+    known = F.col("split").isNotNull() & F.col("stem").isNotNull()
+    gone = F.max(is_kind("removed")).over(lines.rangeBetween(0, 0)) & F.col("line_no").isNotNull()
+    marked = marked.withColumns(
+        {
+            "_k": F.count_if(is_kind("new")).over(lines.rowsBetween(Window.unboundedPreceding, 0)),
+            "_gone": known & gone,
+        }
+    )
+    left = F.when(is_kind("box") & ~F.col("_gone"), F.col("line_no"))
+    marked = marked.withColumns(
+        {"_cleared": known & F.max(is_kind("cleared")).over(file), "_last": F.max(left).over(file)}
+    )
+    last = F.when(known & ~F.col("_cleared"), F.col("_last"))
+    line = (F.coalesce(last, F.lit(0)) + F.col("_k")).cast("int")
+    return marked.where(is_kind("new") | (is_kind("box") & ~F.col("_gone") & ~F.col("_cleared"))).withColumn(
+        "line_no", F.when(is_kind("new"), line).otherwise(F.col("line_no"))
+    ).drop("_kind", "_k", "_gone", "_cleared", "_last")
+
+
+def _edited_long_files(left, added):
+    last = left.groupBy(*LABEL_KEY).agg(F.max("line_no").alias("_last"))
     behind = number_rows(added, LABEL_KEY, "line_no", "_k").join(last, LABEL_KEY, "left")
     behind = behind.withColumn(
         "line_no", (F.coalesce("_last", F.lit(0)) + F.col("_k")).cast("int")
     )
-    return out.unionByName(behind.select(*labels.columns))
+    return left.unionByName(behind.select(*left.columns))
 
 
 def write_training_set(images, labels, path):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import text
 from ..operators import shards, store, versions
-from ..operators.groups import scratch_path
+from ..operators.groups import durable, scratch_path
 from ..operators.naming import unique_names
 from ..sources import coco, files, listing
 from ..sources.files import coco_labels
@@ -261,7 +261,8 @@ def labels_after_delete(spark, sf):
     )
 )
 def edited_boxes(spark, sf):
-    base = labels(spark, sf)
+    # Lines are numbered and parsed once for the four tables.
+    base = durable(labels(spark, sf))
     return store.edit_boxes(
         base,
         removed=base.where((F.col("class_id") + F.col("line_no")) % 5 == 0),

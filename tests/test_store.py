@@ -244,3 +244,27 @@ def test_mixed_file_names_query(spark):
     asked = sorted((r.req_id, r.filename) for r in rows)
     want = one_by_one([r.filename for r in held.collect()], asked)
     assert sorted((r.req_id, r.filename, r.final_name) for r in rows) == want and len(want) > 100
+
+
+def test_edits_in_one_shuffle_are_those_by_joins(spark, monkeypatch):
+    schema = "split string, stem string, line_no int, class_id int"
+    rng = random.Random(4)
+    keys = [("train", "a"), ("train", "b"), ("val", "a"), (None, "a"), ("val", None)]
+    some = lambda n: [(*rng.choice(keys), rng.choice([*range(1, 9), None]), rng.randrange(5)) for _ in range(n)]
+    labels, removed = (spark.createDataFrame(some(n), schema) for n in (60, 8))
+    # Equal lines would be numbered in any order.
+    new = [(*k, n, n) for k in keys for n in rng.sample(range(1, 50), 4)]
+    new += [("test", "only", 3, 1)]
+    added = spark.createDataFrame(new, schema)
+    cleared = spark.createDataFrame([("train", "b"), (None, "a"), ("none", "x")], "split string, stem string")
+
+    def edited(**how):
+        return sorted(map(repr, store.edit_boxes(labels, added=added, **how).collect()))
+
+    for how in ({}, {"removed": removed}, {"cleared": cleared}, {"removed": removed, "cleared": cleared}):
+        with monkeypatch.context() as m:
+            m.setattr(store, "SLICE_ROWS", 0)
+            by_joins = edited(**how)
+        with monkeypatch.context() as m:
+            m.setattr(store, "durable", None)
+            assert edited(**how) == by_joins
