@@ -26,6 +26,9 @@ CUTS = (0.2, 0.4, 0.6, 0.8)
 
 # Up to this many boxes all of them are compared at once.
 SQUARE = 256
+# Images of up to this many boxes are taken by one task each, by cells if they exceed the
+# limit; larger ones are cut into cells by all tasks.
+IMAGE_ROWS = 1 << 13
 
 
 def _touching_groups(x1, y1, x2, y2):
@@ -68,11 +71,71 @@ def _touching_groups(x1, y1, x2, y2):
     return first
 
 
-def linked_boxes(min_size: int = 1):
+def _groups_by_cells(corners, limit):
+    """The groups of `_touching_groups` for an image of more than `limit` boxes, by the
+    cells of `_large_components`; -1 for a box that is cut where it has no corner."""
+    # Equal boxes are one; adding 0 makes a zero's sign no difference.
+    rows = np.ascontiguousarray(np.stack(corners, axis=1).astype(float) + 0.0)
+    _, rep, fold = np.unique(
+        rows.view(f"V{rows.itemsize * 4}").ravel(), return_index=True, return_inverse=True
+    )
+    rows, fold = rows[rep], fold.ravel()
+    parent = np.arange(len(rows))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    seen = np.zeros(len(rows), bool)
+    known = rows[~np.isnan(rows).any(axis=1)]
+    low, high = (known[:, :2].min(0) - 1, known[:, 2:].max(0) + 1) if len(known) else ([0, 0], [0, 0])
+    cells = [(np.arange(len(rows)), (*low, *high))]
+    while cells:
+        at, cell = cells.pop()
+        x1, y1, x2, y2 = rows[at].T
+        covers = (x1 <= cell[0]) & (x2 >= cell[2]) & (y1 <= cell[1]) & (y2 >= cell[3])
+        if covers.any():
+            to = np.zeros(len(at), int)
+        elif len(at) <= limit:
+            to = _touching_groups(x1, y1, x2, y2)
+        else:
+            cells += _cut_cell(at, cell, (x1, y1, x2, y2))
+            continue
+        seen[at] = True
+        for a, b in zip(at.tolist(), at[to].tolist(), strict=True):
+            parent[root(a)] = root(b)
+    group = np.array([root(i) for i in range(len(rows))])
+    first = np.full(len(rows), len(fold))
+    np.minimum.at(first, group, rep)
+    return np.where(seen, first[group], -1)[fold].astype(np.int32)
+
+
+def _cut_cell(at, cell, corners):
+    """The parts of a cell and their boxes, cut as `_cut_cells` cuts it."""
+    inside = [c[(c > cell[k % 2]) & (c < cell[k % 2 + 2])] for k, c in enumerate(corners)]
+    axis = 0 if len(inside[0]) + len(inside[2]) >= len(inside[1]) + len(inside[3]) else 1
+    cuts = [np.quantile(c, CUTS, method="inverted_cdf") for c in inside[axis::2] if len(c)]
+    cuts = np.unique(np.concatenate(cuts)) if cuts else np.empty(0)
+    low, high = corners[axis], corners[axis + 2]
+    edges = [cell[axis], *cuts, cell[axis + 2]]
+    parts = [((low < z) & (high > a), a, z) for a, z in zip(edges, edges[1:])]
+    parts += [((low <= c) & (high >= c), c, c) for c in cuts]
+    out = []
+    for reached, a, z in parts:
+        if reached.any():
+            part = list(cell)
+            part[axis], part[axis + 2] = a, z
+            out.append((at[reached], tuple(part)))
+    return out
+
+
+def linked_boxes(min_size: int = 1, limit: int = GROUP_LIMIT):
     """Arrays of corners to arrays of group labels, one array per row.
 
     A label is the position of the group's first box; for groups below
-    `min_size` it is stored as -1 - position.
+    `min_size` it is stored as -1 - position. Arrays of more than `limit` boxes go by
+    cells; a box that no cell holds has no label.
     """
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -81,9 +144,12 @@ def linked_boxes(min_size: int = 1):
     ) -> pd.Series:
         out = []
         for row in zip(x1, y1, x2, y2):
-            first = _touching_groups(*row)
-            few = np.bincount(first, minlength=len(first))[first] < min_size
-            out.append(np.where(few, -1 - first, first))
+            whole = len(row[0]) <= limit
+            first = _touching_groups(*row) if whole else _groups_by_cells(row, limit)
+            held = first >= 0
+            few = np.bincount(first[held], minlength=len(first))[first] < min_size
+            labels = np.where(few, -1 - first, first)
+            out.append(labels if held.all() else np.where(held, labels.astype(object), None))
         return pd.Series(out)
 
     return label
@@ -103,33 +169,38 @@ def box_components(boxes: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     `boxes` has image_id, det_idx and corners (grown by the margin already).
     Returns image_id, det_idx, comp, where comp is the smallest det_idx of the
     component. Images up to `limit` boxes are solved as one array per image;
-    larger ones are cut into cells.
+    larger ones are cut into cells, in one task up to `IMAGE_ROWS` boxes.
     """
     boxes = boxes.select("image_id", "det_idx", *CORNERS)
-    small, large = split_hot(boxes, ["image_id"], limit)
-    out = _small_components(small)
+    small, large = split_hot(boxes, ["image_id"], max(limit, IMAGE_ROWS))
+    out = _small_components(small, limit)
     if large is not None:
         out = out.unionByName(_large_components(large, limit))
     return out
 
 
-def _small_components(boxes):
+def _small_components(boxes, limit):
     packed = boxes.groupBy("image_id").agg(
         F.array_sort(F.collect_list(F.struct("det_idx", *CORNERS))).alias("b")
     )
-    solved = packed.withColumn("g", linked_boxes()(*_corner_arrays(F.col("b"))))
-    return solved.select(
-        "image_id",
-        F.explode(
-            F.transform(
-                "b",
-                lambda b, i: F.struct(
-                    b["det_idx"].alias("det_idx"),
-                    F.get(F.col("b"), F.get(F.col("g"), i))["det_idx"].alias("comp"),
-                ),
-            )
-        ).alias("r"),
-    ).select("image_id", "r.*")
+    solved = packed.withColumn("g", linked_boxes(1, limit)(*_corner_arrays(F.col("b"))))
+    return (
+        solved.select(
+            "image_id",
+            F.explode(
+                F.transform(
+                    "b",
+                    lambda b, i: F.struct(
+                        b["det_idx"].alias("det_idx"),
+                        F.get(F.col("b"), F.get(F.col("g"), i))["det_idx"].alias("comp"),
+                        F.get(F.col("g"), i).alias("at"),
+                    ),
+                )
+            ).alias("r"),
+        )
+        .where("r.at is not null")
+        .select("image_id", "r.det_idx", "r.comp")
+    )
 
 
 def _large_components(boxes, limit):
@@ -389,11 +460,12 @@ def _merge(dets, is_other, info, margin, min_size, limit):
     dets = dets.select(
         "image_id", "det_idx", *CORNERS, "confidence", "class_id", "class_name"
     ).withColumn("is_other", is_other)
-    small, large = split_hot(dets, ["image_id"], limit)
+    most = max(limit, IMAGE_ROWS)
+    small, large = split_hot(dets, ["image_id"], most)
     if large is not None:
         # Both parts are taken from rows that are made once.
-        small, large = split_hot(durable(dets), ["image_id"], limit)
-    out = _merge_small(small, info, margin, min_size)
+        small, large = split_hot(durable(dets), ["image_id"], most)
+    out = _merge_small(small, info, margin, min_size, limit)
     if large is not None:
         labelled = _label_large(large, info, margin, min_size, limit)
         ranked = rank_large(_collapse(labelled), ["image_id"], _sort_key(), "out_pos")
@@ -448,7 +520,7 @@ def _with_info(df, info):
     return df.join(info, "image_id", "left")
 
 
-def _merge_small(dets, info, margin, min_size):
+def _merge_small(dets, info, margin, min_size, limit):
     """Merge images that fit one array each; the only shuffle is by image."""
     row = F.struct(
         "det_idx", *CORNERS, "confidence", "class_id", "class_name", "is_other"
@@ -469,7 +541,7 @@ def _merge_small(dets, info, margin, min_size):
         )
         for c, k in zip(CORNERS, (-1, -1, 1, 1))
     ]
-    solved = packed.withColumn("g", linked_boxes(min_size)(*arrays))
+    solved = packed.withColumn("g", linked_boxes(min_size, limit)(*arrays))
     leaders = F.filter("g", lambda g, i: g == i)
     solved = solved.withColumn(
         "m",

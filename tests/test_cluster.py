@@ -1,6 +1,7 @@
 import random
 from itertools import groupby
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +243,37 @@ def test_small_keys_are_numbered_without_ranges(spark, monkeypatch):
     monkeypatch.setattr(groups, "_rank_ranges", lambda *a: pytest.fail("rows were ranged"))
     assert numbered(100).dtypes == ranged.dtypes
     assert sorted(map(tuple, numbered(100).collect()), key=repr) == want
+
+
+def random_boxes(rng, n, side=400):
+    at = rng.integers(0, side, (n, 2)).astype(float)
+    boxes = np.hstack([at, at + rng.integers(0, 30, (n, 2))])
+    boxes[:: n // 3] = [0, 50, side, 51]
+    boxes[3::7] = boxes[2]
+    return boxes
+
+
+def test_cells_of_one_task_give_the_groups_of_all_pairs():
+    rng = np.random.default_rng(1)
+    for n, limit in ((9, 1), (80, 4), (700, 60), (700, 3)):
+        corners = list(random_boxes(rng, n, 40 * int(n**0.5)).T)
+        got = cluster._groups_by_cells(corners, limit)
+        assert np.array_equal(got, cluster._touching_groups(*corners))
+
+
+def test_images_of_one_task_write_nothing(spark, monkeypatch):
+    """Images above the limit are solved in one shuffle, as by the cells of all tasks."""
+    rng = np.random.default_rng(2)
+    rows = [(i, k, *map(float, b)) for i, n in ((1, 90), (2, 5), (3, 40)) for k, b in enumerate(random_boxes(rng, n))]
+    df = spark.createDataFrame(rows, "image_id long, det_idx int, x1 double, y1 double, x2 double, y2 double")
+    dets = df.selectExpr("*", "det_idx / 100 as confidence", "cast(det_idx % 4 = 3 as int) as class_id")
+
+    def both():
+        merged = cluster.merge_clusters(dets, (400, 400), limit=8)
+        return [sorted(map(repr, t.collect())) for t in (cluster.box_components(df, 8), merged)]
+
+    with monkeypatch.context() as m:
+        m.setattr(cluster, "IMAGE_ROWS", 0)
+        by_all = both()
+    monkeypatch.setattr(cluster, "durable", None)
+    assert both() == by_all
