@@ -17,6 +17,8 @@ BROADCAST_KEYS = 100_000
 # Row-number limits up to this are applied before the shuffle by Spark
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 PUSHED_LIMIT = 1000
+# Rows that one task sorts where more of them are dealt to more tasks.
+TASK_ROWS = 1 << 20
 # Copies of the small side when a skewed key is joined.
 SALTS = 16
 
@@ -172,20 +174,52 @@ def rank_large(
     before they are counted, so a retried task cannot see other bounds.
     """
     if not keys:
-        return _rank_ranges(df, keys, order, name)
-    small, large = split_hot(df, keys, limit)
+        return _rank_ranges(df, keys, order, name, df.count())
+    counts = df.groupBy(*keys).count()
+    rows, hot = counts.agg(F.sum("count"), F.max("count")).first()
+    if (hot or 0) <= limit:
+        small, large = df, None
+    else:
+        small, large = split_hot(df, keys, limit)
     line = Window.partitionBy(*keys).orderBy(*order)
+    small = deal(small, rows or 0, keys)
     out = small.withColumn(name, F.row_number().over(line) - 1 + F.lit(0).cast("bigint"))
-    return out if large is None else out.unionByName(_rank_ranges(large, keys, order, name))
+    return out if large is None else out.unionByName(_rank_ranges(large, keys, order, name, rows))
 
 
-def _rank_ranges(df, keys, order, name):
+def tasks_for(spark, rows: int):
+    """How many tasks sort this many rows, or None where Spark's own choice will do.
+
+    Left alone, adaptive execution gives a task 64 MB as shuffled, which narrow rows that
+    compress well outgrow many times over when they are sorted.
+    """
+    tasks = -(-rows // TASK_ROWS)
+    return tasks if tasks > spark.sparkContext.defaultParallelism else None
+
+
+def deal(df: DataFrame, rows: int, keys: list[str]) -> DataFrame:
+    """Shuffle `rows` rows by keys ahead of a window, to as many tasks as they need."""
+    tasks = tasks_for(df.sparkSession, rows)
+    return df if tasks is None else df.repartition(tasks, *keys)
+
+
+def in_ranges(df: DataFrame, rows: int, columns: list[str]) -> DataFrame:
+    """Write `rows` rows out by ranges of the columns, numbered by `_range`."""
+    tasks = tasks_for(df.sparkSession, rows)
+    ranged = df.repartitionByRange(*([] if tasks is None else [tasks]), *columns)
+    return durable(ranged.withColumn("_range", F.spark_partition_id()))
+
+
+def shifted(df: DataFrame, shift: DataFrame, keys: list[str]) -> DataFrame:
+    """Join with the shifts of ranges; few of them do not shuffle the rows."""
+    shift = durable(shift)
+    few = shift.count() <= BROADCAST_KEYS
+    return same_join(df, F.broadcast(shift) if few else shift, keys)
+
+
+def _rank_ranges(df, keys, order, name, rows):
     sort = {f"_o{i}": c for i, c in enumerate(order)}
-    ranged = durable(
-        df.withColumns(sort)
-        .repartitionByRange(*keys, *sort)
-        .withColumn("_range", F.spark_partition_id())
-    )
+    ranged = in_ranges(df.withColumns(sort), rows, [*keys, *sort])
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -196,9 +230,10 @@ def _rank_ranges(df, keys, order, name):
         .drop("count")
     )
     inside = Window.partitionBy(*keys, "_range").orderBy(*sort)
+    placed = deal(ranged, rows, [*keys, "_range"]).withColumn(name, F.row_number().over(inside) - 1)
     return (
-        same_join(ranged, shift, keys + ["_range"])
-        .withColumn(name, F.row_number().over(inside) - 1 + F.col("_shift"))
+        shifted(placed, shift, keys + ["_range"])
+        .withColumn(name, F.col(name) + F.col("_shift"))
         .drop("_range", "_shift", *sort)
     )
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from ..functions.text import stem, suffix
-from .groups import durable, number_rows, same_join, skew_join
+from .groups import deal, durable, in_ranges, number_rows, shifted, skew_join
 
 NUMBERED = r"(?s)^(.+) - ([1-9][0-9]*)\z"
 CHAIN = r"(?s)^.+?(( - [1-9][0-9]*)+)\z"
@@ -49,9 +49,8 @@ def sum_before(marks, events, keys, order, out):
         events.select(*keys, order, F.col("weight").cast("bigint").alias("weight")),
         allowMissingColumns=True,
     )
-    both = durable(
-        both.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id())
-    )
+    rows = marks.count() + events.count()
+    both = in_ranges(both, rows, [*keys, order])
     line = Window.partitionBy(*keys).orderBy("_range")
     earlier = F.sum("_sum").over(line.rowsBetween(Window.unboundedPreceding, -1))
     offsets = (
@@ -67,10 +66,11 @@ def sum_before(marks, events, keys, order, out):
         equal = Window.partitionBy(*keys, "_range", order)
         inside = F.sum("weight").over(below.rangeBetween(Window.unboundedPreceding, 0))
         inside = inside - F.sum("weight").over(equal)
+    # Summed up where the rows were dealt, then shifted by the ranges before.
+    summed = deal(both, rows, [*keys, "_range"]).withColumn(out, F.coalesce(inside, F.lit(0)))
     return (
-        same_join(both, offsets, [*keys, "_range"])
-        .withColumn(out, F.col("_offset") + F.coalesce(inside, F.lit(0)))
-        .where("_mark")
+        shifted(summed.where("_mark"), offsets, [*keys, "_range"])
+        .withColumn(out, F.col("_offset") + F.col(out))
         .drop("_mark", "_range", "_offset", "weight")
     )
 

@@ -277,3 +277,18 @@ def test_images_of_one_task_write_nothing(spark, monkeypatch):
         by_all = both()
     monkeypatch.setattr(cluster, "durable", None)
     assert both() == by_all
+
+
+def test_more_rows_are_dealt_to_more_tasks(spark, monkeypatch):
+    from boxframe.operators import groups
+
+    df = spark.range(4000).selectExpr("id % 2 as k", "(id * 7919) % 4000 as v")
+    monkeypatch.setattr(groups, "TASK_ROWS", 100)
+    assert groups.in_ranges(df, 4000, ["k", "v"]).select("_range").distinct().count() > 30
+    for limit in (10, 4000):
+        got = groups.rank_large(df, ["k"], [F.col("v")], "n", limit)
+        part = got.withColumn("p", F.spark_partition_id()).groupBy("p").count().agg(F.max("count")).first()[0]
+        assert part <= (400 if limit == 10 else 2000)
+        for k in (0, 1):
+            rows = got.where(F.col("k") == k).orderBy("v").collect()
+            assert [r.n for r in rows] == list(range(2000))
