@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import held_out, slices, table
+from .tables import beside_text, from_beside, held_out, joined, small_batches, table
 from .words import text_buffer
 
 PER_LANGUAGE = 1024
@@ -240,37 +240,36 @@ def identify(docs: DataFrame, model, keep=("doc_id",)) -> DataFrame:
     """`keep` columns of every row, with lang_pred and score."""
     schema = docs.select(*keep).schema
     schema = schema.add("lang_pred", "string").add("score", "double")
+    per_batch = int(docs.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
 
     def predict(batches):
         net = Identifier(model) if model else None
-        for batch in batches:
-            for part in slices(batch, "text"):
-                text = part.column("text")
-                names = np.full(len(text), UNKNOWN, object)
-                score = np.zeros(len(text))
-                letters = pc.match_substring_regex(text, r"\p{L}").fill_null(False)
-                at = np.flatnonzero(letters.to_numpy(zero_copy_only=False))
-                if net and len(at):
-                    p = _softmax(net.texts(text.take(pa.array(at))).astype(np.float64))
-                    best = p.argmax(1)
-                    names[at] = np.array(net.names, object)[best]
-                    score[at] = p[np.arange(len(at)), best]
-                columns = [part.column(k) for k in keep]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(names, pa.string()), pa.array(score)],
-                    [*keep, "lang_pred", "score"],
-                )
+        for part in joined(batches, "text", per_batch):
+            text = part.column("text")
+            names = np.full(len(text), UNKNOWN, object)
+            score = np.zeros(len(text))
+            letters = pc.match_substring_regex(text, r"\p{L}").fill_null(False)
+            at = np.flatnonzero(letters.to_numpy(zero_copy_only=False))
+            if net and len(at):
+                p = _softmax(net.texts(text.take(pa.array(at))).astype(np.float64))
+                best = p.argmax(1)
+                names[at] = np.array(net.names, object)[best]
+                score[at] = p[np.arange(len(at)), best]
+            columns = [part.column(k) for k in keep]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(names, pa.string()), pa.array(score)],
+                [*keep, "lang_pred", "score"],
+            )
 
     columns = [*keep, *(["text"] if "text" not in keep else [])]
-    return docs.select(*columns).mapInArrow(predict, schema)
+    return small_batches(docs.select(*columns)).mapInArrow(predict, schema)
 
 
 def accepted(docs: DataFrame, least=0.4) -> DataFrame:
     """The rows whose language is recognised with a score of `least` or more."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = identify(rows, fit(sample(docs)), ["row"])
+    found = identify(beside_text(docs), fit(sample(docs)), ["row", "text"])
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(
-        "row.*"
+        *from_beside(docs.columns)
     )
 
 

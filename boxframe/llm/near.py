@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..operators.groups import discard, durable, skew_join
-from .tables import slices, table
+from .tables import slices, small_batches, table
 from .words import Words, join_runs, mix
 
 SHINGLE = 5
@@ -177,9 +177,8 @@ def _set_hash(members):
 
 def signatures(docs: DataFrame) -> DataFrame:
     """n_shingles, set hash, band keys and odd sketch of every document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _sign, SIGNED
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return small_batches(texts).mapInArrow(_sign, SIGNED)
 
 
 def _differing(a, b):
@@ -203,7 +202,8 @@ def _with_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 made = pa.array([s.tobytes() for s in sets(part.column("text"))], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), made], ["doc_id", "members"])
 
-    full = docs.join(ids, "doc_id", "left_semi").mapInArrow(add, "doc_id long, members binary")
+    asked = docs.join(ids, "doc_id", "left_semi")
+    full = small_batches(asked).mapInArrow(add, "doc_id long, members binary")
     return skew_join(full, rows, ["doc_id"])
 
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import bounded_sample, slices, table
+from .tables import beside_text, bounded_sample, from_beside, slices, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 2000
@@ -396,7 +396,7 @@ def find_spans(docs: DataFrame, weights, keep=("doc_id",)) -> DataFrame:
             )
 
     columns = [*keep, *(["text"] if "text" not in keep else [])]
-    return docs.select(*columns).mapInArrow(find, f"{_fields(docs, keep)}, spans {SPAN}")
+    return small_batches(docs.select(*columns)).mapInArrow(find, f"{_fields(docs, keep)}, spans {SPAN}")
 
 
 def mask_text(text, spans):
@@ -413,9 +413,10 @@ def masked(docs: DataFrame) -> DataFrame:
     """Every row with its spans replaced by their kind in brackets.
 
     Spans that overlap become one, named for the first; `n_chars`, where there is
-    one, follows the new text. A text is cut in the task that finds its spans.
+    one, follows the new text. A text is cut in the task that finds its spans, and
+    goes there once: the other columns travel beside it.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    rows = small_batches(beside_text(docs))
     weights = fit(sample(docs))
 
     def mask(batches):
@@ -432,13 +433,13 @@ def masked(docs: DataFrame) -> DataFrame:
             )
 
     out = rows.mapInArrow(mask, f"{_fields(rows, ['row'])}, changed boolean, text string")
-    columns = {"text": F.col("text")}
+    columns = {}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         columns["n_chars"] = F.when(F.col("changed"), F.length("text").cast(kind)).otherwise(
             F.col("row.n_chars")
         )
-    return out.select(*[columns.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    return out.select(*from_beside(docs.columns, columns))
 
 
 def _listed(spans):

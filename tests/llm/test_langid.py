@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from boxframe.llm import langid
+from boxframe.llm import langid, tables
 
 WORDS = {
     "en": "the and of house water there with which thing night under".split(),
@@ -98,3 +99,15 @@ def test_more_languages_than_the_sample_has_room_for(corpus, monkeypatch):
     assert set(names) == {f"l{i:02}" for i in range(30)} and max(map(names.count, names)) == 2
     assert some == langid.sample(corpus(rows).repartition(5, "text"), 20)
     assert 0 < len({lang for _, lang in langid.sample(corpus(rows), 4)}) <= 16
+
+
+def test_small_batches_are_joined_to_the_parts_of_large_ones():
+    rng = random.Random(9)
+    texts = [rng.choice([None, "", "x" * rng.randrange(40)]) for _ in range(500)]
+    whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    for rows, most in ((500, 60), (70, 300), (0, 10), (7, 10**6)):
+        large = [whole.slice(i, rows or 500) for i in range(0, 500, rows or 500)]
+        want = [p.to_pylist() for b in large for p in tables.slices(b, "text", most)]
+        small = [b.slice(i, 11) for b in large for i in range(0, b.num_rows, 11)]
+        assert [p.to_pylist() for p in tables.joined(small, "text", rows, most)] == want
+    assert list(tables.joined([], "text", 10)) == []

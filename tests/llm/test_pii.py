@@ -2,10 +2,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from boxframe.llm import pii
+from boxframe.llm import langid, pii, tables
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -179,3 +180,29 @@ def test_masking_a_text_of_very_many_spans(spark, corpus):
     began = time.time()
     assert len(spans) == n and pii.mask_text(text, spans) == " ".join(["[email]"] * n)
     assert time.time() - began < 5
+
+
+def test_a_text_goes_to_python_once_and_in_small_batches(spark, corpus, odd_rows, monkeypatch):
+    sent, kind = [], type(corpus([]))
+    run = kind.mapInArrow
+    monkeypatch.setattr(
+        kind, "mapInArrow", lambda self, *a, **k: sent.append(self.schema) or run(self, *a, **k)
+    )
+    docs = corpus(odd_rows, clashing=True)
+    for stage in (pii.masked, langid.accepted):
+        assert stage(docs).columns == docs.columns
+        assert sent.pop().simpleString().count("text:") == 1
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    long = corpus([(i, "word " * 50_000) for i in range(16)]).coalesce(1)
+    rows = run(tables.small_batches(long), sizes, "n long").collect()
+    assert sum(r.n for r in rows) == 16 and max(r.n for r in rows) <= 5
+    spark.conf.set(tables.BATCH_LIMIT, 1 << 26)
+    try:
+        tables.small_batches(long)
+        assert spark.conf.get(tables.BATCH_LIMIT).startswith(str(1 << 26))
+    finally:
+        spark.conf.unset(tables.BATCH_LIMIT)
