@@ -53,7 +53,7 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path, corpus, odd_
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registered.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_near_duplicates_of_80_percent_go(spark, corpus):
