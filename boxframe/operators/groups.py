@@ -3,6 +3,7 @@
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Window
@@ -104,6 +105,19 @@ def discard(*tables: DataFrame) -> None:
         remove(table.sparkSession, table._durable_path)
 
 
+@contextmanager
+def settings(spark, values: dict):
+    """Settings of the session for what runs inside; they are put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def computed_once(df: DataFrame, columns: dict) -> DataFrame:
     """Add columns whose expressions are costly and used more than once.
 

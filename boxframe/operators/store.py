@@ -409,8 +409,13 @@ def require_both(images):
         raise ValueError(gate.reason)
 
 
+def in_split(split):
+    """Whether a row is of the split, or of one of several."""
+    return F.col("split").isin([split] if isinstance(split, str) else list(split))
+
+
 def training_set(images, labels, split):
-    """Images of one split with their boxes; an image without boxes stays."""
-    chosen = with_stem(images).where(F.col("split") == split)
-    return chosen.join(labels.where(F.col("split") == split), LABEL_KEY, "left")
+    """Images of one split (or several) with their boxes; an image without boxes stays."""
+    chosen = with_stem(images).where(in_split(split))
+    return chosen.join(labels.where(in_split(split)), LABEL_KEY, "left")
 
